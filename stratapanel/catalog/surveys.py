@@ -18,20 +18,19 @@ TOTALS = [f"{g}_{s}" for s in ("NODIS", "IDEA", "LEP") for g in V.GENDERS]
 
 def school_cells(spark: SparkSession, sf: str, years: Column | None = None) -> DataFrame:
     """One row per order: quantity by sex, racial group and status, null where there is none."""
-    qty = F.col("l_quantity").cast("bigint")
     lines = B.table(spark, sf, "lineitem").select(
         "l_orderkey",
-        F.when(F.col("l_linestatus") == "O", "M").otherwise("F").alias("sex"),
-        B.race_code().alias("race"),
-        F.when(F.col("l_returnflag") == "N", "NODIS").when(F.col("l_returnflag") == "R", "IDEA").otherwise("LEP").alias("status"),
-        qty.alias("qty"),
+        F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("sex"),
+        (F.col("l_suppkey") % len(B.RACES)).cast("int").alias("race"),
+        F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2).alias("status"),
+        F.col("l_quantity").cast("bigint").alias("qty"),
     )
 
     def cell(name: str) -> Column:
         parts = name.split("_")
-        test = (F.col("sex") == parts[0]) & (F.col("status") == parts[-1])
+        test = (F.col("sex") == "MF".index(parts[0])) & (F.col("status") == ["NODIS", "IDEA", "LEP"].index(parts[-1]))
         if len(parts) == 3:
-            test = test & (F.col("race") == parts[1])
+            test = (F.col("race") == B.RACES.index(parts[1])) & test
         return F.sum(F.when(test, F.col("qty"))).alias(name)
 
     sums = lines.groupBy("l_orderkey").agg(*[cell(c) for c in CELLS + TOTALS])

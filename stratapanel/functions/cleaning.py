@@ -35,9 +35,17 @@ def strip_filler(c: Column | str, ignore: str = "", mode: str = "faithful") -> C
 
 
 def text_to_long(c: Column | str, ignore: str = "", mode: str = "faithful") -> Column:
-    """Whole number in the cell, null when the cleaned text is not one."""
-    text = strip_filler(c, ignore, mode)
-    return F.when(text.rlike(INTEGER_TEXT), text.try_cast("bigint"))
+    """Whole number in the cell, null when the cleaned text is not one.
+
+    Cells that are empty once filler is gone never reach the cast, because a rejected cast costs an
+    exception; only stray text pays for that.  Blanks around a number are no matter to the cast.
+    """
+    text = _col(c).cast("string")
+    if ignore and mode == "strict":
+        text = F.regexp_replace(text, f"^\\s*[{re.escape(ignore)}]+\\s*$", "")
+    elif ignore:
+        text = F.replace(text, F.lit(ignore), F.lit("")) if len(ignore) == 1 else F.translate(text, ignore, "")
+    return F.nullif(text, F.lit("")).try_cast("bigint")
 
 
 def text_to_double(c: Column | str, ignore: str = "", mode: str = "faithful") -> Column:

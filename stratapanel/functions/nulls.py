@@ -29,6 +29,12 @@ def sum_na(c: Column | str) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
 
 
+def sum_na_where(test: Column, c: Column | str) -> Column:
+    """``sum_na`` over the rows that pass ``test``; null when none does."""
+    c = _col(c)
+    return F.when(F.count_if(test & c.isNull()) == 0, F.sum(F.when(test, c)))
+
+
 def rowtotal(cols: Iterable[Column | str]) -> Column:
     """Row-wise sum with nulls as 0; an all-null row gives 0."""
     return reduce(add, [F.coalesce(_col(c), F.lit(0)) for c in cols])

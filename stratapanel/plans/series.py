@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.cleaning import rewrite_year
-from ..functions.nulls import in_, not_in, ratio
-from ..operators.reshape import pivot_longer, pivot_wider
+from ..functions.nulls import in_, not_in, ratio, sum_na_where
+from ..operators.reshape import pivot_longer
 from ..operators.rollup import sum_groups
 
 # Sample years, states and chart limits of the published series.
@@ -138,16 +138,25 @@ def rate_series(
 def risk_series(
     table: DataFrame, topic: Topic = CP, first_year: int | None = FIRST_YEAR, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Yearly risk ratios and differences of six pairs, long, with the wide counts beside them."""
+    """Yearly risk ratios and differences of six pairs, long, with the wide counts beside them.
+
+    The sum per group and its pivot to one row per year are one aggregate, which also makes the
+    long rows distinct.
+    """
     ids = [*by, "YEAR"]
     rows = table.filter(F.col("race") != topic.total).withColumn("race_adjusted", M.other_group("race"))
     if first_year is not None:
         rows = rows.filter(F.col("YEAR") >= first_year)
-    sums = sum_groups(rows, [*ids, "race_adjusted"], {"ENR": topic.base, "CORP": topic.count})
-    wide = pivot_wider(sums, ids, "race_adjusted", ["ENR", "CORP"], [*M.COMPARED_GROUPS, M.OTHER])
+    wide = rows.groupBy(*ids).agg(
+        *[
+            sum_na_where(F.col("race_adjusted") == g, value).alias(f"{name}_{g}")
+            for name, value in (("ENR", topic.base), ("CORP", topic.count))
+            for g in [*M.COMPARED_GROUPS, M.OTHER]
+        ]
+    )
     compared = wide.withColumns(M.risk_columns("CORP_", "ENR_"))
     long = pivot_longer(compared, M.RISK_TYPES, "type", "value")
-    return long.withColumn("legend_text", M.type_label("type")).distinct()
+    return long.withColumn("legend_text", M.type_label("type"))
 
 
 def universe(series: DataFrame, years: Sequence[int] = UNIVERSE_YEARS) -> DataFrame:

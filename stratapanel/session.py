@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Adaptive execution sizes shuffle partitions, splits skewed join partitions and turns joins into
-# broadcasts once a side is known to be small.  Wide district tables go past the default limit of
-# 100 columns for compiled stages.
+# broadcasts once a side is known to be small.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.codegen.maxFields": "400",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -21,6 +19,7 @@ def local_session(app: str = "stratapanel", cores: int | str = "*", **extra: str
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     local = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.bindAddress": "127.0.0.1",
