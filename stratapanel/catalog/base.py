@@ -39,13 +39,13 @@ def school_sums(spark: SparkSession, sf: str) -> DataFrame:
     """Enrolment and outcome per order and racial group, summed before any join."""
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey",
-        (F.col("l_suppkey") % len(RACES)).alias("group"),
+        (F.col("l_suppkey") % len(RACES)).alias("code"),
         F.col("l_quantity").cast("bigint").alias("enr"),
         F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("bigint")).alias("corp"),
     )
     return lines.groupBy("l_orderkey").agg(
         *[
-            sum0(F.when(F.col("group") == i, F.col(v))).alias(f"{p}{r}")
+            F.expr(f"coalesce(sum(CASE WHEN code = {i} THEN {v} END), 0) AS {p}{r}")
             for p, v in (("ENR_", "enr"), ("CORP_", "corp"))
             for i, r in enumerate(RACES)
         ]

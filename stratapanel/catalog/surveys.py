@@ -28,10 +28,10 @@ def school_cells(spark: SparkSession, sf: str, years: Column | None = None) -> D
 
     def cell(name: str) -> Column:
         parts = name.split("_")
-        test = (F.col("sex") == "MF".index(parts[0])) & (F.col("status") == ["NODIS", "IDEA", "LEP"].index(parts[-1]))
+        test = f"sex = {'MF'.index(parts[0])} AND status = {['NODIS', 'IDEA', 'LEP'].index(parts[-1])}"
         if len(parts) == 3:
-            test = (F.col("race") == B.RACES.index(parts[1])) & test
-        return F.sum(F.when(test, F.col("qty"))).alias(name)
+            test = f"race = {B.RACES.index(parts[1])} AND {test}"
+        return F.expr(f"sum(CASE WHEN {test} THEN qty END) AS {name}")
 
     sums = lines.groupBy("l_orderkey").agg(*[cell(c) for c in CELLS + TOTALS])
     orders = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", B.year_of().alias("SURVEY_YEAR"))
@@ -42,8 +42,7 @@ def school_cells(spark: SparkSession, sf: str, years: Column | None = None) -> D
 
 def cell_text(c: str, filler: str) -> Column:
     """Cell as published: filler where empty, a reserve code where it divides by eleven."""
-    v = F.col(c)
-    return F.when(v.isNull(), filler).when(v % 11 == 0, "-9").otherwise(v.cast("string"))
+    return F.expr(f"CASE WHEN {c} IS NULL THEN '{filler}' WHEN {c} % 11 = 0 THEN '-9' ELSE CAST({c} AS STRING) END")
 
 
 def _ids() -> list[Column]:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .nulls import _col
+from .nulls import _col, quote
 
 # What counts as a number in a text cell.
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
@@ -34,18 +34,18 @@ def strip_filler(c: Column | str, ignore: str = "", mode: str = "faithful") -> C
     return F.when(~text.isin("", "."), text)
 
 
-def text_to_long(c: Column | str, ignore: str = "", mode: str = "faithful") -> Column:
-    """Whole number in the cell, null when the cleaned text is not one.
+def text_to_long(column: str, ignore: str = "", mode: str = "faithful") -> Column:
+    """Whole number in the cells of a column, null where the cleaned text is not one.
 
     Cells that are empty once filler is gone never reach the cast, because a rejected cast costs an
     exception; only stray text pays for that.  Blanks around a number are no matter to the cast.
     """
-    text = _col(c).cast("string")
+    text = f"CAST({quote(column)} AS STRING)"
     if ignore and mode == "strict":
-        text = F.regexp_replace(text, f"^\\s*[{re.escape(ignore)}]+\\s*$", "")
+        text = f"regexp_replace({text}, r'^\\s*[{re.escape(ignore)}]+\\s*$', '')"
     elif ignore:
-        text = F.replace(text, F.lit(ignore), F.lit("")) if len(ignore) == 1 else F.translate(text, ignore, "")
-    return F.nullif(text, F.lit("")).try_cast("bigint")
+        text = f"replace({text}, '{ignore}', '')" if len(ignore) == 1 else f"translate({text}, '{ignore}', '')"
+    return F.expr(f"try_cast(nullif({text}, '') AS BIGINT)")
 
 
 def text_to_double(c: Column | str, ignore: str = "", mode: str = "faithful") -> Column:
@@ -54,10 +54,10 @@ def text_to_double(c: Column | str, ignore: str = "", mode: str = "faithful") ->
     return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
 
 
-def scrub_reserve(c: Column | str) -> Column:
+def scrub_reserve(column: str) -> Column:
     """Negative values are reserve codes and become null."""
-    c = _col(c)
-    return F.when(c >= 0, c)
+    c = quote(column)
+    return F.expr(f"CASE WHEN {c} >= 0 THEN {c} END")
 
 
 def flag_code(c: Column | str) -> Column:
@@ -99,9 +99,8 @@ def reporting_standard(total5: Column | str, total7: Column | str) -> Column:
     return F.when(t7.isNotNull() & (t7 != 0), 7).otherwise(5)
 
 
-def by_standard(standard: Column | str, five: Column | None, seven: Column) -> Column:
+def by_standard(standard: str, five: str | None, seven: str) -> Column:
     """Cell of the reported standard; groups that only exist under seven are taken as they are."""
     if five is None:
-        return seven
-    standard = _col(standard)
-    return F.when(standard == 5, five).when(standard == 7, seven)
+        return F.col(quote(seven))
+    return F.expr(f"CASE {quote(standard)} WHEN 5 THEN {quote(five)} WHEN 7 THEN {quote(seven)} END")

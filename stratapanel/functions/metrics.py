@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .nulls import _col, not_in, ratio
+from .nulls import _col, not_in, quote, ratio
 
 # Groups compared in the series, and the label texts shown for them.
 COMPARED_GROUPS = ["BL", "HI", "WH", "AI", "AS"]
@@ -85,13 +85,13 @@ def series_class(c: Column | str, total_code: str) -> Column:
 def risk_columns(count_prefix: str = "CORP_", base_prefix: str = "ENR_") -> dict[str, Column]:
     """Two group rates, then the risk ratio and risk difference of every pair."""
 
-    def rate(group: str) -> Column:
-        return ratio(F.col(count_prefix + group), F.col(base_prefix + group))
+    def rate(group: str) -> str:
+        return f"try_divide(CAST({quote(count_prefix + group)} AS DOUBLE), CAST({quote(base_prefix + group)} AS DOUBLE))"
 
-    out = {"bl_rate": rate("BL"), "wh_rate": rate("WH")}
+    out = {"bl_rate": F.expr(rate("BL")), "wh_rate": F.expr(rate("WH"))}
     for name, (a, b) in RISK_PAIRS.items():
-        out[f"{name}_rr"] = ratio(rate(a), rate(b))
-        out[f"{name}_rd"] = rate(a) - rate(b)
+        out[f"{name}_rr"] = F.expr(f"try_divide({rate(a)}, {rate(b)})")
+        out[f"{name}_rd"] = F.expr(f"{rate(a)} - {rate(b)}")
     return out
 
 

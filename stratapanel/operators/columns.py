@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.nulls import quote
 from .guards import at_most
 
 Spec = str | tuple[str, str]
@@ -46,7 +47,7 @@ def _known(columns: Sequence[str], wanted: str) -> str:
 def keep(df: DataFrame, *specs: Spec) -> DataFrame:
     """Only the columns matched, in table order."""
     chosen = set(expand(df, *specs))
-    return df.select([F.col(f"`{c}`") for c in df.columns if c in chosen])
+    return df.select([quote(c) for c in df.columns if c in chosen])
 
 
 def drop(df: DataFrame, *specs: Spec) -> DataFrame:
@@ -57,7 +58,7 @@ def drop(df: DataFrame, *specs: Spec) -> DataFrame:
 def order(df: DataFrame, *specs: Spec) -> DataFrame:
     """Matched columns first, the rest after them in table order."""
     front = expand(df, *specs)
-    return df.select([F.col(f"`{c}`") for c in front + [c for c in df.columns if c not in front]])
+    return df.select([quote(c) for c in front + [c for c in df.columns if c not in front]])
 
 
 def upper_names(df: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def replace_by(df: DataFrame, **derived: Column) -> DataFrame:
     """Existing columns replaced, in place, by expressions over the old row."""
     for c in derived:
         _known(df.columns, c)
-    return df.select([derived[c].alias(c) if c in derived else F.col(f"`{c}`") for c in df.columns])
+    return df.withColumns(derived) if derived else df
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -95,7 +96,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def apply_to(df: DataFrame, columns: Iterable[str], fn: Callable[[Column], Column]) -> DataFrame:
     """``fn`` over each of the columns, in one projection."""
-    return replace_by(df, **{c: fn(F.col(f"`{c}`")) for c in columns})
+    return replace_by(df, **{c: fn(F.col(quote(c))) for c in columns})
 
 
 def apply_numeric(df: DataFrame, fn: Callable[[Column], Column], exclude: Iterable[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import cleaning as C
 from ..functions import vocabulary as V
-from ..functions.nulls import rowtotal
+from ..functions.nulls import quote, rowtotal
 from . import columns as K
 
 
@@ -26,7 +26,7 @@ def convertible(df: DataFrame, columns: Sequence[str], ignore: str = "", mode: s
         return {}
     parts = []
     for c in columns:
-        text = C.strip_filler(F.col(f"`{c}`"), ignore, mode)
+        text = C.strip_filler(F.col(quote(c)), ignore, mode)
         parts.append(F.count_if(~text.rlike(C.NUMBER_TEXT)).alias(f"text|{c}"))
         parts.append(F.count_if(~text.rlike(C.INTEGER_TEXT)).alias(f"frac|{c}"))
     row = df.agg(*parts).first()
@@ -53,16 +53,14 @@ def destring(
     wanted = text if columns is None else [c for c in columns if c in text]
     wanted = [c for c in wanted if c not in protected]
     types = dict.fromkeys(wanted, "bigint") if declared else convertible(df, wanted, ignore, mode)
-    reader = {"bigint": C.text_to_long, "double": C.text_to_double}
-    changed = {
-        c: reader[kind](F.col(f"`{c}`"), ignore, mode) for c, kind in types.items() if kind != "string"
-    }
-    return K.replace_by(df, **changed)
+    readers = {"bigint": C.text_to_long, "double": C.text_to_double}
+    return K.replace_by(df, **{c: readers[kind](c, ignore, mode) for c, kind in types.items() if kind != "string"})
 
 
 def scrub(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     """Negative reserve codes to null in every numeric column."""
-    return K.apply_numeric(df, C.scrub_reserve, exclude)
+    skip = set(exclude)
+    return K.replace_by(df, **{c: C.scrub_reserve(c) for c in K.numeric_columns(df) if c not in skip})
 
 
 def detect_standard(df: DataFrame, into: str = "RACES_REPORTED") -> DataFrame:
@@ -81,10 +79,7 @@ def select_by_standard(
     df: DataFrame, choices: Sequence[V.Choice], others: Sequence[str], standard: str = "RACES_REPORTED"
 ) -> DataFrame:
     """The target cells, each from the source column of the standard its row reports under."""
-    picked = [
-        C.by_standard(standard, F.col(f"`{c.five}`") if c.five else None, F.col(f"`{c.seven}`")).alias(c.target)
-        for c in choices
-    ]
+    picked = [C.by_standard(standard, c.five, c.seven).alias(c.target) for c in choices]
     return df.select(*others, *picked)
 
 
@@ -93,17 +88,12 @@ def fact_cells(df: DataFrame, ids: Sequence[str], cells: Sequence[str], value: s
 
     Names are parsed here, once, so no row is matched against a pattern at run time.
     """
-    parts = {c: parse_name(c) for c in cells}
-    rows = F.array(
-        *[
-            F.struct(
-                *[F.lit(p).cast("string").alias(k) for k, p in parts[c].items()],
-                F.col(f"`{c}`").cast("bigint").alias(value),
-            )
-            for c in cells
-        ]
-    )
-    return df.select(*ids, F.inline(rows))
+    def row(cell: str) -> str:
+        texts = ["CAST(NULL AS STRING)" if p is None else f"'{p}'" for p in parse_name(cell).values()]
+        return ", ".join([*texts, f"CAST({quote(cell)} AS BIGINT)"])
+
+    stacked = f"stack({len(cells)}, {', '.join(row(c) for c in cells)}) AS (measure, gender, race, status, {value})"
+    return df.select(*ids, F.expr(stacked))
 
 
 def parse_name(target: str) -> dict[str, str | None]:

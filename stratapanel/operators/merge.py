@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import quote
 from .guards import guard
 
 # The codes of the provenance column.
@@ -49,15 +50,15 @@ def merge_one(
         raise ValueError("provenance is defined for two tables")
     payload = [[c for c in t.columns if c not in on] for t in tables]
     tagged = [
-        t.select(
-            *on, F.lit(i).alias("_side"), *[F.col(f"`{c}`").alias(f"_{i}|{c}") for c in payload[i]]
+        t.selectExpr(
+            *map(quote, on), f"{i} AS _side", *[f"{quote(c)} AS {quote(f'_{i}|{c}')}" for c in payload[i]]
         )
         for i, t in enumerate(tables)
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     merged = stacked.groupBy(*on).agg(
-        *[F.count_if(F.col("_side") == i).alias(f"_n{i}") for i in range(len(tables))],
-        *[F.max(f"`_{i}|{c}`").alias(f"_{i}|{c}") for i in range(len(tables)) for c in payload[i]],
+        *[F.expr(f"count_if(_side = {i}) AS _n{i}") for i in range(len(tables))],
+        *[F.expr(f"max({m}) AS {m}") for i in range(len(tables)) for m in (quote(f"_{i}|{c}") for c in payload[i])],
     )
     counts = [F.col(f"_n{i}") for i in range(len(tables))]
     unique = reduce(lambda a, b: a & b, [n <= 1 for n in counts])
@@ -68,22 +69,17 @@ def merge_one(
         tests = {LEFT_ONLY: left & ~right, RIGHT_ONLY: ~left & right, BOTH: left & right}
         merged = merged.filter(reduce(lambda a, b: a | b, [tests[w] for w in sorted(wanted)]))
 
-    values: dict[str, Column] = {}
-    seen = F.lit(False)
+    values: dict[str, str] = {}
     for i, names in enumerate(payload):
-        here = counts[i] > 0
+        seen = " OR ".join(f"_n{k} > 0" for k in range(i))
         for c in names:
-            mine = F.col(f"`_{i}|{c}`")
-            values[c] = F.when(seen, values[c]).otherwise(mine) if c in values else mine
-        seen = here if i == 0 else seen | here
-    out = [F.col(k) for k in on] + [v.alias(c) for c, v in values.items()]
+            mine = quote(f"_{i}|{c}")
+            values[c] = f"CASE WHEN {seen} THEN {values[c]} ELSE {mine} END" if c in values else mine
+    out = [quote(k) for k in on] + [f"{v} AS {quote(c)}" for c, v in values.items()]
     if indicator:
-        out.append(_provenance(counts[0] > 0, counts[1] > 0).alias(indicator))
-    return merged.select(*out)
-
-
-def _provenance(left: Column, right: Column) -> Column:
-    return F.when(left & right, BOTH).when(left, LEFT_ONLY).otherwise(RIGHT_ONLY)
+        code = f"CASE WHEN _n0 > 0 AND _n1 > 0 THEN {BOTH} WHEN _n0 > 0 THEN {LEFT_ONLY} ELSE {RIGHT_ONLY} END"
+        out.append(f"{code} AS {quote(indicator)}")
+    return merged.selectExpr(*out)
 
 
 def unique_rows(df: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -91,7 +87,7 @@ def unique_rows(df: DataFrame, on: Sequence[str]) -> DataFrame:
     on = list(on)
     rest = [c for c in df.columns if c not in on]
     grouped = df.groupBy(*on).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.max(f"`{c}`").alias(c) for c in rest]
+        F.count(F.lit(1)).alias("_n"), *[F.expr(f"max({quote(c)}) AS {quote(c)}") for c in rest]
     )
     message = F.concat(F.lit(f"not unique on {', '.join(on)}: "), _key_text(on))
     return guard(grouped, F.col("_n") == 1, message).select(*df.columns)

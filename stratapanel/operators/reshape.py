@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import in_
+from ..functions.nulls import in_, quote
 from .guards import guard
 
 
@@ -24,14 +24,16 @@ def reshape_long(
         suffixes = sorted(found)
     wide = {s + x for s in stubs for x in suffixes}
     rest = [c for c in df.columns if c not in wide]
-    types = {s: next(df.schema[s + x].dataType for x in suffixes if s + x in df.columns) for s in stubs}
+    present = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    types = {s: next(present[s + x] for x in suffixes if s + x in present) for s in stubs}
 
-    def cell(stub: str, suffix: str):
-        c = F.col(f"`{stub + suffix}`") if stub + suffix in df.columns else F.lit(None)
-        return c.cast(types[stub]).alias(stub)
+    def cell(stub: str, suffix: str) -> str:
+        c = quote(stub + suffix) if stub + suffix in present else "NULL"
+        return f"CAST({c} AS {types[stub]})"
 
-    rows = F.array(*[F.struct(F.lit(x).alias(j), *[cell(s, x) for s in stubs]) for x in suffixes])
-    return df.select(*[F.col(f"`{c}`") for c in rest], F.inline(rows))
+    rows = ", ".join(f"'{x}', " + ", ".join(cell(s, x) for s in stubs) for x in suffixes)
+    names = ", ".join(quote(n) for n in (j, *stubs))
+    return df.select(*[quote(c) for c in rest], F.expr(f"stack({len(suffixes)}, {rows}) AS ({names})"))
 
 
 def pivot_wider(
@@ -44,7 +46,9 @@ def pivot_wider(
     """
     known = guard(df, in_(names_from, names), F.concat(F.lit("unlisted name: "), F.col(names_from).cast("string")))
     cells = [
-        F.max(F.when(F.col(names_from) == n, F.col(v))).alias(f"{v}_{n}") for v in values_from for n in names
+        F.expr(f"max(CASE WHEN {quote(names_from)} = '{n}' THEN {quote(v)} END) AS {quote(f'{v}_{n}')}")
+        for v in values_from
+        for n in names
     ]
     return known.groupBy(*ids).agg(*cells)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.nulls import sum0, sum_na
+from ..functions.nulls import quote, sum0, sum_na
 from .guards import at_most
 
 # Fixed value: the longest one-way table that is printed.
@@ -21,7 +21,7 @@ def collapse(
     """Sums with nulls as 0 and maxima that skip nulls, per group; a null key is a group of its own."""
     by = list(by)
     return df.groupBy(*by).agg(
-        *[sum0(f"`{c}`").alias(c) for c in sums], *[F.max(f"`{c}`").alias(c) for c in maxima if c not in by]
+        *[sum0(c).alias(c) for c in sums], *[F.max(quote(c)).alias(c) for c in maxima if c not in by]
     )
 
 

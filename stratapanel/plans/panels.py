@@ -20,7 +20,7 @@ def add_race_totals(panel: DataFrame, topic: str) -> DataFrame:
     prefix = V.outcome(topic)
     totals = []
     for race in V.RACES:
-        cells = [F.col(f"`{c}`") for c in V.total_cells(topic, race) if c in panel.columns]
+        cells = [c for c in V.total_cells(topic, race) if c in panel.columns]
         options = [F.col(f"{prefix}_{race}")] if f"{prefix}_{race}" in panel.columns else []
         options += [rowtotal_missing(cells)] if cells else []
         value = F.coalesce(*options) if options else F.lit(None)

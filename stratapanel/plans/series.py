@@ -149,7 +149,7 @@ def risk_series(
         rows = rows.filter(F.col("YEAR") >= first_year)
     wide = rows.groupBy(*ids).agg(
         *[
-            sum_na_where(F.col("race_adjusted") == g, value).alias(f"{name}_{g}")
+            sum_na_where("race_adjusted", g, value).alias(f"{name}_{g}")
             for name, value in (("ENR", topic.base), ("CORP", topic.count))
             for g in [*M.COMPARED_GROUPS, M.OTHER]
         ]

@@ -119,9 +119,9 @@ def race_partials(table: DataFrame, topic: str, suppressed_as_zero: bool) -> Dat
     is.  A table without the cells of a total (in-school suspensions, say) gives null.
     """
     total = rowtotal if suppressed_as_zero else rowtotal_missing
-    out = []
+    present, out = set(table.columns), []
     for race in V.RACES:
-        cells = [F.col(f"`{c}`") for c in V.total_cells(topic, race) if c in table.columns]
+        cells = [c for c in V.total_cells(topic, race) if c in present]
         value = total(cells) if cells else F.lit(None)
         out.append(value.cast("bigint").alias(f"summed_{race}"))
     return table.select("LEAID", "YEAR", *out)
@@ -129,11 +129,9 @@ def race_partials(table: DataFrame, topic: str, suppressed_as_zero: bool) -> Dat
 
 def reported_partials(table: DataFrame, topic: str) -> DataFrame:
     """Race totals that a historic district extract reports itself."""
-    prefix = V.outcome(topic)
-    return table.select(
-        "LEAID", "YEAR",
-        *[F.col(f"{prefix}_{r}").cast("bigint").alias(f"reported_{r}") for r in V.RACES if f"{prefix}_{r}" in table.columns],
-    )
+    prefix, present = V.outcome(topic), set(table.columns)
+    reported = [r for r in V.RACES if f"{prefix}_{r}" in present]
+    return table.selectExpr("LEAID", "YEAR", *[f"CAST({prefix}_{r} AS BIGINT) AS reported_{r}" for r in reported])
 
 
 def ingest_lea(tables: Sequence[DataFrame]) -> DataFrame:

@@ -20,6 +20,7 @@ def local_session(app: str = "stratapanel", cores: int | str = "*", **extra: str
     local = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.bindAddress": "127.0.0.1",
