@@ -66,11 +66,11 @@ def upper_names(df: DataFrame) -> DataFrame:
 
 
 def rename(df: DataFrame, names: dict[str, str], missing: str = "error") -> DataFrame:
-    """Rename by a crosswalk; a source column that is not there is an error unless ``missing="skip"``."""
+    """Rename by a crosswalk, all names at once; a source column that is not there is an error unless ``missing="skip"``."""
     absent = [c for c in names if c not in df.columns]
     if absent and missing == "error":
         raise ValueError(f"columns not found: {absent}")
-    return df.withColumnsRenamed({old: new for old, new in names.items() if old in df.columns})
+    return df.toDF(*[names.get(c, c) for c in df.columns])
 
 
 def rename_pairs(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame:
