@@ -54,11 +54,11 @@ def _wide_sql(where: str, extra: str = "") -> str:
 compared AS (SELECT *, {rate['BL']} AS bl_rate, {rate['WH']} AS wh_rate, {pairs} FROM wide)"""
 
 
-def _risk_sql(where: str, types=M.RISK_TYPES) -> str:
+def _risk_sql(where: str, types=M.RISK_TYPES, state=B.STATE) -> str:
     groups = [*M.COMPARED_GROUPS, "OTHER"]
     ids = ", ".join(['"YEAR"', *[f"{v}_{g}" for v in ("ENR", "CORP") for g in groups], "bl_rate", "wh_rate"])
     rows = "\n  UNION ALL ".join(f"SELECT {ids}, '{t}' AS type, {t} AS value FROM compared" for t in types)
-    return f"{B.STATE},\n{_wide_sql(where)}\nSELECT DISTINCT *, {TYPE_CASE} AS legend_text FROM (\n  {rows})"
+    return f"{state},\n{_wide_sql(where)}\nSELECT DISTINCT *, {TYPE_CASE} AS legend_text FROM (\n  {rows})"
 
 
 NOT_LAST = f'"YEAR" <> {B.LAST_YEAR}'
@@ -111,8 +111,9 @@ def clip_series(spark, sf):
     return clipped.select("legend_text", "YEAR", "type", "value")
 
 
-def oss_rate_series(spark, sf):
-    """The suspension variant: total code, membership base, last year read as the one before."""
+def _suspensions(spark, sf):
+    """The suspension variant of the state table: total code, membership base, a state unknown, the
+    last year read as the one before."""
     raw = B.state_long(spark, sf).select(
         "YEAR",
         F.when(F.col("STATE_CODE") != "NATION_7", F.col("STATE_CODE")).alias("STATE_CODE"),
@@ -120,9 +121,17 @@ def oss_rate_series(spark, sf):
         F.col("CORP_").alias("OSS_"),
         F.col("ENR_").alias("MEM_"),
     )
-    table = S.suspension_input(raw).withColumn("YEAR", S.rewrite_year("YEAR", B.LAST_YEAR, B.LAST_YEAR - 1))
-    series = S.rate_series(table, S.OSS, first_year=None, drop_null_state=True)
-    return series.drop("size")
+    return S.suspension_input(raw).withColumn("YEAR", S.rewrite_year("YEAR", B.LAST_YEAR, B.LAST_YEAR - 1))
+
+
+def oss_rate_series(spark, sf):
+    return S.rate_series(_suspensions(spark, sf), S.OSS, first_year=None, drop_null_state=True).drop("size")
+
+
+def oss_risk_series(spark, sf):
+    """Risk series of the sometime cohort; the unknown state is in no list and stays."""
+    rows = S.in_cohort(_suspensions(spark, sf), "sometime", B.allowed_states(spark, sf), B.EXCLUDED_STATES)
+    return S.risk_series(rows, S.OSS, first_year=None)
 
 
 OSS_RATE_SQL = f"""{B.STATE}
@@ -134,6 +143,11 @@ FROM (SELECT CASE WHEN "YEAR" = {B.LAST_YEAR} THEN {B.LAST_YEAR - 1} ELSE "YEAR"
 WHERE race_fixed IN ({KEPT})"""
 
 
+OSS_STATE = f"""{B.STATE.replace('state_long AS', 'known AS')},
+state_long AS (SELECT CASE WHEN "YEAR" = {B.LAST_YEAR} THEN {B.LAST_YEAR - 1} ELSE "YEAR" END AS "YEAR",
+  nullif(STATE_CODE, 'NATION_7') AS STATE_CODE, race, CORP_, ENR_ FROM known)"""
+
+
 def cohort_from_rules(spark, sf):
     """Districts per state of a cohort that a rule over law attributes defines."""
     nation = B.table(spark, sf, "nation")
@@ -218,6 +232,9 @@ QUERIES = {
     "rate_series_always": (rate_series("always"), f"{B.STATE} {_rate_sql(ALWAYS)}"),
     "rate_series_sometime": (rate_series("sometime"), f"{B.STATE} {_rate_sql(SOMETIME)}"),
     "oss_rate_series": (oss_rate_series, OSS_RATE_SQL),
+    "oss_risk_series": (
+        oss_risk_series, _risk_sql(f"(STATE_CODE IS NULL OR {SOMETIME})", state=OSS_STATE),
+    ),
     "cohort_one_pass": (cohort_one_pass, ONE_PASS_SQL),
     "cohort_from_rules": (cohort_from_rules, COHORT_SQL),
     "clip_series": (

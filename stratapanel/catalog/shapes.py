@@ -90,6 +90,12 @@ def state_table_pct(spark, sf):
     return T.suspension_table(_enrolment(spark, sf), _outcomes(spark, sf, "OSS"))
 
 
+def fill_state_code(spark, sf):
+    """District rows with the state name their code implies, blanks included; sums per state."""
+    filled = T.fill_state(_enrolment(spark, sf))
+    return filled.groupBy("YEAR", "FIPS", "STATE_CODE").agg(F.count(F.lit(1)).alias("districts"), F.sum("ENR_sumrace").alias("enr"))
+
+
 SAMPLED = f"""leas AS (SELECT o_custkey, "YEAR", STATE_CODE, {B.WIDE_SUMS} FROM fact GROUP BY 1, 2, 3),
 sampled AS (SELECT * FROM leas WHERE (o_custkey + "YEAR") % 5 <> 0 AND (o_custkey + "YEAR") % 7 <> 0),
 sums AS (SELECT "YEAR", STATE_CODE, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in B.WIDE)} FROM sampled GROUP BY 1, 2)"""
@@ -110,6 +116,11 @@ PCT_SQL = f"WITH {B.FACT}, {SAMPLED}\n" + "\nUNION ALL ".join(
 )
 
 QUERIES = {
+    "fill_state_code": (
+        fill_state_code,
+        f"""WITH {B.FACT} SELECT "YEAR", lpad(replace(STATE_CODE, 'NATION_', ''), 2, '0') AS "FIPS", STATE_CODE AS "STATE_CODE",
+        count(DISTINCT o_custkey) AS districts, CAST(sum(enr) AS BIGINT) AS enr FROM fact GROUP BY 1, 2, 3""",
+    ),
     "reshape_long_two_stubs": (
         reshape_long_two_stubs,
         f"""WITH {B.FACT}, leas AS (SELECT o_custkey, "YEAR", {B.WIDE_SUMS} FROM fact GROUP BY 1, 2)\n"""

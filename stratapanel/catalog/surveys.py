@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..operators import columns as K
 from ..operators import crosswalk as X
-from ..operators.rollup import collapse
 from ..plans import panels, waves
 from . import base as B
 
@@ -63,8 +62,8 @@ def _source_cell(choice: V.Choice, disabled: bool) -> str:
     return f"{gender}_{'LEP' if special else group}"
 
 
-def raw_2011(cells: DataFrame, disabled: bool) -> DataFrame:
-    columns = [cell_text(_source_cell(c, disabled), "‡").alias(c.seven) for c in V.table_choices("CORP", disabled)]
+def raw_2011(cells: DataFrame, disabled: bool, measure: str = "CORP") -> DataFrame:
+    columns = [cell_text(_source_cell(c, disabled), "‡").alias(c.seven) for c in V.table_choices(measure, disabled)]
     remark = F.when(F.col("o_orderstatus") == "P", "Yes").alias("Incomplete")
     return cells.select(*_ids(), *columns, remark)
 
@@ -81,10 +80,10 @@ def raw_2009(cells: DataFrame) -> DataFrame:
     return cells.select(*_ids(), *columns)
 
 
-def raw_modern(cells: DataFrame, year: int = 2013) -> DataFrame:
+def raw_modern(cells: DataFrame, year: int = 2013, topic: str = "CP") -> DataFrame:
     """One wide extract, lower-case names, with the instances flag."""
     columns = []
-    for source, target in V.modern_crosswalk("CP", year).items():
+    for source, target in V.modern_crosswalk(topic, year).items():
         parts = X.parse_name(target)
         disabled = parts["status"] not in ("NODIS", "NODIS_LEP")
         columns.append(cell_text(_source_cell(V.Choice(target, None, source), disabled), "").alias(source.lower()))
@@ -93,13 +92,13 @@ def raw_modern(cells: DataFrame, year: int = 2013) -> DataFrame:
     return cells.select(*_ids(), *columns, flag)
 
 
-def raw_historic(spark: SparkSession, sf: str, years: Column) -> DataFrame:
-    """District-year extract: five groups, text counts, blank where none were punished."""
+def raw_historic(spark: SparkSession, sf: str, years: Column, topic: str = "CP") -> DataFrame:
+    """District-year extract: five groups, text counts, blank where there are none."""
     leas = B.lea_years(spark, sf).filter(years)
-    columns = [
-        F.when(F.col(f"CORP_{r}") > 0, F.col(f"CORP_{r}").cast("string")).otherwise("").alias(f"T_{src}_COR")
-        for r, src in V.HISTORIC_RACES.items()
-    ]
+    columns = []
+    for source, target in V.historic_crosswalk(topic).items():
+        group = X.parse_name(target)["race"] or "sumrace"
+        columns.append(F.expr(f"CASE WHEN CORP_{group} > 0 THEN CAST(CORP_{group} AS STRING) ELSE '' END AS {source}"))
     return leas.select(B.district_id().alias("LEAID"), F.col("YEAR").cast("string").alias("YEAR"), *columns)
 
 
@@ -165,6 +164,19 @@ def lea_panel_totals(spark, sf):
     return panels.lea_totals("CP", schools=[nodis, dis, modern], historic=[historic])
 
 
+def oss_panel_totals(spark, sf):
+    """Suspension totals: reported early on, later single and multiple ones added up, in-school ones not."""
+    historic = waves.historic_lea(raw_historic(spark, sf, F.col("YEAR") <= 1997, "OSS"), "OSS")
+    mid = school_cells(spark, sf, F.col("SURVEY_YEAR").between(1998, 1999))
+    tables = [
+        waves.table_2011(raw_2011(mid, disabled, measure), measure, disabled, declared=True)
+        for measure, disabled in (("SINGOSS", False), ("MULTOSS", True), ("ISS", False))
+    ]
+    late = school_cells(spark, sf, F.col("SURVEY_YEAR") >= 2000)
+    modern = waves.table_modern(raw_modern(late, 2013, "OSS"), "OSS", 2013, declared=True)
+    return panels.lea_totals("OSS", schools=[*tables, modern], historic=[historic])
+
+
 def school_panel(spark, sf):
     """Schools of two layouts: one year's two tables merged 1:1, the other year's table below."""
     _, nodis, dis, modern = _panel_tables(spark, sf)
@@ -173,10 +185,9 @@ def school_panel(spark, sf):
 
 
 def long_fact_rollup(spark, sf):
-    """The wave as a long fact, rolled up by parsed attributes instead of by 18 wide columns."""
+    """District sums as a long fact by parsed attributes; unpivoted after the roll-up, not before."""
     school = waves.table_2011(raw_2011(school_cells(spark, sf), False), "CORP", False, declared=True)
-    fact = X.fact_cells(school, ["LEAID", "YEAR"], waves.measures_of(school))
-    return collapse(fact, ["LEAID", "YEAR", "measure", "gender", "race", "status"], ["value"])
+    return waves.lea_fact(school)
 
 
 def crosswalk_rename(spark, sf):
@@ -296,26 +307,28 @@ def _historic_sql() -> str:
     CASE WHEN coalesce({hp}, {mr}) IS NOT NULL THEN coalesce({hp}, 0) + coalesce({mr}, 0) END AS "CORP_DIS" FROM fact GROUP BY o_custkey, "YEAR\""""
 
 
-def _totals_sql() -> str:
-    names = [f"CORP_{r}" for r in V.RACES]
+def _totals_sql(prefix: str, middle: tuple[str, ...], times: int) -> str:
+    names = [f"{prefix}_{r}" for r in V.RACES]
     early = ", ".join(
-        f'nullif({B.group_sum("corp", r)}, 0) AS "CORP_{r}"' if r in V.HISTORIC_RACES else f'CAST(NULL AS BIGINT) AS "CORP_{r}"' for r in V.RACES
+        f'nullif({B.group_sum("corp", r)}, 0) AS "{prefix}_{r}"' if r in V.HISTORIC_RACES else f'CAST(NULL AS BIGINT) AS "{prefix}_{r}"'
+        for r in V.RACES
     )
 
-    def later(filler: str, ignore: str) -> str:
+    def later(filler: str, ignore: str, statuses: tuple[str, ...], times: int = 1) -> str:
         out = []
         for r in V.RACES:
-            cells = [f"{g}_{r}_{s}" for g in V.GENDERS for s in ("NODIS", "IDEA")]
-            out.append(_sum0(" + ".join(f"coalesce({_clean_sql(c, filler, ignore)}, 0)" for c in cells)) + f' AS "CORP_{r}"')
+            cells = [f"{g}_{r}_{s}" for g in V.GENDERS for s in statuses]
+            total = " + ".join(f"coalesce({_clean_sql(c, filler, ignore)}, 0)" for c in cells)
+            out.append(f'{times} * {_sum0(total)} AS "{prefix}_{r}"')
         return ", ".join(out)
 
     both = " + ".join(f'coalesce("{n}", 0)' for n in names)
     any_ = ", ".join(f'"{n}"' for n in names)
     return f"""WITH {B.FACT}, {_cells_sql()}, totals AS (
     SELECT "YEAR", lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS "LEAID", {early} FROM fact WHERE "YEAR" <= 1997 GROUP BY o_custkey, "YEAR"
-    UNION ALL SELECT 2011, leaid, {later("‡", "‡")} FROM cells WHERE survey_year BETWEEN 1998 AND 1999 GROUP BY leaid
-    UNION ALL SELECT 2013, leaid, {later("", "")} FROM cells WHERE survey_year >= 2000 GROUP BY leaid)
-    SELECT *, CASE WHEN coalesce({any_}) IS NOT NULL THEN {both} END AS "CORP_sumrace" FROM totals"""
+    UNION ALL SELECT 2011, leaid, {later("‡", "‡", middle)} FROM cells WHERE survey_year BETWEEN 1998 AND 1999 GROUP BY leaid
+    UNION ALL SELECT 2013, leaid, {later("", "", ("NODIS", "IDEA"), times)} FROM cells WHERE survey_year >= 2000 GROUP BY leaid)
+    SELECT *, CASE WHEN coalesce({any_}) IS NOT NULL THEN {both} END AS "{prefix}_sumrace" FROM totals"""
 
 
 def _school_sql() -> str:
@@ -380,7 +393,8 @@ QUERIES = {
     "modern_wave_to_lea": (modern_wave_to_lea, _modern_sql()),
     "preschool_wave_to_lea": (preschool_wave_to_lea, _preschool_sql()),
     "historic_lea_ingest": (historic_lea_ingest, _historic_sql()),
-    "lea_panel_totals": (lea_panel_totals, _totals_sql()),
+    "lea_panel_totals": (lea_panel_totals, _totals_sql("CORP", ("NODIS", "IDEA"), 1)),
+    "oss_panel_totals": (oss_panel_totals, _totals_sql("OSS", ("NODIS", "IDEA"), 2)),
     "school_panel": (school_panel, _school_sql()),
     "long_fact_rollup": (long_fact_rollup, _fact_sql()),
     "crosswalk_rename": (crosswalk_rename, _rename_sql()),

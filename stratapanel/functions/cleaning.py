@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .nulls import _col, quote
 
-# What counts as a number in a text cell.
-INTEGER_TEXT = r"^[+-]?[0-9]+$"
+# What counts as a number in a text cell.  More than 18 digits do not fit a whole
+# number for sure and are read as a double.
+INTEGER_TEXT = r"^[+-]?[0-9]{1,18}$"
 NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 STRIP_MODES = ("faithful", "strict")

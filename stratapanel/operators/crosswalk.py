@@ -19,18 +19,19 @@ from . import columns as K
 def convertible(df: DataFrame, columns: Sequence[str], ignore: str = "", mode: str = "faithful") -> dict[str, str]:
     """Type each text column can take: ``bigint``, ``double`` or ``string``.
 
-    One aggregate over the data, whatever the number of columns: per column, the count of cells
-    that are no number and the count of those that are no whole number.
+    One aggregate over the data, whatever the number of columns: per column the worst cell, 0 for
+    a whole number, 1 for another number, 2 for text.
     """
     if not columns:
         return {}
-    parts = []
-    for c in columns:
-        text = C.strip_filler(F.col(quote(c)), ignore, mode)
-        parts.append(F.count_if(~text.rlike(C.NUMBER_TEXT)).alias(f"text|{c}"))
-        parts.append(F.count_if(~text.rlike(C.INTEGER_TEXT)).alias(f"frac|{c}"))
-    row = df.agg(*parts).first()
-    return {c: "string" if row[f"text|{c}"] else "double" if row[f"frac|{c}"] else "bigint" for c in columns}
+    cleaned = df.select([C.strip_filler(F.col(quote(c)), ignore, mode).alias(c) for c in columns])
+
+    def worst(c: str) -> str:
+        grade = f"WHEN {c} RLIKE r'{C.INTEGER_TEXT}' THEN 0 WHEN {c} RLIKE r'{C.NUMBER_TEXT}' THEN 1 ELSE 2"
+        return f"max(CASE WHEN {c} IS NULL THEN 0 {grade} END) AS {c}"
+
+    row = cleaned.agg(*[F.expr(worst(quote(c))) for c in columns]).first()
+    return {c: ("bigint", "double", "string")[row[c] or 0] for c in columns}
 
 
 def destring(

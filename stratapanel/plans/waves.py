@@ -11,7 +11,7 @@ from ..functions import cleaning as C
 from ..functions import vocabulary as V
 from ..functions.nulls import rowtotal, rowtotal_missing
 from ..operators import columns as K
-from ..operators.crosswalk import destring, detect_standard, scrub, select_by_standard
+from ..operators.crosswalk import destring, detect_standard, fact_cells, scrub, select_by_standard
 from ..operators.rollup import collapse
 
 INDICATOR = "SCH_CORPINSTANCES_IND"
@@ -112,6 +112,16 @@ def to_lea(school: DataFrame) -> DataFrame:
     return collapse(school, ["LEAID"], measures_of(school), maxima)
 
 
+def lea_fact(school: DataFrame) -> DataFrame:
+    """District sums of a school table as long rows (LEAID, YEAR, measure, gender, race, status, value).
+
+    The roll-up comes first: unpivoting schools would send one row per school and cell into the
+    shuffle instead of one per school.
+    """
+    lea = to_lea(school)
+    return fact_cells(lea, V.DISTRICT_KEY, measures_of(lea))
+
+
 def race_partials(table: DataFrame, topic: str, suppressed_as_zero: bool) -> DataFrame:
     """Per row, the part of each race total this table holds.
 

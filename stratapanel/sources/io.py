@@ -30,12 +30,12 @@ def read_extract(spark: SparkSession, path: str, columns: Sequence[str] | None =
 def read_forced(spark: SparkSession, path: str, text_positions: Sequence[int]) -> DataFrame:
     """Delimited extract in which the columns at the given places (from 1) are text, the rest inferred.
 
-    Only a sample of the file is looked at for types; give a schema to ``read_table`` when the rest
-    must have a certain type.
+    Inference reads the whole extract, so that a late odd cell cannot turn into a null.  Where a
+    second read is too much, give ``read_csv`` a schema.
     """
     options = {"header": True, "quote": '"', "escape": '"'}
     names = spark.read.options(**options).csv(path).columns
-    guess = spark.read.options(**options, inferSchema=True, samplingRatio=0.1).csv(path).schema
+    guess = spark.read.options(**options, inferSchema=True).csv(path).schema
     forced = {names[p - 1] for p in text_positions}
     schema = T.StructType(
         [T.StructField(f.name, T.StringType() if f.name in forced else f.dataType) for f in guess.fields]
