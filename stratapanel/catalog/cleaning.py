@@ -19,7 +19,7 @@ def reserve_code_scrub(spark, sf):
 def text_accounts(spark, sf):
     """Customer balances as text, with a lone dash for some and a minus sign where negative."""
     whole = F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal")).otherwise(F.ceil("c_acctbal"))
-    text = F.when(F.col("c_custkey") % 10 == 0, "-").otherwise(whole.cast("string"))
+    text = F.when(F.col("c_mktsegment") == "BUILDING", "-").otherwise(whole.cast("string"))
     return B.table(spark, sf, "customer").select("c_custkey", "c_name", text.alias("balance"))
 
 
@@ -31,7 +31,7 @@ def lenient_destring_strict(spark, sf):
     return destring(text_accounts(spark, sf), ["c_name", "balance"], ignore="-", mode="strict")
 
 
-BALANCE = "CASE WHEN c_custkey % 10 = 0 THEN '-' ELSE CAST(CAST(trunc(c_acctbal) AS BIGINT) AS VARCHAR) END"
+BALANCE = "CASE WHEN c_mktsegment = 'BUILDING' THEN '-' ELSE CAST(CAST(trunc(c_acctbal) AS BIGINT) AS VARCHAR) END"
 
 
 def flag_decode(spark, sf):

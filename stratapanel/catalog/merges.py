@@ -36,7 +36,7 @@ def merge_chain(spark, sf):
 
 def merge_provenance_counts(spark, sf):
     documents = B.table(spark, sf, "documents").select("doc_id", "lang")
-    labels = B.table(spark, sf, "labels").select(F.when(F.col("doc_id") % 5 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"), "quality")
+    labels = B.table(spark, sf, "labels").select(F.when(F.col("quality") == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"), "quality")
     return G.merge_report(G.merge_one([documents, labels], ["doc_id"], "_merge"))
 
 
@@ -49,7 +49,7 @@ def merge_matched_only(spark, sf):
 def merge_m1_lookup(spark, sf):
     """Orders to customers with all three outcomes, then to the state; counts per state and outcome."""
     orders = B.table(spark, sf, "orders").select(
-        F.when(F.col("o_orderkey") % 9 == 0, -F.col("o_custkey") - 1).otherwise(F.col("o_custkey")).alias("key"), "o_orderkey"
+        F.when(F.col("o_orderstatus") == "P", -F.col("o_custkey") - 1).otherwise(F.col("o_custkey")).alias("key"), "o_orderkey"
     )
     customers = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
     merged = G.merge_many(orders, customers, ["key"], "_merge")
@@ -84,19 +84,20 @@ def _attr_sql(name, flag):
 
 
 def panel_stack(spark, sf):
-    """Even years come as two tables to merge, odd years as one; years go under one another."""
+    """Late years come as two overlapping tables to merge, early years as one; years go under one another."""
     leas = B.lea_years(spark, sf).withColumnRenamed("o_custkey", "LEAID")
-    even, odd = leas.filter("YEAR % 2 = 0"), leas.filter("YEAR % 2 = 1")
-    first = even.filter("LEAID % 3 <> 0").select("LEAID", "YEAR", "ENR_AI", "ENR_BL")
-    second = even.filter("LEAID % 3 <> 1").select("LEAID", "YEAR", "ENR_BL", "CORP_BL")
-    single = odd.select("LEAID", "YEAR", "ENR_AI", "CORP_WH")
-    return G.stack_panel({2000: [first, second], 2001: [single]}, ["LEAID", "YEAR"])
+    early, late = leas.filter("YEAR < 1998"), leas.filter("YEAR >= 1998")
+    first = late.filter("ENR_AI > 0").select("LEAID", "YEAR", "ENR_AI", "ENR_BL")
+    second = late.filter("ENR_AS > 0").select("LEAID", "YEAR", "ENR_BL", "CORP_BL")
+    single = early.select("LEAID", "YEAR", "ENR_AI", "CORP_WH")
+    return G.stack_panel({1997: [single], 2001: [first, second]}, ["LEAID", "YEAR"])
 
 
 PANEL_SQL = f"""WITH {B.FACT}, leas AS (SELECT o_custkey AS "LEAID", "YEAR", {B.WIDE_SUMS} FROM fact GROUP BY 1, 2)
-SELECT "LEAID", "YEAR", CASE WHEN "LEAID" % 3 <> 0 THEN ENR_AI END AS "ENR_AI", ENR_BL AS "ENR_BL",
-  CASE WHEN "LEAID" % 3 <> 1 THEN CORP_BL END AS "CORP_BL", CAST(NULL AS BIGINT) AS "CORP_WH" FROM leas WHERE "YEAR" % 2 = 0
-UNION ALL SELECT "LEAID", "YEAR", ENR_AI, NULL, NULL, CORP_WH FROM leas WHERE "YEAR" % 2 = 1"""
+SELECT "LEAID", "YEAR", nullif(ENR_AI, 0) AS "ENR_AI", ENR_BL AS "ENR_BL",
+  CASE WHEN ENR_AS > 0 THEN CORP_BL END AS "CORP_BL", CAST(NULL AS BIGINT) AS "CORP_WH"
+  FROM leas WHERE "YEAR" >= 1998 AND (ENR_AI > 0 OR ENR_AS > 0)
+UNION ALL SELECT "LEAID", "YEAR", ENR_AI, NULL, NULL, CORP_WH FROM leas WHERE "YEAR" < 1998"""
 
 
 def append_union(spark, sf):
@@ -138,7 +139,7 @@ QUERIES = {
     "merge_provenance_counts": (
         merge_provenance_counts,
         """SELECT CASE WHEN l.doc_id IS NULL THEN 1 WHEN d.doc_id IS NULL THEN 2 ELSE 3 END AS _merge, count(*) AS n
-        FROM documents d FULL JOIN (SELECT CASE WHEN doc_id % 5 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id FROM labels) l
+        FROM documents d FULL JOIN (SELECT CASE WHEN quality = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id FROM labels) l
         ON d.doc_id = l.doc_id GROUP BY 1""",
     ),
     "merge_matched_only": (
@@ -149,7 +150,7 @@ QUERIES = {
         merge_m1_lookup,
         """SELECT nation, _merge, count(*) AS n, any_value(n_name) AS n_name FROM (
         SELECT c_nationkey AS nation, CASE WHEN c_custkey IS NULL THEN 1 WHEN o_orderkey IS NULL THEN 2 ELSE 3 END AS _merge
-        FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN -o_custkey - 1 ELSE o_custkey END AS key FROM orders)
+        FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_custkey - 1 ELSE o_custkey END AS key FROM orders)
         FULL JOIN customer ON key = c_custkey) LEFT JOIN nation ON nation = n_nationkey GROUP BY 1, 2""",
     ),
     "merge_inner_dim": (

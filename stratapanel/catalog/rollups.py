@@ -89,16 +89,15 @@ def count_if(spark, sf):
 
 def state_pairs(spark, sf):
     """Districts with a FIPS code and a state name that is blank for part of them."""
-    blank = F.col("c_custkey") % 4 == 1
-    rows = B.customer_states(spark, sf)
+    rows = B.table(spark, sf, "customer").join(B.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(
         F.format_string("%02d", F.col("n_nationkey")).alias("FIPS"),
-        F.when(blank, "").otherwise(F.col("STATE_CODE")).alias("STATE"),
+        F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("n_name")).alias("STATE"),
     )
 
 
 PAIRS = """pairs AS (SELECT DISTINCT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS FIPS,
-  CASE WHEN c_custkey % 4 <> 1 THEN n_name END AS STATE FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  CASE WHEN c_acctbal >= 0 THEN n_name END AS STATE FROM customer JOIN nation ON c_nationkey = n_nationkey),
 dups AS (SELECT FIPS, STATE, CASE WHEN count(*) OVER (PARTITION BY FIPS) = 1 THEN 0
   ELSE CAST(row_number() OVER (PARTITION BY FIPS ORDER BY STATE NULLS FIRST) AS INTEGER) END AS dup FROM pairs)"""
 
@@ -117,10 +116,10 @@ def quality_report(spark, sf):
     customers = B.table(spark, sf, "customer")
     panel = leas.select(
         F.col("o_custkey").alias("LEAID"), "YEAR",
-        F.when(F.col("YEAR") % 2 == 0, F.col("ENR_AI")).otherwise(0).alias("t5"),
-        F.when(F.col("YEAR") % 3 == 0, F.col("ENR_MR")).otherwise(0).alias("t7"),
+        F.when(F.col("YEAR") <= 1998, F.col("ENR_AI")).otherwise(0).alias("t5"),
+        F.when(F.col("YEAR") >= 1998, F.col("ENR_MR")).otherwise(0).alias("t7"),
         F.col("ENR_sumrace").alias("summed"),
-        (F.col("ENR_sumrace") + F.col("YEAR") % 2).alias("reported"),
+        F.when(F.col("YEAR") > 1996, F.col("ENR_sumrace")).otherwise(F.col("ENR_WH")).alias("reported"),
     )
     districts = customers.select(F.col("c_custkey").alias("LEAID"))
     return quality.report(
@@ -134,8 +133,9 @@ def quality_report(spark, sf):
 
 QUALITY_SQL = f"""WITH {B.FACT},
 leas AS (SELECT o_custkey AS LEAID, "YEAR", sum(enr) AS summed,
-  sum(CASE WHEN race = 'AI' THEN enr ELSE 0 END) * (1 - "YEAR" % 2) AS t5,
-  CASE WHEN "YEAR" % 3 = 0 THEN sum(CASE WHEN race = 'MR' THEN enr ELSE 0 END) ELSE 0 END AS t7
+  sum(CASE WHEN race = 'WH' THEN enr ELSE 0 END) AS white,
+  CASE WHEN "YEAR" <= 1998 THEN sum(CASE WHEN race = 'AI' THEN enr ELSE 0 END) ELSE 0 END AS t5,
+  CASE WHEN "YEAR" >= 1998 THEN sum(CASE WHEN race = 'MR' THEN enr ELSE 0 END) ELSE 0 END AS t7
   FROM fact GROUP BY 1, 2)
 SELECT 'both standards' AS "check", count(*) AS n FROM leas WHERE t5 <> 0 AND t7 <> 0
 UNION ALL SELECT 'repeated keys', 0
@@ -143,7 +143,7 @@ UNION ALL SELECT 'left only', count(*) FROM (SELECT LEAID FROM leas EXCEPT SELEC
 UNION ALL SELECT 'right only', count(*) FROM customer WHERE c_custkey NOT IN (SELECT LEAID FROM leas)
 UNION ALL SELECT 'matched', count(DISTINCT LEAID) FROM leas
 UNION ALL SELECT 'values covered', count(DISTINCT "YEAR") FROM leas
-UNION ALL SELECT 'totals differ', count(*) FROM leas WHERE "YEAR" % 2 = 1"""
+UNION ALL SELECT 'totals differ', count(*) FROM leas WHERE "YEAR" <= 1996 AND white <> summed"""
 
 QUERIES = {
     "collapse_school_to_lea": (collapse_school_to_lea, LEA_SQL),

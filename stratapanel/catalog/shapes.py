@@ -32,11 +32,15 @@ def sort_panel(spark, sf):
     return io.sort_panel(leas)
 
 
+def _not_again():
+    raise RuntimeError("a finished table must not be built again")
+
+
 def read_through_cache(spark, sf):
     """District panel built and written on the first read, only read on the second."""
     path = io.shared_dir(spark, "panel")
     io.materialize(spark, path, lambda: B.lea_years(spark, sf), ["YEAR"])
-    again = io.materialize(spark, path, lambda: B.lea_years(spark, sf).limit(0), ["YEAR"])
+    again = io.materialize(spark, path, _not_again, ["YEAR"])
     return again.groupBy("YEAR").agg(F.count(F.lit(1)).alias("districts"), F.sum("ENR_sumrace").alias("enr"))
 
 
@@ -67,18 +71,17 @@ def _enrolment(spark, sf):
     joined = leas.join(B.customer_states(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(
         F.format_string("%02d%07d", "n_nationkey", "o_custkey").alias("LEAID"), "YEAR",
-        F.when(F.col("YEAR") % 3 == 0, "").otherwise(F.col("STATE_CODE")).alias("STATE"),
+        F.when(F.col("ENR_AI") == 0, "").otherwise(F.col("STATE_CODE")).alias("STATE"),
         *[f"ENR_{g}" for g in B.GROUPS],
     )
 
 
 def _outcomes(spark, sf, prefix):
-    """Outcome counts of the districts; no row in one of five cases, no counts in one of seven."""
+    """Outcome counts of the districts; no row where group MR is empty, no counts where HP is."""
     leas = B.lea_years(spark, sf)
     joined = leas.join(B.customer_states(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
-    spot = F.col("o_custkey") + F.col("YEAR")
-    rows = joined.filter(spot % 5 != 0)
-    counts = [F.when(spot % 7 != 0, F.col(f"CORP_{g}")).alias(f"{prefix}_{g}") for g in B.GROUPS]
+    rows = joined.filter(F.col("ENR_MR") > 0)
+    counts = [F.expr(f"CASE WHEN ENR_HP > 0 THEN CORP_{g} END AS {prefix}_{g}") for g in B.GROUPS]
     return rows.select(F.format_string("%02d%07d", "n_nationkey", "o_custkey").alias("LEAID"), "YEAR", *counts)
 
 
@@ -97,7 +100,7 @@ def fill_state_code(spark, sf):
 
 
 SAMPLED = f"""leas AS (SELECT o_custkey, "YEAR", STATE_CODE, {B.WIDE_SUMS} FROM fact GROUP BY 1, 2, 3),
-sampled AS (SELECT * FROM leas WHERE (o_custkey + "YEAR") % 5 <> 0 AND (o_custkey + "YEAR") % 7 <> 0),
+sampled AS (SELECT * FROM leas WHERE ENR_MR > 0 AND ENR_HP > 0),
 sums AS (SELECT "YEAR", STATE_CODE, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in B.WIDE)} FROM sampled GROUP BY 1, 2)"""
 
 
