@@ -69,7 +69,9 @@ def duplicates_report(df: DataFrame, on: Sequence[str]) -> DataFrame:
 def dup_index(df: DataFrame, by: Sequence[str], order: str, into: str = "dup") -> DataFrame:
     """Distinct ``(by, order)`` rows with 0 in groups of one and 1, 2, ... in larger groups.
 
-    Blank and null text is one value, null, and ranks first.
+    Blank and null text is one value, null, and ranks first.  Rows are made distinct before they are
+    numbered, so a key with many rows costs nothing; a group is as large as the list of different
+    names one code has.
     """
     by = list(by)
     value = F.nullif(F.col(order), F.lit(""))

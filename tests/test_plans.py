@@ -11,7 +11,7 @@ from stratapanel.plans import panels, series, state_tables, waves
 from stratapanel.sources import io
 
 HERE = os.path.dirname(os.path.abspath(__file__))
-# State codes by name, as the state dimension holds them.
+# The law table (laws.csv) and state codes by name, as the state dimension holds them.
 CODES = dict(
     zip(
         open(os.path.join(HERE, "laws.csv")).read().split("\n")[1:52],
