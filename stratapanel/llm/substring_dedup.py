@@ -17,21 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import store
+from stratapanel.llm import exchange, store
+from stratapanel.llm.exchange import from_planes, to_planes
 from stratapanel.llm.words import U64, Words, byte_column, slices
 
 WINDOW = 35
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
-
-
-def to_planes(sorted_hashes: np.ndarray) -> bytes:
-    """Eight byte planes; the leading ones of sorted values are nearly constant and compress well."""
-    return sorted_hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(U64)
 
 
 def window_hashes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,16 +38,13 @@ def emitter(window: int, buckets: int):
     def emit(docs: pa.Table) -> pa.Table:
         one, two = window_hashes(byte_column(docs["text"]), window)
         one, first = np.unique(one, return_index=True)
-        bucket = (two[first] % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        entries = exchange.by_bucket((two[first] % U64(buckets)).astype(np.int64), buckets)
         chunk = docs["chunk"][0].as_py()
         return pa.table(
             {
-                "bucket": pa.array(used, pa.int32()),
-                "chunk": pa.array([chunk] * len(used), pa.int32()),
-                "hashes": pa.array([to_planes(one[order[cuts[b] : cuts[b + 1]]]) for b in used], pa.binary()),
+                "bucket": pa.array([b for b, _ in entries], pa.int32()),
+                "chunk": pa.array([chunk] * len(entries), pa.int32()),
+                "hashes": pa.array([to_planes(one[at]) for _, at in entries], pa.binary()),
             }
         )
 
@@ -125,9 +112,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ignored, whatever their names. An empty table gives an empty result.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    total = store.text_bytes(base, "text")
-    chunks, buckets = store.parts(total, CHUNK_BYTES), store.parts(total, BUCKET_BYTES)
-    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    chunks, buckets = exchange.sizes(store.text_bytes(base, "text"))
+    dealt = base.withColumn("chunk", exchange.chunk_of(chunks, "doc_id", "text"))
     answers = (
         dealt.groupBy("chunk").applyInArrow(emitter(window, buckets), "bucket int, chunk int, hashes binary")
         .groupBy("bucket").applyInArrow(repeated, "chunk int, hashes binary")
