@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapanel.llm import centroid_language, compression_rules, packing, substring_dedup, suffix_tree
+from stratapanel.llm import centroid_language, compression_rules, near_dups, packing, substring_dedup, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": near_dups.op2_near_duplicates,
     "op3_suffix_tree_score": suffix_tree.op3_suffix_tree_score,
     "op4_compression_rules": compression_rules.op4_compression_rules,
     "op5_centroid_language": centroid_language.op5_centroid_language,
     "op6_pack_best_two_fit": packing.op6_pack_best_two_fit,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op9_substring_dedup": substring_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_near_duplicates": near_dups.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
+}
