@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapanel.llm import centroid_language, compression_rules, near_dups, packing, substring_dedup, suffix_tree
+from stratapanel.llm import centroid_language, compression_rules, decontamination, near_dups, packing, substring_dedup, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": near_dups.op2_near_duplicates,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_compression_rules": compression_rules.op4_compression_rules,
     "op5_centroid_language": centroid_language.op5_centroid_language,
     "op6_pack_best_two_fit": packing.op6_pack_best_two_fit,
+    "op10_decontaminate": decontamination.op10_decontaminate,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {
