@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapanel.llm import centroid_language, compression_rules, decontamination, near_dups, packing, substring_dedup, suffix_tree
+from stratapanel.llm import centroid_language, compression_rules, decontamination, near_dups, packing, pii, substring_dedup, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
     "op2_near_duplicates": near_dups.op2_near_duplicates,
     "op3_suffix_tree_score": suffix_tree.op3_suffix_tree_score,
     "op4_compression_rules": compression_rules.op4_compression_rules,
