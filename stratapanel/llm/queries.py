@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapanel.llm import centroid_language, compression_rules, decontamination, near_dups, packing, pii, substring_dedup, suffix_tree
+from stratapanel.llm import centroid_language, compression_rules, decontamination, licenses, near_dups, packing, pii, substring_dedup, suffix_tree, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -16,9 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_centroid_language": centroid_language.op5_centroid_language,
     "op6_pack_best_two_fit": packing.op6_pack_best_two_fit,
     "op10_decontaminate": decontamination.op10_decontaminate,
+    "op7_license_digests": licenses.op7_license_digests,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": near_dups.ORACLE,
+    "op7_license_digests": licenses.oracle(),
     "op9_substring_dedup": substring_dedup.ORACLE,
 }
