@@ -42,6 +42,11 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
 
 
+def log_chance(k: int, n: int, p: float) -> float:
+    """Log of the probability of k successes in n draws."""
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)
+
+
 @lru_cache(maxsize=8)
 def hopeless(percent: int, length: int) -> tuple[tuple[int, int], ...]:
     """After n positions, the most matches at which similarity reaches the threshold with less than the miss probability."""
@@ -49,7 +54,7 @@ def hopeless(percent: int, length: int) -> tuple[tuple[int, int], ...]:
     for n in range(BATCH, length + 1, BATCH):
         # P(Beta(m + 1, n - m + 1) >= t) = P(Binomial(n + 1, t) <= m)
         tail, m = 0.0, -1
-        while (tail := tail + math.comb(n + 1, m + 1) * t ** (m + 1) * (1 - t) ** (n - m)) < MISS:
+        while (tail := tail + math.exp(log_chance(m + 1, n + 1, t))) < MISS:
             m += 1
         out.append((n, m))
     return tuple(out)
@@ -251,10 +256,10 @@ def keep(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str =
     """One row of each component, with all its columns: the one of the smallest doc_id. Wordless rows stay, repeated ones once."""
     found = classified(docs, percent, doc_id, text)
     firsts = found.filter(F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.text_key") == F.col("text_key")))
-    firsts = firsts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("__id", F.col(doc_id).cast("long"))
-    same = keyed["__id"].eqNullSafe(firsts["__id"]) & (keyed["__key"] == firsts["__key"])
-    return keyed.join(firsts, same, "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    firsts = firsts.select(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_key")).distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))
+    same = keyed["id"].eqNullSafe(firsts["at_id"]) & (keyed["key"] == firsts["at_key"])
+    return keyed.join(firsts, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
