@@ -134,6 +134,40 @@ def oss_risk_series(spark, sf):
     return S.risk_series(rows, S.OSS, first_year=None)
 
 
+def oss_rates(cohort):
+    def run(spark, sf):
+        rows = S.in_cohort(_suspensions(spark, sf), cohort, B.allowed_states(spark, sf), B.EXCLUDED_STATES)
+        return S.rate_series(rows, S.OSS, first_year=None, drop_null_state=True).drop("size")
+
+    return run
+
+
+def oss_risks(cohort):
+    def run(spark, sf):
+        rows = S.in_cohort(_suspensions(spark, sf), cohort, B.allowed_states(spark, sf), B.EXCLUDED_STATES)
+        return S.risk_series(rows, S.OSS, first_year=None)
+
+    return run
+
+
+def universe_of(series, *cohorts):
+    """A series kept to the years in which every district was asked."""
+
+    def run(spark, sf):
+        return S.universe(series(*cohorts)(spark, sf), UNIVERSE)
+
+    return run
+
+
+def with_last_year(cohort):
+    """Risk series of a cohort that keeps the last year."""
+
+    def run(spark, sf):
+        return S.risk_series(S.in_cohort(B.state_long(spark, sf), cohort, B.allowed_states(spark, sf), B.EXCLUDED_STATES))
+
+    return run
+
+
 OSS_RATE_SQL = f"""{B.STATE}
 SELECT "YEAR", race_fixed, oss_sum, oss_mem, oss_sum / nullif(oss_mem, 0) AS oss_rate, {GROUP_CASE} AS legend_text
 FROM (SELECT CASE WHEN "YEAR" = {B.LAST_YEAR} THEN {B.LAST_YEAR - 1} ELSE "YEAR" END AS "YEAR",
@@ -148,6 +182,13 @@ state_long AS (SELECT CASE WHEN "YEAR" = {B.LAST_YEAR} THEN {B.LAST_YEAR - 1} EL
   nullif(STATE_CODE, 'NATION_7') AS STATE_CODE, race, CORP_, ENR_ FROM known)"""
 
 
+def _oss_rate_sql(where: str) -> str:
+    return OSS_RATE_SQL.replace("WHERE STATE_CODE <> 'NATION_7'", f"WHERE STATE_CODE <> 'NATION_7' AND {where}")
+
+
+IN_UNIVERSE = '"YEAR" IN (1996, 1998, 2000)'
+
+
 def cohort_from_rules(spark, sf):
     """Districts per state of a cohort that a rule over law attributes defines."""
     nation = B.table(spark, sf, "nation")
@@ -269,4 +310,14 @@ QUERIES = {
         f"""{B.STATE} SELECT "YEAR", STATE_CODE, CASE WHEN race = 'sumrace' THEN 'total' ELSE race END AS race,
         nullif(100 * ((CASE WHEN CORP_ >= 400 THEN CORP_ ELSE 0 END) / nullif(ENR_, 0)), 0) AS pct_ FROM state_long""",
     ),
+    "oss_rate_always": (oss_rates("always"), _oss_rate_sql(ALWAYS)),
+    "oss_rate_sometime": (oss_rates("sometime"), _oss_rate_sql(SOMETIME)),
+    "oss_risk_always": (oss_risks("always"), _risk_sql(ALWAYS, state=OSS_STATE)),
+    "oss_risk_all": (oss_risks("all"), _risk_sql("TRUE", state=OSS_STATE)),
+    "risk_universe_always": (universe_of(risk_series_cohort, "always"), _cut(_risk_sql(f"{NOT_LAST} AND {ALWAYS}"), "*", IN_UNIVERSE)),
+    "risk_universe_sometime": (universe_of(risk_series_cohort, "sometime"), _cut(_risk_sql(f"{NOT_LAST} AND {SOMETIME}"), "*", IN_UNIVERSE)),
+    "rate_universe_always": (universe_of(rate_series, "always"), _cut(f"{B.STATE} {_rate_sql(ALWAYS)}", "*", IN_UNIVERSE)),
+    "rate_universe_sometime": (universe_of(rate_series, "sometime"), _cut(f"{B.STATE} {_rate_sql(SOMETIME)}", "*", IN_UNIVERSE)),
+    "risk_keep_last_year_all": (with_last_year("all"), _risk_sql("TRUE")),
+    "risk_keep_last_year_always": (with_last_year("always"), _risk_sql(ALWAYS)),
 }

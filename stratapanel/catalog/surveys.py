@@ -57,8 +57,10 @@ def _source_cell(choice: V.Choice, disabled: bool) -> str:
     parts = X.parse_name(choice.target)
     gender, group = parts["gender"] or "M", "IDEA" if disabled else "NODIS"
     if parts["race"]:
-        return f"{gender}_{parts['race']}_{group}"
-    special = "LEP" in parts["status"] or parts["status"] == "504"
+        # one wave as published keeps its own code for the multi-racial group
+        race = "MR" if parts["race"] == "TR" else parts["race"]
+        return f"{gender}_{race}_{group}"
+    special = "LEP" in (parts["status"] or "") or parts["status"] == "504"
     return f"{gender}_{'LEP' if special else group}"
 
 
@@ -133,6 +135,38 @@ def preschool_wave_to_lea(spark, sf):
     return school.select("COMBOKEY", "CORPIND", "CORP_M_BL_PS", "CORP_F_WH_IDEA", "CORPINST_PS", "CORPINST_DIS")
 
 
+def recent_wave_to_lea(topic: str, year: int, as_published: bool = True):
+    """District sums of a 2015, 2017 or 2020 wave, every measure of it."""
+
+    def run(spark, sf):
+        raw = raw_modern(school_cells(spark, sf), year, topic)
+        return waves.to_lea(waves.table_modern(raw, topic, year, declared=True, as_published=as_published))
+
+    return run
+
+
+def lea_2009(scrubbed: bool):
+    """The restricted district layout: one row per order stands for a district, which brings its year."""
+
+    def run(spark, sf):
+        raw = raw_2009(school_cells(spark, sf)).withColumn("LEAID", F.col("SCHID")).withColumn("YEAR", F.lit("2009"))
+        return waves.table_2009(raw, "CORP", False, level="lea", declared=True, scrubbed=scrubbed)
+
+    return run
+
+
+def destring_decimal_text(spark, sf):
+    """Counts written as 12, 12.0 or 1.2e1, declared as counts."""
+    lines = B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
+    text = (
+        F.when(F.col("l_linenumber") == 1, F.concat(F.col("q").cast("string"), F.lit(".0")))
+        .when(F.col("l_linenumber") == 2, F.concat(F.col("q").cast("string"), F.lit("e0")))
+        .when(F.col("l_linenumber") == 3, F.lit("-"))
+        .otherwise(F.col("q").cast("string"))
+    )
+    return X.destring(lines.select("l_orderkey", "l_linenumber", text.alias("count")), ["count"], ignore="-", declared=True)
+
+
 def historic_lea_ingest(spark, sf):
     """District extract of the early years with the counts for students with disabilities merged in."""
     every = F.col("YEAR") > 0
@@ -300,6 +334,49 @@ def _preschool_sql() -> str:
     {columns} FROM cells"""
 
 
+# The names of the recent waves, written out by the published rule and not taken from the vocabulary.
+RACES_SQL = ("AI", "AS", "BL", "HI", "WH", "HP", "MR")
+SEXES_SQL = ("M", "F")
+
+
+def _recent_names(topic: str, year: int) -> list[tuple[str, str]]:
+    """(target name, cell) of every measure column of a wave."""
+    out = []
+    for target in V.modern_crosswalk(topic, year).values():
+        parts = target.split("_")
+        disabled = not target.endswith("NODIS") and not target.endswith("NODIS_LEP")
+        sex = next((p for p in parts if p in SEXES_SQL), "M")
+        race = "MR" if "TR" in parts else next((p for p in parts if p in RACES_SQL), None)
+        group = "IDEA" if disabled else "NODIS"
+        special = "LEP" in parts or "504" in parts
+        out.append((target, f"{sex}_{race}_{group}" if race else f"{sex}_{'LEP' if special else group}"))
+    return out
+
+
+def _recent_sql(topic: str, year: int, as_published: bool = True) -> str:
+    cells = _recent_names(topic, year)
+    if not as_published:
+        # the extract's columns keep their cells, and the corrected names go to them
+        corrected = V.modern_crosswalk(topic, year, as_published=False)
+        cells = [(corrected[source], cell) for source, (_, cell) in zip(V.modern_crosswalk(topic, year), cells, strict=True)]
+    sums = ", ".join(f'{_sum0(_clean_sql(cell, "", ""))} AS "{target}"' for target, cell in cells)
+    flag = ', max(CASE o_orderstatus WHEN \'F\' THEN 1 WHEN \'O\' THEN 0 END) AS "CORPIND"' if topic == "CP" else ""
+    return f"""WITH {_cells_sql()} SELECT leaid AS "LEAID", {sums}, {year} AS "YEAR", 7 AS "RACES_REPORTED"{flag} FROM cells GROUP BY leaid"""
+
+
+def _lea_2009_sql(scrubbed: bool) -> str:
+    inner = _standard_sql().replace('combokey AS "COMBOKEY"', 'CAST(o_orderkey AS VARCHAR) AS "LEAID"')
+    if scrubbed:
+        return inner
+    for c in V.table_choices("CORP", False):
+        cell = _source_cell(c, False)
+        inner = inner.replace(_clean_sql(cell, "-", "-"), _number_sql(_text_sql(cell, "-"), "-"))
+    return inner
+
+
+DECIMAL_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS BIGINT) END AS "count" FROM lineitem"""
+
+
 def _historic_sql() -> str:
     races = ", ".join(f'nullif({B.group_sum("corp", r)}, 0) AS "CORP_{r}"' for r in V.HISTORIC_RACES)
     hp, mr = f'CASE WHEN "YEAR" < 1998 THEN {B.group_sum("corp", "HP")} END', f'CASE WHEN "YEAR" % 2 = 0 THEN {B.group_sum("corp", "MR")} END'
@@ -400,4 +477,14 @@ QUERIES = {
     "crosswalk_rename": (crosswalk_rename, _rename_sql()),
     "wave_dictionary": (wave_dictionary, _dictionary_sql()),
     "variable_availability": (variable_availability, _availability_sql()),
+    "modern_2015_to_lea": (recent_wave_to_lea("CP", 2015), _recent_sql("CP", 2015)),
+    "modern_2017_to_lea": (recent_wave_to_lea("CP", 2017), _recent_sql("CP", 2017)),
+    "modern_2020_to_lea": (recent_wave_to_lea("CP", 2020), _recent_sql("CP", 2020)),
+    "oss_2015_to_lea": (recent_wave_to_lea("OSS", 2015), _recent_sql("OSS", 2015)),
+    "oss_2017_to_lea": (recent_wave_to_lea("OSS", 2017), _recent_sql("OSS", 2017)),
+    "oss_2020_to_lea": (recent_wave_to_lea("OSS", 2020), _recent_sql("OSS", 2020)),
+    "oss_2020_corrected": (recent_wave_to_lea("OSS", 2020, as_published=False), _recent_sql("OSS", 2020, as_published=False)),
+    "lea_2009_scrubbed": (lea_2009(True), _lea_2009_sql(True)),
+    "lea_2009_unscrubbed": (lea_2009(False), _lea_2009_sql(False)),
+    "destring_decimal_text": (destring_decimal_text, DECIMAL_SQL),
 }

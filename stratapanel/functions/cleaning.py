@@ -36,17 +36,22 @@ def strip_filler(c: Column | str, ignore: str = "", mode: str = "faithful") -> C
 
 
 def text_to_long(column: str, ignore: str = "", mode: str = "faithful") -> Column:
-    """Whole number in the cells of a column, null where the cleaned text is not one.
+    """Whole number in the cells of a column, in any notation (``12``, ``12.0``, ``1e2``).
 
-    Cells that are empty once filler is gone never reach the cast, because a rejected cast costs an
-    exception; only stray text pays for that.  Blanks around a number are no matter to the cast.
+    Empty cells and a lone dot are null once filler is gone; any other text that is no whole number
+    stops the job, so a count is never lost.  Plain digits take the first, cheap way.
     """
     text = f"CAST({quote(column)} AS STRING)"
     if ignore and mode == "strict":
         text = f"regexp_replace({text}, r'^\\s*[{re.escape(ignore)}]+\\s*$', '')"
     elif ignore:
         text = f"replace({text}, '{ignore}', '')" if len(ignore) == 1 else f"translate({text}, '{ignore}', '')"
-    return F.expr(f"try_cast(nullif({text}, '') AS BIGINT)")
+    number = f"try_cast({text} AS DECIMAL(38, 10))"
+    other = (
+        f"CASE WHEN nullif(nullif(trim({text}), ''), '.') IS NULL THEN NULL "
+        f"WHEN {number} % 1 = 0 THEN CAST({number} AS BIGINT) ELSE CAST(raise_error(concat('no whole number: ', {text})) AS BIGINT) END"
+    )
+    return F.expr(f"coalesce(try_cast(nullif({text}, '') AS BIGINT), {other})")
 
 
 def text_to_double(c: Column | str, ignore: str = "", mode: str = "faithful") -> Column:
@@ -74,9 +79,9 @@ def incomplete_flag(c: Column | str) -> Column:
 
 
 def zero_pad(c: Column | str, width: int = 5) -> Column:
-    """Numeric text padded with zeros to ``width``; longer numbers are kept whole."""
+    """Numeric text padded with zeros to ``width``; longer numbers are kept whole, and what is no number becomes a dot."""
     number = F.round(text_to_double(c)).cast("bigint")
-    return F.when(number.isNotNull(), F.format_string(f"%0{width}d", number))
+    return F.when(number.isNotNull(), F.format_string(f"%0{width}d", number)).otherwise(".")
 
 
 def school_key(leaid: Column | str, schid: Column | str, width: int = 5) -> Column:
@@ -94,7 +99,7 @@ def rewrite_year(c: Column | str, old: int, new: int) -> Column:
     return F.regexp_replace(_col(c).cast("string"), str(old), str(new)).try_cast("int")
 
 
-def reporting_standard(total5: Column | str, total7: Column | str) -> Column:
+def reporting_standard(total7: Column | str) -> Column:
     """7 when any seven-category cell was counted, else 5."""
     t7 = _col(total7)
     return F.when(t7.isNotNull() & (t7 != 0), 7).otherwise(5)

@@ -6,12 +6,11 @@ from collections.abc import Callable, Iterable, Sequence
 from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import quote
-from .guards import at_most
+from .ranges import running
 
 Spec = str | tuple[str, str]
 
@@ -105,32 +104,31 @@ def apply_numeric(df: DataFrame, fn: Callable[[Column], Column], exclude: Iterab
     return apply_to(df, [c for c in numeric_columns(df) if c not in skip], fn)
 
 
+def _with_metadata(df: DataFrame, metadata: dict[str, dict]) -> DataFrame:
+    """One projection, whatever the number of columns."""
+    if not metadata:
+        return df
+    return df.select([F.col(quote(c)).alias(c, metadata=metadata[c]) if c in metadata else F.col(quote(c)) for c in df.columns])
+
+
 def label(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Attach display labels as column comments, keeping other metadata."""
-    for c, text in labels.items():
-        df = df.withMetadata(_known(df.columns, c), {**df.schema[c].metadata, "comment": text})
-    return df
+    known = {_known(df.columns, c): text for c, text in labels.items()}
+    held = {f.name: f.metadata for f in df.schema.fields}
+    return _with_metadata(df, {c: {**held[c], "comment": text} for c, text in known.items()})
 
 
 def clear_labels(df: DataFrame) -> DataFrame:
-    for c in df.columns:
-        meta = {k: v for k, v in df.schema[c].metadata.items() if k != "comment"}
-        if meta != df.schema[c].metadata:
-            df = df.withMetadata(c, meta)
-    return df
+    held = {f.name: f.metadata for f in df.schema.fields if "comment" in f.metadata}
+    return _with_metadata(df, {c: {k: v for k, v in meta.items() if k != "comment"} for c, meta in held.items()})
 
 
-def encode(df: DataFrame, column: str, into: str, max_labels: int = 65_536) -> DataFrame:
-    """Text categories to the codes 1..k in alphabetical order; blank and null stay null.
-
-    The code list is the distinct labels, which ``at_most`` bounds before it is numbered in one
-    task and broadcast; more labels than that is an error, as it is in a statistics package.
-    """
+def encode(df: DataFrame, column: str, into: str) -> DataFrame:
+    """Text categories to the codes 1..k in alphabetical order; blank and null stay null."""
     text = F.nullif(F.trim(F.col(column)), F.lit(""))
-    distinct = df.select(text.alias("_label")).dropna().distinct()
-    codes = at_most(distinct, max_labels, f"too many values in {column}")
-    codes = codes.select("_label", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_label")).alias(into))
-    joined = df.withColumn("_label", text).join(F.broadcast(codes), "_label", "left")
+    labels = df.select(text.alias("_label")).dropna().distinct().withColumn("_one", F.lit(1))
+    codes = running(labels, "_label", "_one", into, "_all").select("_label", F.col(into).cast("int").alias(into))
+    joined = df.withColumn("_label", text).join(codes, "_label", "left")
     return joined.select(*[df_col for df_col in df.columns if df_col != into], into)
 
 

@@ -14,6 +14,7 @@ from ..functions import cleaning as C
 from ..functions import vocabulary as V
 from ..functions.nulls import quote, rowtotal
 from . import columns as K
+from .guards import guard
 
 
 def convertible(df: DataFrame, columns: Sequence[str], ignore: str = "", mode: str = "faithful") -> dict[str, str]:
@@ -46,8 +47,8 @@ def destring(
 
     A column that holds any cell which is no number after cleaning stays text, unchanged.  Finding
     that out takes one pass over the data.  With ``declared=True`` the columns are known to be
-    counts, so the pass is skipped and stray text becomes null.  Ids in ``keys`` never turn into
-    numbers, or they would lose their leading zeros.
+    counts, so the pass is skipped, and a cell that is no whole number in any notation stops the
+    job.  Ids in ``keys`` never turn into numbers, or they would lose their leading zeros.
     """
     protected = set(keys)
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -65,14 +66,16 @@ def scrub(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
 
 
 def detect_standard(df: DataFrame, into: str = "RACES_REPORTED") -> DataFrame:
-    """5 or 7, from the sums of the cells whose names carry ``_5_`` and ``_7_``."""
-    five, seven = K.expand(df, "*_5_*"), K.expand(df, "*_7_*")
-    return df.withColumn(into, C.reporting_standard(rowtotal(five), rowtotal(seven)))
+    """5 or 7, from the sum of the numeric cells whose names carry ``_7_``; text columns have no sum."""
+    numbers = set(K.numeric_columns(df))
+    seven = [c for c in K.expand(df, "*_7_*") if c in numbers]
+    return df.withColumn(into, C.reporting_standard(rowtotal(seven)))
 
 
 def both_standards(df: DataFrame) -> DataFrame:
     """Rows that report non-zero counts under both standards (there should be none)."""
-    five, seven = K.expand(df, "*_5_*"), K.expand(df, "*_7_*")
+    numbers = set(K.numeric_columns(df))
+    five, seven = ([c for c in K.expand(df, p) if c in numbers] for p in ("*_5_*", "*_7_*"))
     return df.filter((rowtotal(five) != 0) & (rowtotal(seven) != 0))
 
 
@@ -142,8 +145,15 @@ def wave_dictionary(spark: SparkSession, crosswalk: dict[str, str], races_report
 
 
 def availability(dictionaries: dict[str, DataFrame], on: Sequence[str] = ("name_merge", *ATTRIBUTES)) -> DataFrame:
-    """Which source column carries each variable in each wave: one row per variable, one column per wave."""
+    """Which source column carries each variable in each wave: one row per variable, one column per wave.
+
+    A variable that two columns of one wave claim stops the job.
+    """
     tagged = [d.select(*on, F.lit(w).alias("_wave"), "name") for w, d in dictionaries.items()]
     stacked = reduce(DataFrame.unionByName, tagged)
-    return stacked.groupBy(*on).agg(*[F.max(F.when(F.col("_wave") == w, F.col("name"))).alias(w) for w in dictionaries])
+    names = [F.max(F.when(F.col("_wave") == w, F.col("name"))).alias(w) for w in dictionaries]
+    counts = [F.count_if(F.col("_wave") == w) for w in dictionaries]
+    table = stacked.groupBy(*on).agg(*names, F.greatest(*counts, F.lit(0)).alias("_n"))
+    message = F.concat(F.lit("not unique in a wave: "), F.coalesce(F.col(on[0]).cast("string"), F.lit("null")))
+    return guard(table, F.col("_n") <= 1, message).drop("_n")
 

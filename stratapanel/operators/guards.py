@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -11,16 +10,3 @@ def guard(df: DataFrame, holds: Column, message: Column | str) -> DataFrame:
     """Keep every row and raise ``message`` on the first one for which ``holds`` is not true."""
     text = F.lit(message) if isinstance(message, str) else message
     return df.filter(F.when(holds, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
-
-
-def at_most(df: DataFrame, rows: int, message: str) -> DataFrame:
-    """The whole of ``df`` if it has at most ``rows`` rows, otherwise an error.
-
-    For results that must be small to make sense (a printed tabulation, a label list).  At most
-    ``rows + 1`` rows reach the one task that counts them, whatever the input size, and nothing is
-    cut silently.
-    """
-    head = df.limit(rows + 1)
-    counted = head.select("*", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))).alias("_rows"))
-    return guard(counted, F.col("_rows") <= rows, message).drop("_rows")
-

@@ -152,15 +152,17 @@ def stack_panel(
 ) -> DataFrame:
     """Panel of many tables: those of one year are merged 1:1, years are put under one another.
 
-    Replaces a chain of full outer merges whose inputs mostly hold different years.  A year with
-    one table costs no shuffle; ``merged=False`` says that the tables of a year are already
-    disjoint as well.
+    Replaces a chain of full outer merges whose inputs mostly hold different years.  A key that is
+    twice in one table stops the job; ``merged=False`` says that keys are unique and the tables of a
+    year disjoint, and costs no shuffle.
     """
     years = []
     for tables in by_year.values():
         tables = list(tables)
         if len(tables) > 1 and merged:
             years.append(merge_one(tables, on))
+        elif merged:
+            years += [unique_rows(t, on) for t in tables]
         else:
             years += tables
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), years)

@@ -42,7 +42,7 @@ def pivot_wider(
     """One row per ``ids``, one column ``<value>_<name>`` per value and name.
 
     Names are listed, so no job is needed to find them; a row with another name fails.  The input
-    holds at most one row per id and name.  An absent combination is null.
+    holds at most one row per id and name, or the job stops.  An absent combination is null.
     """
     known = guard(df, in_(names_from, names), F.concat(F.lit("unlisted name: "), F.col(names_from).cast("string")))
     cells = [
@@ -50,7 +50,11 @@ def pivot_wider(
         for v in values_from
         for n in names
     ]
-    return known.groupBy(*ids).agg(*cells)
+    counts = [f"count_if({quote(names_from)} = '{n}')" for n in names]
+    most = F.expr(f"greatest({', '.join(counts)}, 0)").alias("_most")
+    wide = known.groupBy(*ids).agg(*cells, most)
+    where = F.concat_ws(", ", *[F.coalesce(F.col(quote(i)).cast("string"), F.lit("null")) for i in ids])
+    return guard(wide, F.col("_most") <= 1, F.concat(F.lit("several rows of one name: "), where)).drop("_most")
 
 
 def pivot_longer(

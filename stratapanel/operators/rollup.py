@@ -9,10 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nulls import quote, sum0, sum_na
-from .guards import at_most
-
-# Fixed value: the longest one-way table that is printed.
-MAX_TABLE_ROWS = 12_000
+from .ranges import running
 
 
 def collapse(
@@ -30,22 +27,15 @@ def sum_groups(df: DataFrame, by: Sequence[str], sums: dict[str, str]) -> DataFr
     return df.groupBy(*by).agg(*[sum_na(c).alias(n) for n, c in sums.items()])
 
 
-def tabulate(df: DataFrame, column: str, max_rows: int = MAX_TABLE_ROWS) -> DataFrame:
-    """Count, percent and cumulative percent per value, in value order; nulls are left out.
-
-    The running total needs the values in one order, so the counts (never the rows) meet in one
-    task.  More than ``max_rows`` distinct values is an error, not a cut.
-    """
+def tabulate(df: DataFrame, column: str) -> DataFrame:
+    """Count, percent and cumulative percent per value, in value order; nulls are left out."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    table = at_most(counts, max_rows, f"too many values to tabulate {column}")
-    everything = W.partitionBy(F.lit(0))
-    running = everything.orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = F.sum("n").over(everything)
+    table = running(counts, column, "n", "_running", "_total")
     return table.select(
         column,
         "n",
-        (F.lit(100.0) * F.col("n") / total).alias("percent"),
-        (F.lit(100.0) * F.sum("n").over(running) / total).alias("cum_percent"),
+        (F.lit(100.0) * F.col("n") / F.col("_total")).alias("percent"),
+        (F.lit(100.0) * F.col("_running") / F.col("_total")).alias("cum_percent"),
     )
 
 

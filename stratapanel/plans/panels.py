@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.nulls import rowtotal_missing
 from ..operators import columns as K
+from ..operators.guards import guard
 from ..operators.merge import stack_panel
 from ..operators.reshape import append
 from .waves import race_partials, reported_partials
@@ -54,16 +55,22 @@ def lea_totals(
     A total is a sum over schools, tables, sexes and disability groups, so each row first adds up
     its own cells; the sums of all waves then meet in one ``groupBy`` with map-side partials.  No
     wide table is collapsed and nothing is joined, so a district with a third of all rows costs
-    nothing extra.
+    nothing extra.  The same aggregate counts rows, and a district-year that is twice in one of the
+    district tables stops the job.
     """
     prefix = V.outcome(topic)
     parts = [race_partials(t, topic, suppressed_as_zero=True) for t in schools]
-    parts += [race_partials(t, topic, suppressed_as_zero=False) for t in districts]
-    parts += [reported_partials(t, topic) for t in historic]
+    whole = [race_partials(t, topic, suppressed_as_zero=False) for t in districts]
+    whole += [reported_partials(t, topic) for t in historic]
+    # which district table a row is from; a district-year may be in each of them once
+    parts += [t.withColumn("_table", F.lit(i)) for i, t in enumerate(whole)]
     stacked = append(*parts)
+    once = [F.expr(f"count_if(_table = {i})") for i in range(len(whole))]
     sums = [F.sum(f"summed_{r}").alias(f"summed_{r}") for r in V.RACES if f"summed_{r}" in stacked.columns]
     reports = [F.max(f"reported_{r}").alias(f"reported_{r}") for r in V.RACES if f"reported_{r}" in stacked.columns]
-    grouped = stacked.groupBy(*V.DISTRICT_KEY).agg(*sums, *reports)
+    grouped = stacked.groupBy(*V.DISTRICT_KEY).agg(*sums, *reports, F.greatest(*once, F.lit(0), F.lit(0)).alias("_rows"))
+    where = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in V.DISTRICT_KEY])
+    grouped = guard(grouped, F.col("_rows") <= 1, F.concat(F.lit("not unique in a district table: "), where)).drop("_rows")
 
     def total(race: str):
         options = [c for c in (f"reported_{race}", f"summed_{race}") if c in grouped.columns]

@@ -54,18 +54,22 @@ def state_sums(df: DataFrame, columns: list[str], counted: Column | None = None)
         F.max(inside).alias("_counted"), *[sum0(F.when(inside, F.col(c))).alias(c) for c in columns]
     )
     fips = W.partitionBy("FIPS")
+    # the least name but one: of the names other than the first
+    first = F.min("STATE").over(fips)
+    small = small.withColumn("_later", F.when(F.col("STATE") != first, F.col("STATE")))
     settled = small.withColumns(
         {
-            "_names": F.array_sort(F.collect_set("STATE").over(fips)),
+            "_first": F.min("STATE").over(fips),
+            "_last": F.max("STATE").over(fips),
+            "_second": F.min("_later").over(fips),
             "_blank": F.max(F.col("STATE").isNull()).over(fips),
         }
     )
     # A blank gives way to names; without one, two names lose the first, as the lookup does.
-    lost = F.when(F.col("_blank") | (F.size("_names") < 2), 0).otherwise(1)
-    settled = guard(
-        settled, F.size("_names") - lost <= 1, F.concat(F.lit("several states share FIPS "), F.col("FIPS"))
-    )
-    code = F.try_element_at("_names", lost + 1).alias("STATE_CODE")
+    alone, two = F.col("_first") == F.col("_last"), F.col("_second") == F.col("_last")
+    fine = F.col("_first").isNull() | alone | (~F.col("_blank") & two)
+    settled = guard(settled, fine, F.concat(F.lit("several states share FIPS "), F.col("FIPS")))
+    code = F.when(F.col("_blank"), F.col("_first")).otherwise(F.col("_last")).alias("STATE_CODE")
     counted_rows = settled.filter("_counted").select("YEAR", code, *columns)
     return collapse(counted_rows, ["YEAR", "STATE_CODE"], columns)
 

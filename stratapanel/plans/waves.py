@@ -37,7 +37,9 @@ def table_2009(
     others = [c for c in cells if c not in df.columns]
     if others:
         raise ValueError(f"columns not found: {others}")
+    extra = [c for c in K.expand(df, "*_5_*", "*_7_*") if c not in cells]
     df = destring(df, cells, ignore="-", mode=mode, declared=declared)
+    df = destring(df, extra, ignore="-", mode=mode)
     if level == "school":
         df = K.constants(df, YEAR=2009)
     else:

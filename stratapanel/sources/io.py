@@ -5,7 +5,6 @@ Workbooks are staged as CSV or Parquet before they come here: one file per sheet
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -95,13 +94,16 @@ def sort_panel(df: DataFrame, keys: Sequence[str] = ("LEAID", "YEAR")) -> DataFr
 def shared_dir(spark: SparkSession, name: str) -> str:
     """Fresh folder for a written table, below the folder the cluster names for such data.
 
-    Only where that setting is absent, as in tests, is it set, to a temporary folder.
+    Where that setting is absent it is below the warehouse, which all machines share as well.  The
+    session's settings stay as they are; the folder goes when the driver ends.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not base:
-        base = tempfile.mkdtemp(prefix="stratapanel-")
-        spark.conf.set(CHECKPOINT_DIR, base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(there)
+    files.deleteOnExit(there)
+    return path
 
 
 def state_dimension(df: DataFrame, *columns: str) -> DataFrame:
