@@ -23,6 +23,7 @@ HEADLINE = [
     "merge_m1_lookup", "merge_matched_only", "panel_stack", "dup_index", "tab_year", "duplicates_report",
     "reshape_long_two_stubs", "state_table_rounded", "state_table_pct", "wave_ingest_to_lea", "standard_detect_select",
     "modern_wave_to_lea", "lea_panel_totals", "school_panel", "long_fact_rollup", "quality_report",
+    "wave_ingest_data_decided", "oss_panel_totals", "read_through_cache", "csv_roundtrip_forced_strings", "extract_all_text",
 ]
 
 

@@ -11,8 +11,9 @@ from . import base as B
 
 
 def _flag_sums(spark, sf, flag, second):
-    """Per order, a sum that is null when it divides by three, and a plain count."""
-    lines = B.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag)
+    """Per order, a sum that is null when it divides by three, and a plain count, over the lines of a flag (``!``: of all others)."""
+    same = F.col("l_returnflag") == flag[-1]
+    lines = B.table(spark, sf, "lineitem").filter(~same if flag[0] == "!" else same)
     total = F.sum(F.col("l_quantity").cast("bigint"))
     return lines.groupBy("l_orderkey").agg(
         F.when(total % 3 != 0, total).alias("x"), F.count(F.lit(1)).alias(second)
@@ -21,11 +22,11 @@ def _flag_sums(spark, sf, flag, second):
 
 def _flag_sql(flag, second):
     return f"""(SELECT l_orderkey, CASE WHEN sum(l_quantity) % 3 <> 0 THEN CAST(sum(l_quantity) AS BIGINT) END AS x,
-    count(*) AS {second} FROM lineitem WHERE l_returnflag = '{flag}' GROUP BY l_orderkey)"""
+    count(*) AS {second} FROM lineitem WHERE l_returnflag {'<>' if flag[0] == '!' else '='} '{flag[-1]}' GROUP BY l_orderkey)"""
 
 
 def merge_1to1_master_wins(spark, sf):
-    return G.merge_one([_flag_sums(spark, sf, "R", "y"), _flag_sums(spark, sf, "A", "z")], ["l_orderkey"], "_merge")
+    return G.merge_one([_flag_sums(spark, sf, "R", "y"), _flag_sums(spark, sf, "!R", "z")], ["l_orderkey"], "_merge")
 
 
 def merge_chain(spark, sf):
@@ -68,19 +69,21 @@ def merge_null_safe_attrs(spark, sf):
     """Dictionary-like rows on attributes that may be null: null meets null."""
 
     def rows(name, flag):
-        lines = B.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag)
+        # lines of one flag, or with ! of all others
+        same = F.col("l_returnflag") == flag[-1]
+        lines = B.table(spark, sf, "lineitem").filter(~same if flag[0] == "!" else same)
         keys = lines.select(
             F.nullif(B.race_code(), F.lit("MR")).alias("race"), F.nullif(F.col("l_linenumber"), F.lit(1)).alias("line"),
             F.nullif(F.col("l_linestatus"), F.lit("O")).alias("sex"),
         )
         return keys.groupBy("race", "line", "sex").agg(F.count(F.lit(1)).alias(name))
 
-    return G.merge_one([rows("a", "R"), rows("b", "N")], ["race", "line", "sex"])
+    return G.merge_one([rows("a", "R"), rows("b", "!R")], ["race", "line", "sex"])
 
 
 def _attr_sql(name, flag):
     return f"""(SELECT nullif({B.RACE_SQL}, 'MR') AS race, nullif(l_linenumber, 1) AS line, nullif(l_linestatus, 'O') AS sex,
-    count(*) AS {name} FROM lineitem WHERE l_returnflag = '{flag}' GROUP BY 1, 2, 3)"""
+    count(*) AS {name} FROM lineitem WHERE l_returnflag {flag} GROUP BY 1, 2, 3)"""
 
 
 def panel_stack(spark, sf):
@@ -88,15 +91,15 @@ def panel_stack(spark, sf):
     leas = B.lea_years(spark, sf).withColumnRenamed("o_custkey", "LEAID")
     early, late = leas.filter("YEAR < 1998"), leas.filter("YEAR >= 1998")
     first = late.filter("ENR_AI > 0").select("LEAID", "YEAR", "ENR_AI", "ENR_BL")
-    second = late.filter("ENR_AS > 0").select("LEAID", "YEAR", "ENR_BL", "CORP_BL")
+    second = late.filter("ENR_AS > 0 OR ENR_AI = 0").select("LEAID", "YEAR", "ENR_BL", "CORP_BL")
     single = early.select("LEAID", "YEAR", "ENR_AI", "CORP_WH")
     return G.stack_panel({1997: [single], 2001: [first, second]}, ["LEAID", "YEAR"])
 
 
 PANEL_SQL = f"""WITH {B.FACT}, leas AS (SELECT o_custkey AS "LEAID", "YEAR", {B.WIDE_SUMS} FROM fact GROUP BY 1, 2)
 SELECT "LEAID", "YEAR", nullif(ENR_AI, 0) AS "ENR_AI", ENR_BL AS "ENR_BL",
-  CASE WHEN ENR_AS > 0 THEN CORP_BL END AS "CORP_BL", CAST(NULL AS BIGINT) AS "CORP_WH"
-  FROM leas WHERE "YEAR" >= 1998 AND (ENR_AI > 0 OR ENR_AS > 0)
+  CASE WHEN ENR_AS > 0 OR ENR_AI = 0 THEN CORP_BL END AS "CORP_BL", CAST(NULL AS BIGINT) AS "CORP_WH"
+  FROM leas WHERE "YEAR" >= 1998
 UNION ALL SELECT "LEAID", "YEAR", ENR_AI, NULL, NULL, CORP_WH FROM leas WHERE "YEAR" < 1998"""
 
 
@@ -128,7 +131,7 @@ QUERIES = {
         merge_1to1_master_wins,
         f"""SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, CASE WHEN a.l_orderkey IS NOT NULL THEN a.x ELSE b.x END AS x, y, z,
         CASE WHEN b.l_orderkey IS NULL THEN 1 WHEN a.l_orderkey IS NULL THEN 2 ELSE 3 END AS _merge
-        FROM {_flag_sql('R', 'y')} a FULL JOIN {_flag_sql('A', 'z')} b ON a.l_orderkey = b.l_orderkey""",
+        FROM {_flag_sql('R', 'y')} a FULL JOIN {_flag_sql('!R', 'z')} b ON a.l_orderkey = b.l_orderkey""",
     ),
     "merge_chain": (
         merge_chain,
@@ -161,7 +164,7 @@ QUERIES = {
     "merge_null_safe_attrs": (
         merge_null_safe_attrs,
         f"""SELECT coalesce(x.race, y.race) AS race, coalesce(x.line, y.line) AS line, coalesce(x.sex, y.sex) AS sex, a, b
-        FROM {_attr_sql('a', 'R')} x FULL JOIN {_attr_sql('b', 'N')} y ON x.race IS NOT DISTINCT FROM y.race
+        FROM {_attr_sql('a', "= 'R'")} x FULL JOIN {_attr_sql('b', "<> 'R'")} y ON x.race IS NOT DISTINCT FROM y.race
         AND x.line IS NOT DISTINCT FROM y.line AND x.sex IS NOT DISTINCT FROM y.sex""",
     ),
     "panel_stack": (panel_stack, PANEL_SQL),

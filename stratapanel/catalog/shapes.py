@@ -9,17 +9,15 @@ from ..plans import state_tables as T
 from ..sources import io
 from . import base as B
 
-TWO = ["AI", "BL"]
-
 
 def reshape_long_two_stubs(spark, sf):
     return reshape_long(B.lea_years(spark, sf), ["ENR_", "CORP_"], "race")
 
 
 def pivot_wider_two_values(spark, sf):
-    long = B.state_long(spark, sf).filter(F.col("race").isin(TWO) & (F.col("ENR_") > 100))
+    long = B.state_long(spark, sf)
     renamed = long.withColumnsRenamed({"ENR_": "ENR", "CORP_": "CORP"})
-    return pivot_wider(renamed, ["YEAR", "STATE_CODE"], "race", ["ENR", "CORP"], TWO)
+    return pivot_wider(renamed, ["YEAR", "STATE_CODE"], "race", ["ENR", "CORP"], B.GROUPS)
 
 
 def pivot_longer_one_value(spark, sf):
@@ -65,10 +63,17 @@ def extract_all_text(spark, sf):
     return io.read_extract(spark, path, ["LEAID", "N"])
 
 
-def _enrolment(spark, sf):
+def _districts(spark, sf):
+    """District-years with their state; written once, as enrolment and outcomes are both taken from it."""
+
+    def build():
+        return B.lea_years(spark, sf).join(B.customer_states(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
+
+    return io.materialize(spark, io.shared_dir(spark, "districts"), build)
+
+
+def _enrolment(joined):
     """Enrolment per district and year, with ids that start with the state number and some blank states."""
-    leas = B.lea_years(spark, sf)
-    joined = leas.join(B.customer_states(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(
         F.format_string("%02d%07d", "n_nationkey", "o_custkey").alias("LEAID"), "YEAR",
         F.when(F.col("ENR_AI") == 0, "").otherwise(F.col("STATE_CODE")).alias("STATE"),
@@ -76,26 +81,26 @@ def _enrolment(spark, sf):
     )
 
 
-def _outcomes(spark, sf, prefix):
+def _outcomes(joined, prefix):
     """Outcome counts of the districts; no row where group MR is empty, no counts where HP is."""
-    leas = B.lea_years(spark, sf)
-    joined = leas.join(B.customer_states(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
     rows = joined.filter(F.col("ENR_MR") > 0)
     counts = [F.expr(f"CASE WHEN ENR_HP > 0 THEN CORP_{g} END AS {prefix}_{g}") for g in B.GROUPS]
     return rows.select(F.format_string("%02d%07d", "n_nationkey", "o_custkey").alias("LEAID"), "YEAR", *counts)
 
 
 def state_table_rounded(spark, sf):
-    return T.corporal_punishment_table(_enrolment(spark, sf), _outcomes(spark, sf, "CORP"))
+    joined = _districts(spark, sf)
+    return T.corporal_punishment_table(_enrolment(joined), _outcomes(joined, "CORP"))
 
 
 def state_table_pct(spark, sf):
-    return T.suspension_table(_enrolment(spark, sf), _outcomes(spark, sf, "OSS"))
+    joined = _districts(spark, sf)
+    return T.suspension_table(_enrolment(joined), _outcomes(joined, "OSS"))
 
 
 def fill_state_code(spark, sf):
     """District rows with the state name their code implies, blanks included; sums per state."""
-    filled = T.fill_state(_enrolment(spark, sf))
+    filled = T.fill_state(_enrolment(_districts(spark, sf)))
     return filled.groupBy("YEAR", "FIPS", "STATE_CODE").agg(F.count(F.lit(1)).alias("districts"), F.sum("ENR_sumrace").alias("enr"))
 
 
@@ -132,8 +137,8 @@ QUERIES = {
     "pivot_wider_two_values": (
         pivot_wider_two_values,
         f"""{B.STATE} SELECT "YEAR", STATE_CODE, {", ".join(
-            f'''max(CASE WHEN race = '{r}' THEN {v}_ END) AS "{v}_{r}"''' for v in ("ENR", "CORP") for r in TWO)}
-        FROM state_long WHERE race IN ('AI', 'BL') AND ENR_ > 100 GROUP BY 1, 2""",
+            f'''max(CASE WHEN race = '{r}' THEN {v}_ END) AS "{v}_{r}"''' for v in ("ENR", "CORP") for r in B.GROUPS)}
+        FROM state_long GROUP BY 1, 2""",
     ),
     "pivot_longer_one_value": (
         pivot_longer_one_value,

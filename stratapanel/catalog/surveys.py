@@ -9,6 +9,7 @@ from ..functions import vocabulary as V
 from ..operators import columns as K
 from ..operators import crosswalk as X
 from ..plans import panels, waves
+from ..sources import io
 from . import base as B
 
 CELLS = [f"{g}_{r}_{s}" for s in ("NODIS", "IDEA") for g in V.GENDERS for r in V.RACES]
@@ -132,7 +133,7 @@ def preschool_wave_to_lea(spark, sf):
     """2015 layout: preschool block, school number without zeros, key rebuilt."""
     raw = raw_modern(school_cells(spark, sf), 2015)
     school = waves.table_modern(raw, "CP", 2015, declared=True)
-    return school.select("COMBOKEY", "CORPIND", "CORP_M_BL_PS", "CORP_F_WH_IDEA", "CORPINST_PS", "CORPINST_DIS")
+    return school.drop("LEAID", "SCHID")
 
 
 def recent_wave_to_lea(topic: str, year: int, as_published: bool = True):
@@ -185,10 +186,11 @@ def historic_lea_ingest(spark, sf):
 def _panel_tables(spark, sf):
     early, middle, late = F.col("SURVEY_YEAR") <= 1997, F.col("SURVEY_YEAR").between(1998, 1999), F.col("SURVEY_YEAR") >= 2000
     historic = waves.historic_lea(raw_historic(spark, sf, F.col("YEAR") <= 1997), "CP")
-    mid = school_cells(spark, sf, middle)
+    cells = io.materialize(spark, io.shared_dir(spark, "cells"), lambda: school_cells(spark, sf, middle | late))
+    mid = cells.filter(middle)
     nodis = waves.table_2011(raw_2011(mid, False), "CORP", False, declared=True)
     dis = waves.table_2011(raw_2011(mid, True), "CORP", True, declared=True)
-    modern = waves.table_modern(raw_modern(school_cells(spark, sf, late)), "CP", 2013, declared=True)
+    modern = waves.table_modern(raw_modern(cells.filter(late)), "CP", 2013, declared=True)
     return historic, nodis, dis, modern
 
 
@@ -201,21 +203,25 @@ def lea_panel_totals(spark, sf):
 def oss_panel_totals(spark, sf):
     """Suspension totals: reported early on, later single and multiple ones added up, in-school ones not."""
     historic = waves.historic_lea(raw_historic(spark, sf, F.col("YEAR") <= 1997, "OSS"), "OSS")
-    mid = school_cells(spark, sf, F.col("SURVEY_YEAR").between(1998, 1999))
+    cells = io.materialize(spark, io.shared_dir(spark, "cells"), lambda: school_cells(spark, sf, F.col("SURVEY_YEAR") >= 1998))
+    mid = cells.filter("SURVEY_YEAR <= 1999")
     tables = [
         waves.table_2011(raw_2011(mid, disabled, measure), measure, disabled, declared=True)
         for measure, disabled in (("SINGOSS", False), ("MULTOSS", True), ("ISS", False))
     ]
-    late = school_cells(spark, sf, F.col("SURVEY_YEAR") >= 2000)
+    late = cells.filter("SURVEY_YEAR >= 2000")
     modern = waves.table_modern(raw_modern(late, 2013, "OSS"), "OSS", 2013, declared=True)
     return panels.lea_totals("OSS", schools=[*tables, modern], historic=[historic])
 
 
 def school_panel(spark, sf):
     """Schools of two layouts: one year's two tables merged 1:1, the other year's table below."""
-    _, nodis, dis, modern = _panel_tables(spark, sf)
-    panel = panels.school_panel({2011: [nodis, dis], 2013: [modern]})
-    return panel.select("COMBOKEY", "YEAR", "LEAID", "INCOMPLETE", "CORPIND", "CORP_M_BL_NODIS", "CORP_F_WH_IDEA")
+    cells = io.materialize(spark, io.shared_dir(spark, "cells"), lambda: school_cells(spark, sf))
+    older, newer = cells.filter("SURVEY_YEAR <= 1999"), cells.filter("SURVEY_YEAR >= 2000")
+    nodis = waves.table_2011(raw_2011(older, False), "CORP", False, declared=True)
+    dis = waves.table_2011(raw_2011(older, True), "CORP", True, declared=True)
+    modern = waves.table_modern(raw_modern(newer), "CP", 2013, declared=True)
+    return panels.school_panel({2011: [nodis, dis], 2013: [modern]}).drop("SCHID")
 
 
 def long_fact_rollup(spark, sf):
@@ -327,11 +333,9 @@ def _modern_sql() -> str:
 
 
 def _preschool_sql() -> str:
-    wanted = ("CORP_M_BL_PS", "CORP_F_WH_IDEA", "CORPINST_PS", "CORPINST_DIS")
-    cells = {t: c for t, c in _modern(2015)}
-    columns = ", ".join(f'{_clean_sql(cells[t], "", "")} AS "{t}"' for t in wanted)
+    columns = ", ".join(f'{_clean_sql(cell, "", "")} AS "{target}"' for target, cell in _recent_names("CP", 2015))
     return f"""WITH {_cells_sql()} SELECT combokey AS "COMBOKEY", CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS "CORPIND",
-    {columns} FROM cells"""
+    2015 AS "YEAR", 7 AS "RACES_REPORTED", {columns} FROM cells"""
 
 
 # The names of the recent waves, written out by the published rule and not taken from the vocabulary.
@@ -409,13 +413,19 @@ def _totals_sql(prefix: str, middle: tuple[str, ...], times: int) -> str:
 
 
 def _school_sql() -> str:
-    bl, wh = "M_BL_NODIS", "F_WH_IDEA"
+    # the older layout's names, written out: races by sex, the totals, and what only one of its two tables has
+    older = {t: c for disabled in (False, True) for t, c in _choices(disabled)}
+    newer = dict(_recent_names("CP", 2013))
+    names = list({**older, **newer})
+
+    def part(cells: dict[str, str], filler: str) -> str:
+        return ", ".join(f'{_clean_sql(cells[n], filler, filler)} AS "{n}"' if n in cells else f'CAST(NULL AS BIGINT) AS "{n}"' for n in names)
+
     return f"""WITH {_cells_sql()}
-    SELECT combokey AS "COMBOKEY", 2011 AS "YEAR", leaid AS "LEAID", CASE o_orderstatus WHEN 'P' THEN 1 ELSE 0 END AS "INCOMPLETE",
-      CAST(NULL AS INTEGER) AS "CORPIND", {_clean_sql(bl, "‡", "‡")} AS "CORP_M_BL_NODIS", {_clean_sql(wh, "‡", "‡")} AS "CORP_F_WH_IDEA"
-    FROM cells WHERE survey_year BETWEEN 1998 AND 1999
-    UNION ALL SELECT combokey, 2013, leaid, NULL, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END,
-      {_clean_sql(bl, "", "")}, {_clean_sql(wh, "", "")} FROM cells WHERE survey_year >= 2000"""
+    SELECT combokey AS "COMBOKEY", 2011 AS "YEAR", 7 AS "RACES_REPORTED", leaid AS "LEAID", CASE o_orderstatus WHEN 'P' THEN 1 ELSE 0 END AS "INCOMPLETE",
+      CAST(NULL AS INTEGER) AS "CORPIND", {part(older, "‡")} FROM cells WHERE survey_year <= 1999
+    UNION ALL SELECT combokey, 2013, 7, leaid, NULL, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END,
+      {part(newer, "")} FROM cells WHERE survey_year >= 2000"""
 
 
 def _literal(value) -> str:
