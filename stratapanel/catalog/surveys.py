@@ -11,6 +11,7 @@ from ..operators import crosswalk as X
 from ..plans import panels, waves
 from ..sources import io
 from . import base as B
+from . import expected as E
 
 CELLS = [f"{g}_{r}_{s}" for s in ("NODIS", "IDEA") for g in V.GENDERS for r in V.RACES]
 TOTALS = [f"{g}_{s}" for s in ("NODIS", "IDEA", "LEP") for g in V.GENDERS]
@@ -53,10 +54,10 @@ def _ids() -> list[Column]:
     ]
 
 
-def _source_cell(choice: V.Choice, disabled: bool) -> str:
-    """Which order-level cell stands in for a table's target column."""
-    parts = X.parse_name(choice.target)
-    gender, group = parts["gender"] or "M", "IDEA" if disabled else "NODIS"
+def _source_cell(target: str) -> str:
+    """Which order-level cell stands in for a suspension column of the recent waves."""
+    parts = X.parse_name(target)
+    gender, group = parts["gender"] or "M", "NODIS" if parts["status"] in ("NODIS", "NODIS_LEP") else "IDEA"
     if parts["race"]:
         # one wave as published keeps its own code for the multi-racial group
         race = "MR" if parts["race"] == "TR" else parts["race"]
@@ -66,7 +67,7 @@ def _source_cell(choice: V.Choice, disabled: bool) -> str:
 
 
 def raw_2011(cells: DataFrame, disabled: bool, measure: str = "CORP") -> DataFrame:
-    columns = [cell_text(_source_cell(c, disabled), "‡").alias(c.seven) for c in V.table_choices(measure, disabled)]
+    columns = [cell_text(c.cell, "‡").alias(c.source) for c in E.older(measure, disabled)]
     remark = F.when(F.col("o_orderstatus") == "P", "Yes").alias("Incomplete")
     return cells.select(*_ids(), *columns, remark)
 
@@ -75,21 +76,21 @@ def raw_2009(cells: DataFrame) -> DataFrame:
     """Schools with order status F report five categories, the others seven."""
     five = F.col("o_orderstatus") == "F"
     columns = []
-    for c in V.table_choices("CORP", False):
-        text = cell_text(_source_cell(c, False), "-")
+    for c in E.older("CORP", False):
+        text = cell_text(c.cell, "-")
         if c.five:
             columns.append(F.when(five, text).otherwise("-").alias(c.five))
-        columns.append(F.when(five, "-").otherwise(text).alias(c.seven))
+        columns.append(F.when(five, "-").otherwise(text).alias(c.source))
     return cells.select(*_ids(), *columns)
 
 
 def raw_modern(cells: DataFrame, year: int = 2013, topic: str = "CP") -> DataFrame:
     """One wide extract, lower-case names, with the instances flag."""
-    columns = []
-    for source, target in V.modern_crosswalk(topic, year).items():
-        parts = X.parse_name(target)
-        disabled = parts["status"] not in ("NODIS", "NODIS_LEP")
-        columns.append(cell_text(_source_cell(V.Choice(target, None, source), disabled), "").alias(source.lower()))
+    if topic == "CP":
+        columns = [cell_text(c.cell, "").alias(c.source.lower()) for c in E.recent(year)]
+    else:
+        cells_of = [(source, _source_cell(target)) for source, target in V.modern_crosswalk(topic, year).items()]
+        columns = [cell_text(cell, "").alias(source.lower()) for source, cell in cells_of]
     said = F.col("o_orderstatus")
     flag = F.when(said == "F", "Yes").when(said == "O", "No").otherwise("-5").alias(waves.INDICATOR.lower())
     return cells.select(*_ids(), *columns, flag)
@@ -295,15 +296,11 @@ def _sum0(x: str) -> str:
 
 
 def _choices(disabled: bool):
-    return [(c.target, _source_cell(c, disabled)) for c in V.table_choices("CORP", disabled)]
+    return [(c.target, c.cell) for c in E.older("CORP", disabled)]
 
 
 def _modern(year: int = 2013):
-    out = []
-    for target in V.modern_crosswalk("CP", year).values():
-        disabled = X.parse_name(target)["status"] not in ("NODIS", "NODIS_LEP")
-        out.append((target, _source_cell(V.Choice(target, None, ""), disabled)))
-    return out
+    return [(c.target, c.cell) for c in E.recent(year)]
 
 
 def _lea_2011_sql(disabled: bool) -> str:
@@ -312,15 +309,15 @@ def _lea_2011_sql(disabled: bool) -> str:
 
 
 def _standard_sql() -> str:
-    def picked(choice: V.Choice) -> str:
-        value = _clean_sql(_source_cell(choice, False), "-", "-")
+    def picked(choice: E.Name) -> str:
+        value = _clean_sql(choice.cell, "-", "-")
         if choice.five:
             return f'CASE WHEN five AND standard = 5 OR NOT five AND standard = 7 THEN {value} END AS "{choice.target}"'
         return f'CASE WHEN NOT five THEN {value} END AS "{choice.target}"'
 
-    choices = V.table_choices("CORP", False)
+    choices = E.older("CORP", False)
     sums = " + ".join(
-        f"(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE coalesce({_number_sql(_text_sql(_source_cell(c, False), '-'), '-')}, 0) END)" for c in choices
+        f"(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE coalesce({_number_sql(_text_sql(c.cell, '-'), '-')}, 0) END)" for c in choices
     )
     return f"""WITH {_cells_sql()} SELECT combokey AS "COMBOKEY", 2009 AS "YEAR", standard AS "RACES_REPORTED", {", ".join(picked(c) for c in choices)}
     FROM (SELECT *, o_orderstatus = 'F' AS five, CASE WHEN {sums} <> 0 THEN 7 ELSE 5 END AS standard FROM cells)"""
@@ -338,13 +335,14 @@ def _preschool_sql() -> str:
     2015 AS "YEAR", 7 AS "RACES_REPORTED", {columns} FROM cells"""
 
 
-# The names of the recent waves, written out by the published rule and not taken from the vocabulary.
 RACES_SQL = ("AI", "AS", "BL", "HI", "WH", "HP", "MR")
 SEXES_SQL = ("M", "F")
 
 
 def _recent_names(topic: str, year: int) -> list[tuple[str, str]]:
     """(target name, cell) of every measure column of a wave."""
+    if topic == "CP":
+        return _modern(year)
     out = []
     for target in V.modern_crosswalk(topic, year).values():
         parts = target.split("_")
@@ -372,9 +370,8 @@ def _lea_2009_sql(scrubbed: bool) -> str:
     inner = _standard_sql().replace('combokey AS "COMBOKEY"', 'CAST(o_orderkey AS VARCHAR) AS "LEAID"')
     if scrubbed:
         return inner
-    for c in V.table_choices("CORP", False):
-        cell = _source_cell(c, False)
-        inner = inner.replace(_clean_sql(cell, "-", "-"), _number_sql(_text_sql(cell, "-"), "-"))
+    for c in E.older("CORP", False):
+        inner = inner.replace(_clean_sql(c.cell, "-", "-"), _number_sql(_text_sql(c.cell, "-"), "-"))
     return inner
 
 
@@ -451,20 +448,20 @@ def _rename_sql() -> str:
 
 def _dictionary_sql() -> str:
     rows = []
-    for c in V.table_choices("CORP", True):
+    for c in E.older("CORP", True):
         p = X.parse_name(c.target)
         dis = int(p["status"] in ("DIS", "IDEA", "504", "DIS_LEP"))
         lep = int("LEP" in p["status"])
         rows.append(
-            f"""SELECT '{c.seven}' AS name, '{c.target}' AS name_merge, {_literal(p['gender'])} AS gender, {_literal(p['race'])} AS race,
-            {_literal(p['status'])} AS status, {dis} AS "DIS", {lep} AS "LEP", count({_clean_sql(_source_cell(c, True), "‡", "‡")}) AS schools FROM cells"""
+            f"""SELECT '{c.source}' AS name, '{c.target}' AS name_merge, {_literal(p['gender'])} AS gender, {_literal(p['race'])} AS race,
+            {_literal(p['status'])} AS status, {dis} AS "DIS", {lep} AS "LEP", count({_clean_sql(c.cell, "‡", "‡")}) AS schools FROM cells"""
         )
     return f"WITH {_cells_sql()}\n" + "\nUNION ALL ".join(rows)
 
 
 def _availability_sql() -> str:
-    older = {t: s for s, t in V.table_crosswalk("CORP", True).items()}
-    newer = {t: s for s, t in V.modern_crosswalk("CP", 2013).items()}
+    older = {c.target: c.source for c in E.older("CORP", True)}
+    newer = {c.target: c.source for c in E.recent(2013)}
     rows = [
         f"""SELECT '{t}' AS name_merge, {_literal(older.get(t))} AS wave_2011, {_literal(newer.get(t))} AS wave_2013,
         count({_clean_sql(cell, "", "")}) AS schools FROM cells"""
