@@ -98,6 +98,32 @@ def state_table_pct(spark, sf):
     return T.suspension_table(_enrolment(joined), _outcomes(joined, "OSS"))
 
 
+def state_table_all(spark, sf):
+    """The table without the sample rule: districts without a reported outcome stay in the denominators."""
+    joined = _districts(spark, sf)
+    return T.corporal_punishment_table(_enrolment(joined), _outcomes(joined, "CORP"), rule="all")
+
+
+def read_forced_positions(spark, sf):
+    """A file of which the first column is text by its place and the others are inferred."""
+    path = io.shared_dir(spark, "extract")
+    rows = B.table(spark, sf, "customer").select(
+        B.district_id("c_custkey").alias("LEAID"), F.col("c_nationkey").alias("NATION"), F.round("c_acctbal", 2).alias("BALANCE")
+    )
+    io.export_table(rows, path)
+    return io.read_forced(spark, path, [1])
+
+
+def read_csv_inferred(spark, sf):
+    """A file read with the null mark and types as its cells have them."""
+    path = io.shared_dir(spark, "extract")
+    rows = B.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("ID"), F.when(F.col("s_nationkey") == 7, "NA").otherwise(F.col("s_nationkey").cast("string")).alias("NATION"), F.col("s_name").alias("NAME")
+    )
+    io.export_table(rows, path)
+    return io.read_csv(spark, path)
+
+
 def fill_state_code(spark, sf):
     """District rows with the state name their code implies, blanks included; sums per state."""
     filled = T.fill_state(_enrolment(_districts(spark, sf)))
@@ -109,6 +135,12 @@ sampled AS (SELECT * FROM leas WHERE ENR_MR > 0 AND ENR_HP > 0),
 sums AS (SELECT "YEAR", STATE_CODE, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in B.WIDE)} FROM sampled GROUP BY 1, 2)"""
 
 
+ALL_SAMPLED = SAMPLED.replace("WHERE ENR_MR > 0 AND ENR_HP > 0", "WHERE ENR_MR > 0")
+for _c in B.WIDE:
+    if _c.startswith("CORP_"):
+        ALL_SAMPLED = ALL_SAMPLED.replace(f"sum({_c})", f"coalesce(sum(CASE WHEN ENR_HP > 0 THEN {_c} END), 0)")
+
+
 def _rounded(c):
     return f"CAST(5 * round({c} / 5) AS BIGINT)"
 
@@ -122,6 +154,7 @@ PCT_SQL = f"WITH {B.FACT}, {SAMPLED}\n" + "\nUNION ALL ".join(
     nullif(100 * (CORP_{g} / nullif(ENR_{g}, 0)), 0) AS "pct_" FROM sums"""
     for g in B.GROUPS
 )
+ALL_SQL = ROUNDED_SQL.replace(SAMPLED, ALL_SAMPLED)
 
 QUERIES = {
     "fill_state_code": (
@@ -164,5 +197,14 @@ QUERIES = {
         """SELECT lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS "LEAID", CAST(s_nationkey AS VARCHAR) AS "N" FROM supplier""",
     ),
     "state_table_rounded": (state_table_rounded, ROUNDED_SQL),
+    "state_table_all": (state_table_all, ALL_SQL),
+    "read_forced_positions": (
+        read_forced_positions,
+        """SELECT lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS "LEAID", c_nationkey AS "NATION", round(c_acctbal, 2) AS "BALANCE" FROM customer""",
+    ),
+    "read_csv_inferred": (
+        read_csv_inferred,
+        """SELECT CAST(s_suppkey AS INTEGER) AS "ID", nullif(s_nationkey, 7) AS "NATION", s_name AS "NAME" FROM supplier""",
+    ),
     "state_table_pct": (state_table_pct, PCT_SQL),
 }

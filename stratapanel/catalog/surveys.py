@@ -201,6 +201,28 @@ def lea_panel_totals(spark, sf):
     return panels.lea_totals("CP", schools=[nodis, dis, modern], historic=[historic])
 
 
+def lea_panel_wide(spark, sf):
+    """The district panel with all its columns: reported counts and those for students with disabilities early on, then two
+    tables of one wave merged, then one wide table."""
+    reported, nodis, dis, modern = _panel_tables(spark, sf)
+    leas = B.lea_years(spark, sf).filter("YEAR <= 1997")
+    disabled = waves.historic_disabled(
+        leas.select(B.district_id().alias("LEAID"), "YEAR", F.col("CORP_HP").cast("string").alias("XUSE_68"), F.lit(None).cast("string").alias("CORP_DS"))
+    )
+    by_year = {1973: [reported, disabled], 2011: [waves.to_lea(nodis), waves.to_lea(dis)], 2013: [waves.to_lea(modern)]}
+    return panels.lea_panel(by_year, "CP")
+
+
+def race_totals(spark, sf):
+    """Totals of a stacked panel: a reported total goes before the sum of its cells, and all missing stays missing."""
+    leas = B.lea_years(spark, sf)
+    cells = leas.select(
+        B.district_id().alias("LEAID"), "YEAR", F.nullif("CORP_BL", F.lit(0)).alias("CORP_M_BL_NODIS"), F.nullif("CORP_WH", F.lit(0)).alias("CORP_F_BL_IDEA"),
+        F.when(F.col("YEAR") < 1998, F.col("ENR_BL")).alias("CORP_BL"), F.nullif("CORP_AS", F.lit(0)).alias("CORP_M_AS_NODIS"),
+    )
+    return panels.add_race_totals(cells, "CP").select("LEAID", "YEAR", "CORP_BL", "CORP_AS", "CORP_HP", "CORP_sumrace")
+
+
 def oss_panel_totals(spark, sf):
     """Suspension totals: reported early on, later single and multiple ones added up, in-school ones not."""
     historic = waves.historic_lea(raw_historic(spark, sf, F.col("YEAR") <= 1997, "OSS"), "OSS")
@@ -375,6 +397,37 @@ def _lea_2009_sql(scrubbed: bool) -> str:
     return inner
 
 
+def _wide_panel_sql() -> str:
+    older = {t: c for disabled in (False, True) for t, c in _choices(disabled)}
+    newer = dict(_modern())
+    names = list({**older, **newer})
+    races = ("AI", "AS", "BL", "HI", "HP", "MR", "WH")
+    historic = ("AI", "AS", "BL", "HI", "WH")
+    null = "CAST(NULL AS BIGINT)"
+
+    def part(cells: dict[str, str], filler: str, where: str, year: int, flag: str) -> str:
+        sums = ", ".join(f'{_sum0(_clean_sql(cells[n], filler, filler))} AS "{n}"' if n in cells else f'{null} AS "{n}"' for n in names)
+        totals = ", ".join(f'"CORP_M_{r}_NODIS" + "CORP_F_{r}_NODIS" + "CORP_M_{r}_IDEA" + "CORP_F_{r}_IDEA" AS "CORP_{r}"' for r in races)
+        return f"""SELECT *, {totals}, {null} AS "CORP_DIS" FROM (SELECT leaid AS "LEAID", {year} AS "YEAR", 7 AS "RACES_REPORTED", {flag} AS "CORPIND",
+            {sums} FROM cells WHERE {where} GROUP BY leaid)"""
+
+    early = ", ".join(f'nullif({B.group_sum("corp", r)}, 0) AS "CORP_{r}"' if r in historic else f'{null} AS "CORP_{r}"' for r in races)
+    none = ", ".join(f'{null} AS "{n}"' for n in names)
+    total = " + ".join(f'coalesce("CORP_{r}", 0)' for r in races)
+    some = ", ".join(f'"CORP_{r}"' for r in races)
+    return f"""WITH {B.FACT}, {_cells_sql()}, parts AS (
+    SELECT lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS "LEAID", "YEAR", CAST(NULL AS INTEGER) AS "RACES_REPORTED", CAST(NULL AS INTEGER) AS "CORPIND",
+      {none}, {early}, {B.group_sum("corp", "HP")} AS "CORP_DIS" FROM fact WHERE "YEAR" <= 1997 GROUP BY o_custkey, "YEAR"
+    UNION ALL BY NAME {part(older, "‡", "survey_year BETWEEN 1998 AND 1999", 2011, "CAST(NULL AS INTEGER)")}
+    UNION ALL BY NAME {part(newer, "", "survey_year >= 2000", 2013, "max(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END)")})
+    SELECT *, CASE WHEN coalesce({some}) IS NOT NULL THEN {total} END AS "CORP_sumrace" FROM parts"""
+
+
+RACE_TOTALS_SQL = f"""WITH {B.FACT}, leas AS (SELECT o_custkey, "YEAR", {B.WIDE_SUMS} FROM fact GROUP BY 1, 2),
+totals AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS "LEAID", "YEAR",
+  CASE WHEN "YEAR" < 1998 THEN ENR_BL WHEN CORP_BL > 0 OR CORP_WH > 0 THEN CORP_BL + CORP_WH END AS "CORP_BL", nullif(CORP_AS, 0) AS "CORP_AS",
+  CAST(NULL AS BIGINT) AS "CORP_HP" FROM leas)
+SELECT *, CASE WHEN coalesce("CORP_BL", "CORP_AS") IS NOT NULL THEN coalesce("CORP_BL", 0) + coalesce("CORP_AS", 0) END AS "CORP_sumrace" FROM totals"""
 DECIMAL_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS BIGINT) END AS "count" FROM lineitem"""
 
 
@@ -493,5 +546,7 @@ QUERIES = {
     "oss_2020_corrected": (recent_wave_to_lea("OSS", 2020, as_published=False), _recent_sql("OSS", 2020, as_published=False)),
     "lea_2009_scrubbed": (lea_2009(True), _lea_2009_sql(True)),
     "lea_2009_unscrubbed": (lea_2009(False), _lea_2009_sql(False)),
+    "lea_panel_wide": (lea_panel_wide, _wide_panel_sql()),
+    "race_totals": (race_totals, RACE_TOTALS_SQL),
     "destring_decimal_text": (destring_decimal_text, DECIMAL_SQL),
 }
