@@ -8,18 +8,22 @@ with a changed word has another digest.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapanel.llm import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"^[^a-z]*(copyright|\(c\)|©|all rights reserved)"
-SEPARATORS = "[^a-z0-9]+"
-#: Pairs of a pattern over canonical words and the spelling used for it.
+COPYRIGHT = r"(?i)^[^a-z]*(copyright|\(c\)|©|all rights reserved)"
+SEPARATORS = "[^A-Za-z0-9]+"
+#: What a text must contain for the pattern to match ("" for a digit), the pattern over its words, and the spelling used for it.
 SPELLINGS = (
-    (r"\blicence", "license"), (r"\bsub license", "sublicense"), (r"\bnon infringement\b", "noninfringement"), (r"\borganisation", "organization"),
-    (r"\bwhilst\b", "while"), (r"\bfavour", "favor"), (r"\bhttps\b", "http"), (r"\bv ?(\d)", "version $1"),
+    ("licen", r"\blicence", "license"), ("sub licen", r"\bsub license", "sublicense"), ("non infringement", r"\bnon infringement\b", "noninfringement"),
+    ("organisation", r"\borganisation", "organization"), ("whilst", r"\bwhilst\b", "while"), ("favour", r"\bfavour", "favor"),
+    ("https", r"\bhttps\b", "http"), ("", r"\bv ?(\d)", "version $1"),
 )
 
 AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
@@ -57,20 +61,40 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
-def canonical(text: Column) -> Column:
-    folded = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    lines = F.filter(F.split(folded, "\n"), lambda line: ~line.rlike(COPYRIGHT))
-    words = F.trim(F.regexp_replace(F.array_join(lines, " "), SEPARATORS, " "))
-    for pattern, spelling in SPELLINGS:
-        words = F.regexp_replace(words, pattern, spelling)
-    return words
+def bare(text: Column) -> Column:
+    """ASCII letters and digits, lower-cased, with single spaces between."""
+    return F.lower(F.trim(F.regexp_replace(text, SEPARATORS, " ")))
+
+
+def without_copyright(text: Column) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(COPYRIGHT)), " ")
+
+
+def with_digest(units: DataFrame) -> DataFrame:
+    """`words` (bare) gives way to the digest of its canonical form; plain searches tell whether any spelling is to be changed."""
+    words = F.col("words")
+    spelled, wanted = words, F.lit(False)
+    for hint, pattern, spelling in SPELLINGS:
+        spelled = F.regexp_replace(spelled, pattern, spelling)
+        wanted = wanted | (words.contains(hint) if hint else words.rlike("[0-9]") & words.rlike(pattern))
+    # never null, so that the join has no filter that works all of this out once more
+    digest = F.coalesce(F.sha2(F.when(wanted, spelled).otherwise(words), 256), F.lit(""))
+    return units.withColumn("digest", digest).drop("words")
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> DataFrame:
     """license, digest: one row for each; the table is as small as the given list."""
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known]))
-    rows = spark.range(1).select(rows.alias("x")).select("x.license", F.sha2(canonical(F.col("x.text")), 256).alias("digest"))
-    return rows.distinct()
+    rows = spark.range(1).select(rows.alias("x")).select("x.license", bare(without_copyright(F.col("x.text"))).alias("words"))
+    return with_digest(rows.filter("words <> ''")).distinct()
+
+
+def marks(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> list[str]:
+    """Words of which every text that matches contains one, in some case: of each known text the longest that no spelling touches."""
+    given = F.explode(F.array(*[F.lit(text) for _, text in known]))
+    texts = spark.range(1).select(given.alias("text")).select(bare(without_copyright(F.col("text")))).collect()  # as many as were given
+    touched = re.compile("licen|infring|organi|whil|favo|http|version|^v?[0-9]")
+    return sorted({max((w for w in text.split() if not touched.search(w)), key=lambda w: (len(w), w), default="") for (text,) in texts if text})
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -78,12 +102,20 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tup
 
     A text of one line counts as a text and as a line. Null, empty and letterless texts match nothing. Rows that share a doc_id,
     or have none, are counted together. Other columns are ignored; an empty table gives an empty result.
+
+    Only texts and lines that hold a word of some known text are made canonical, as no other can match.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = base.select("doc_id", F.lit("text").alias("scope"), canonical(F.col("text")).alias("words"))
-    lines = base.select("doc_id", F.lit("line").alias("scope"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("doc_id", "scope", canonical(F.col("line")).alias("words"))
-    units = whole.union(lines).filter("words <> ''").select("doc_id", "scope", F.sha2("words", 256).alias("digest"))
+    words = marks(docs.sparkSession, known)
+
+    def may_match(column: str) -> Column:
+        return reduce(lambda a, b: a | b, [F.lower(column).contains(w) for w in words], F.lit(False))
+
+    base = base.filter(may_match("text"))
+    whole = base.select("doc_id", F.lit("text").alias("scope"), bare(without_copyright(F.col("text"))).alias("words"))
+    lines = base.select("doc_id", F.lit("line").alias("scope"), F.explode(F.split("text", "\n")).alias("line")).filter(may_match("line"))
+    lines = lines.filter(~F.col("line").rlike(COPYRIGHT)).select("doc_id", "scope", bare(F.col("line")).alias("words"))
+    units = with_digest(whole.union(lines))
     return units.join(known_digests(docs.sparkSession, known), "digest").groupBy("doc_id", "license", "scope").agg(F.count("*").alias("n_matches"))
 
 
@@ -92,8 +124,8 @@ def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    spelled = "trim(regexp_replace(array_to_string(list_filter(string_split(x, chr(10)), lambda l: not regexp_matches(l, '{0}')), ' '), '{1}', ' ', 'g'))".format(COPYRIGHT, SEPARATORS)
-    for pattern, spelling in SPELLINGS:
+    spelled = "trim(regexp_replace(array_to_string(list_filter(string_split(x, chr(10)), lambda l: not regexp_matches(l, '{0}')), ' '), '{1}', ' ', 'g'))".format(COPYRIGHT.removeprefix("(?i)"), "[^a-z0-9]+")
+    for _, pattern, spelling in SPELLINGS:
         spelled = f"regexp_replace({spelled}, '{pattern}', '{spelling.replace('$1', chr(92) + '1')}', 'g')"
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
     fold = f"translate({{}}, '{UPPER}', '{LOWER}')"
