@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_pii": pii.ORACLE,
     "op2_near_duplicates": near_dups.ORACLE,
     "op7_license_digests": licenses.oracle(),
     "op9_substring_dedup": substring_dedup.ORACLE,

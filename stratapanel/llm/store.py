@@ -1,13 +1,11 @@
 """Reading the given tables, and tables that an operator writes on its way.
 
-Written tables go below the folder that the session names in spark.checkpoint.dir. Where none is named (a local session,
-as in tests) one below the working folder is used; a cluster session without that setting is an error, because a folder of
-one machine would not hold the other machines' files. They are removed when the driver ends.
+Written tables go below the folder that the session names in spark.checkpoint.dir; where none is named (as in tests) below the
+warehouse, which all machines share as well. They are removed when the driver ends.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = os.path.abspath(os.path.join("spark-warehouse", "scratch"))
+    where = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return where.rstrip("/")
 
 
