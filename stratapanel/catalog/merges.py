@@ -53,7 +53,7 @@ def merge_m1_lookup(spark, sf):
         F.when(F.col("o_orderstatus") == "P", -F.col("o_custkey") - 1).otherwise(F.col("o_custkey")).alias("key"), "o_orderkey"
     )
     customers = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
-    merged = G.merge_many(orders, customers, ["key"], "_merge")
+    merged = G.merge_many(orders, customers, ["key"], "_merge", null_keys_match=False)
     counted = merged.groupBy("nation", "_merge").agg(F.count(F.lit(1)).alias("n"))
     states = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), "n_name")
     return G.merge_many(counted, states, ["nation"], keep=["left", "both"])
