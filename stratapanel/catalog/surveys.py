@@ -266,7 +266,7 @@ def wave_dictionary(spark, sf):
     cells = waves.measures_of(school)
     reported = school.agg(*[F.count(c).alias(c) for c in cells]).unpivot([], cells, "name_merge", "schools")
     dictionary = X.wave_dictionary(spark, V.table_crosswalk("CORP", True))
-    return dictionary.join(reported, "name_merge").select("name", "name_merge", "gender", "race", "status", "DIS", "LEP", "schools")
+    return dictionary.join(reported, "name_merge", "left")
 
 
 def variable_availability(spark, sf):
@@ -279,7 +279,7 @@ def variable_availability(spark, sf):
     school = waves.table_modern(raw_modern(school_cells(spark, sf)), "CP", 2013, declared=True)
     cells = waves.measures_of(school)
     reported = school.agg(*[F.count(c).alias(c) for c in cells]).unpivot([], cells, "name_merge", "schools")
-    return table.join(reported, "name_merge").select("name_merge", "wave_2011", "wave_2013", "schools")
+    return table.join(reported, "name_merge", "left").select("name_merge", "wave_2011", "wave_2013", "schools")
 
 
 # ---- SQL -----------------------------------------------------------------------------------
@@ -507,7 +507,8 @@ def _dictionary_sql() -> str:
         lep = int("LEP" in p["status"])
         rows.append(
             f"""SELECT '{c.source}' AS name, '{c.target}' AS name_merge, {_literal(p['gender'])} AS gender, {_literal(p['race'])} AS race,
-            {_literal(p['status'])} AS status, {dis} AS "DIS", {lep} AS "LEP", count({_clean_sql(c.cell, "‡", "‡")}) AS schools FROM cells"""
+            'CORP' AS measure, {_literal(p['status'])} AS status, {dis} AS "DIS", {lep} AS "LEP", 0 AS "PS", 0 AS instances, 0 AS suspension,
+            7 AS races_reported, count({_clean_sql(c.cell, "‡", "‡")}) AS schools FROM cells"""
         )
     return f"WITH {_cells_sql()}\n" + "\nUNION ALL ".join(rows)
 
@@ -515,10 +516,11 @@ def _dictionary_sql() -> str:
 def _availability_sql() -> str:
     older = {c.target: c.source for c in E.older("CORP", True)}
     newer = {c.target: c.source for c in E.recent(2013)}
+    cells = dict(_modern())
     rows = [
         f"""SELECT '{t}' AS name_merge, {_literal(older.get(t))} AS wave_2011, {_literal(newer.get(t))} AS wave_2013,
-        count({_clean_sql(cell, "", "")}) AS schools FROM cells"""
-        for t, cell in _modern()
+        {f'count({_clean_sql(cells[t], "", "")})' if t in cells else 'CAST(NULL AS BIGINT)'} AS schools FROM cells"""
+        for t in {**older, **newer}
     ]
     return f"WITH {_cells_sql()}\n" + "\nUNION ALL ".join(rows)
 
