@@ -42,6 +42,11 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
 
 
+def signature_length(percent: int) -> int:
+    """Hashes in a signature: all bands, in whole batches."""
+    return -(-bands_for(percent) * ROWS // BATCH) * BATCH
+
+
 def log_chance(k: int, n: int, p: float) -> float:
     """Log of the probability of k successes in n draws."""
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)
@@ -100,13 +105,14 @@ def featured(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_column(batch.column(2))
-            n, key, sign = [], [], []
-            for own in shingle_sets(texts):
-                n.append(len(own))
-                key.append(fingerprint(own) if len(own) else None)
-                sign.append(signature(own, length).tobytes() if len(own) else None)
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sign, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_key", "signature"])
+            for low, high in slices(texts):
+                n, key, sign = [], [], []
+                for own in shingle_sets(texts[low:high]):
+                    n.append(len(own))
+                    key.append(fingerprint(own) if len(own) else None)
+                    sign.append(signature(own, length).tobytes() if len(own) else None)
+                columns = [*(batch.column(c).slice(low, high - low) for c in (0, 1)), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sign, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_key", "signature"])
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key long, signature binary")
 
@@ -131,16 +137,18 @@ class Links:
         self.label[np.isin(self.label, old)] = self.label[x]
 
 
-def linked(texts: list[bytes], signatures: np.ndarray, percent: int, first: int | None = None) -> np.ndarray:
+def linked(texts: list[bytes], percent: int, first: int | None = None) -> np.ndarray:
     """A label for each text; texts are linked if and only if they have one label. With `first`, only pairs with one of the
     first so many texts are looked at."""
     sets = shingle_sets(texts)
+    length = signature_length(percent)
+    signatures = np.array([signature(s, length) for s in sets])
     size = np.array([len(s) for s in sets])
     ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.concatenate(([0], np.cumsum(size)))
     mark = np.zeros(len(ids), bool)
     links = Links(len(texts))
-    batches = hopeless(percent, signatures.shape[1])
+    batches = hopeless(percent, length)
     for x in range(len(texts) if first is None else first):
         y = np.flatnonzero(links.label != links.label[x])
         y = y[(y > x) if first is None else (y > x) | (y >= first)]
@@ -167,9 +175,8 @@ def verifier(percent: int, rest: bool = False):
         if rest:
             members = members.sort_by([("asks", "descending"), ("set_key", "ascending")])
         keys = members["set_key"].to_numpy()
-        signs = np.array([np.frombuffer(s, "<u4") for s in members["signature"].to_pylist()])
         first = int(np.sum(members["asks"].to_numpy(zero_copy_only=False))) if rest else None
-        label = linked(byte_column(members["text"]), signs, percent, first)
+        label = linked(byte_column(members["text"]), percent, first)
         least = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(least, label, keys)
         least = least[label]
@@ -180,14 +187,14 @@ def verifier(percent: int, rest: bool = False):
 
 
 def verified(members: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that hold the same components as all pairs at the threshold. Members: component, set_key, signature, text."""
+    """Links (u, v) that hold the same components as all pairs at the threshold. Members: component, set_key, text."""
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     sizes = sizes.select("component", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
     dealt = members.join(sizes, "component")
 
     def in_blocks(rows: DataFrame, salt: int) -> DataFrame:
         block = F.pmod(F.xxhash64("set_key", F.lit(salt)), F.col("blocks"))
-        return rows.withColumn("block", block).select("component", "block", "set_key", "signature", "text").groupBy("component", "block").applyInArrow(verifier(percent), "u long, v long")
+        return rows.withColumn("block", block).select("component", "block", "set_key", "text").groupBy("component", "block").applyInArrow(verifier(percent), "u long, v long")
 
     links = store.written(in_blocks(dealt, 1), "pairs")
     large = sizes.filter("blocks > 1")
@@ -209,7 +216,7 @@ def verified(members: DataFrame, percent: int) -> DataFrame:
     # an asking member goes to all columns of its row, every member to all rows of its column
     asking = labelled.filter("asks").withColumn("row", row).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = labelled.withColumn("column", column).withColumn("row", every).filter(~F.col("asks") | (row != F.col("row")))
-    names = ["component", "row", "column", "set_key", "signature", "text"]
+    names = ["component", "row", "column", "set_key", "text"]
     grid = asking.select(*names, F.lit(True).alias("asks")).union(asked.select(*names, F.lit(False).alias("asks")))
     return links.union(store.written(grid.groupBy("component", "row", "column").applyInArrow(verifier(percent, rest=True), "u long, v long"), "pairs"))
 
@@ -217,21 +224,18 @@ def verified(members: DataFrame, percent: int) -> DataFrame:
 def classified(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, text_key, n_shingles, keeper (the first row of the component by doc_id, nulls last) for every row."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
-    bands = bands_for(percent)
-    length = -(-bands * ROWS // BATCH) * BATCH
-    features = store.written(featured(base, length), "features")
-    groups = components(candidates(features, bands))
+    features = store.written(featured(base, signature_length(percent)), "features")
+    groups = components(candidates(features, bands_for(percent)))
     nodes = groups.select(F.col("node").alias("set_key"), F.col("least").alias("component"))
     nodes = nodes.union(groups.select(F.col("least").alias("set_key"), F.col("least").alias("component"))).distinct()
 
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    chosen = features.join(nodes, "set_key").groupBy("set_key", "component").agg(F.min(F.struct(row.alias("row"), "signature")).alias("x"))
-    chosen = chosen.select("set_key", "component", F.col("x.row.doc_id").alias("at_id"), F.col("x.row.text_key").alias("at_key"), "x.signature")
+    classes = store.written(features.filter("n_shingles > 0").groupBy("set_key").agg(F.min(row).alias("first")), "classes")
+    chosen = classes.join(nodes, "set_key").select("set_key", "component", F.col("first.doc_id").alias("at_id"), F.col("first.text_key").alias("at_key"))
     texts = base.join(chosen, base["doc_id"].eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_key")))
-    members = texts.select("component", "set_key", "signature", "text").dropDuplicates(["set_key"])
+    members = texts.select("component", "set_key", "text").dropDuplicates(["set_key"])
     joined = components(verified(store.written(members, "members"), percent))
 
-    classes = features.filter("n_shingles > 0").groupBy("set_key").agg(F.min(row).alias("first"))
     classes = classes.join(joined, classes["set_key"] == joined["node"], "left").withColumn("least", F.coalesce("least", "set_key"))
     keepers = classes.groupBy("least").agg(F.min("first").alias("keeper"))
     keepers = classes.select("set_key", "least").join(keepers, "least").select("set_key", "keeper")
