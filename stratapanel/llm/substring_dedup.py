@@ -54,13 +54,17 @@ def emitter(window: int, buckets: int):
 def repeated(entries: pa.Table) -> pa.Table:
     """Of one bucket: to each chunk, which of its hashes other chunks hold too."""
     held = [from_planes(x) for x in entries["hashes"].to_pylist()]
-    values, counts = np.unique(np.concatenate(held), return_counts=True)
-    common = values[counts > 1]
-    chunks, answers = [], []
+    every = np.concatenate(held)
+    order = np.argsort(every, kind="stable")
+    same = every[order[1:]] == every[order[:-1]]
+    common = np.zeros(len(every), bool)
+    common[order[1:][same]] = common[order[:-1][same]] = True
+    chunks, answers, at = [], [], 0
     for chunk, own in zip(entries["chunk"].to_pylist(), held, strict=True):
-        if len(found := own[np.isin(own, common)]):
+        if len(found := own[common[at : at + len(own)]]):
             chunks.append(chunk)
             answers.append(to_planes(found))
+        at += len(own)
     return pa.table({"chunk": pa.array(chunks, pa.int32()), "hashes": pa.array(answers, pa.binary())})
 
 
