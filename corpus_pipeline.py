@@ -16,6 +16,7 @@ from stratapanel.llm import compression_rules, decontamination, near_dups, packi
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
+    store.ready(spark)
     return compression_rules.keep(docs)
 
 
