@@ -30,7 +30,7 @@ from stratapanel.llm.words import byte_column
 SIZE = 2048
 END_ID = 0
 GROUP = 40_000
-CACHED, LONGEST = 1_000_000, 48
+CACHED, LONGEST = 500_000, 48
 #: How the byte-level tokenizer splits text before it merges letters, with its letter and number classes spelled out for
 #: texts within Latin-1; white space outside ASCII is kept away from both patterns by OTHER_SPACE.
 S, L, N = " \\t\\n\\r\\x0b\\x0c", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -136,7 +136,7 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, path: str, size: int, end
                 ids = encode(body) + end
                 for k, (at, length) in enumerate(cut(len(ids) // 4, size)):
                     own = ids[4 * at : 4 * (at + length)]
-                    rows.append((key, k, at, length, zlib.crc32(own), own))
+                    rows.append((key, k, at, length, zlib.crc32(own), own if with_ids else b""))
             if rows:
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

@@ -13,13 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Read by the C library and by Arrow when a worker starts.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304"}
+
+
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it; elsewhere ship it with --py-files."""
+    """Lets Python workers import this package from where the driver has it (elsewhere ship it with --py-files), and give large
+    buffers back to the machine once they are free, as idle workers stay."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     held = spark.sparkContext.environment
     paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         held["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    for name, value in WORKER_MEMORY.items():
+        held.setdefault(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
