@@ -6,7 +6,7 @@ k-means centroids, so that a language may have several kinds of text. A text tak
 cosine; if even that one is farther than all but a few of the language's own training texts, the text is marked as rejected.
 
 The classifier is fitted on at most `SAMPLE` labelled texts per language, those with the smallest hash of their id, which is
-the documented bound on what reaches one place: a vector of `SIZE` numbers each. Everything else covers the whole table.
+the documented bound on what reaches one task: a vector of `SIZE` numbers each. Everything else covers the whole table.
 """
 
 from __future__ import annotations
@@ -110,28 +110,47 @@ def vectorised(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, vector binary")
 
 
+def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one task: number of vectors, and in how many of them each feature occurs."""
+    n, seen = 0, np.zeros(SIZE, np.int64)
+    for batch in batches:
+        for vector in batch.column(0).to_pylist():
+            n += 1
+            seen += np.frombuffer(vector, np.float32) > 0
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([seen.tobytes()], pa.binary())], names=["n", "seen"])
+
+
+def clusterer(weights: np.ndarray, centroids: int):
+    def cluster(rows: pa.Table) -> pa.Table:
+        table = np.array([np.frombuffer(v, np.float32) for v in sorted(rows["vector"].to_pylist())])
+        vectors = scaled(table * weights)
+        centres = clustered(vectors, centroids)
+        least = float(np.quantile((vectors @ centres.T).max(axis=1), REJECT_SHARE))
+        n, name = len(centres), rows["lang"][0].as_py()
+        return pa.table({"lang": [name] * n, "k": pa.array(range(n), pa.int32()), "centroid": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary()), "least": [least] * n})
+
+    return cluster
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Classifier:
-    """From rows of key, text and lang; rows without a language or a letter teach nothing."""
+    """From rows of key, text and lang; rows without a language or a letter teach nothing.
+
+    A language's sample is clustered in one task; what comes to the driver is the centroids and a sum of features for each task.
+    """
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key", "text"), "key"))
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = labelled.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "text", "rank")
-    rows = vectorised(chosen).toArrow()
-    names = rows["lang"].to_pylist()
-    if not names:
+    chosen = labelled.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "text")
+    rows = store.written(vectorised(chosen), "sample")
+    parts = rows.select("vector").mapInArrow(document_counts, "n long, seen binary").toArrow()
+    n = sum(parts["n"].to_pylist())
+    if not n:
         return Classifier([], np.ones(SIZE, np.float32), np.zeros((0, SIZE), np.float32), {})
-    table = np.array([np.frombuffer(v, np.float32) for v in rows["vector"].to_pylist()])
-    order = np.lexsort([*table[:, :8].T, table.sum(axis=1), np.unique(names, return_inverse=True)[1]])
-    table, names = table[order], [names[i] for i in order]
-    weights = (np.log((1 + len(table)) / (1 + (table > 0).sum(axis=0))) + 1).astype(np.float32)
-    vectors = scaled(table * weights)
-    found, labels, least = [], [], {}
-    for name in sorted(set(names)):
-        own = vectors[[n == name for n in names]]
-        centres = clustered(own, centroids)
-        found.append(centres)
-        labels += [name] * len(centres)
-        least[name] = float(np.quantile((own @ centres.T).max(axis=1), REJECT_SHARE))
-    return Classifier(labels, weights, np.concatenate(found).astype(np.float32), least)
+    seen = sum(np.frombuffer(x, np.int64) for x in parts["seen"].to_pylist())
+    weights = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+    found = rows.groupBy("lang").applyInArrow(clusterer(weights, centroids), "lang string, k int, centroid binary, least double").toArrow()
+    found = sorted(zip(*(found[c].to_pylist() for c in ("lang", "k", "centroid", "least")), strict=True))
+    table = np.array([np.frombuffer(c, np.float32) for _, _, c, _ in found])
+    return Classifier([name for name, _, _, _ in found], weights, table, {name: least for name, _, _, least in found})
 
 
 def predict(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
