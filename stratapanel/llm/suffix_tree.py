@@ -1,16 +1,14 @@
 """Scoring texts with a probabilistic suffix tree (operator 3).
 
 A text is its words, A-Z lower-cased, each spelled in bytes and followed by a space, then an end mark. The tree predicts the
-next symbol from the longest retained context before it. A context of up to `DEPTH` symbols is retained if it makes up at least
-`LEAST_SHARE` of the training positions and its next-symbol distribution diverges from that of the context one symbol shorter:
-share times Kullback-Leibler divergence (nats a position) of at least `LEAST_GAIN`. The suffixes of a retained context are
-retained too. Distributions are smoothed towards the shorter context's, the empty context's towards the even one.
-
-All training texts are counted, in Spark. LEAST_SHARE bounds what comes to the driver and goes to the tasks, at any size of
-table: at most 1 / LEAST_SHARE contexts of each length.
-
-A word's count over the whole table, for the unigram base score, comes by an exchange of hashes between chunks and buckets,
-never by a table of all words.
+next symbol from the longest retained context before it. A context of up to `DEPTH` symbols is retained if it occurs at least
+`LEAST_COUNT` times in training texts and its next-symbol distribution diverges from that of the context one symbol shorter: count
+times Kullback-Leibler divergence (nats), half a chi-square under no divergence, beyond its quantile `BEYOND`. The suffixes of a
+retained context are retained too. Distributions are smoothed towards the shorter context's, the empty context's towards the even one.
+
+All training texts are counted, and more evidence admits more contexts: counts, retained contexts and smoothed probabilities are
+Spark tables by length. A symbol after its context is asked for by an exchange between chunks and buckets, as a word's count over
+the whole table for the unigram base score is. No model comes to the driver or goes to the tasks as a whole.
 """
 
 from __future__ import annotations
@@ -20,19 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratapanel.llm import exchange, store
 from stratapanel.llm.words import FOLD, U64, Words, byte_column, mix, slices
 
 DEPTH = 6
-LEAST_SHARE = 1e-5
-LEAST_GAIN = 5e-8
+LEAST_COUNT = 8
+BEYOND = 3.09  # of the normal distribution: one in a thousand
 WEIGHT = 10.0
 END = 10
 END_WORD = U64(0xE0D)
 SEGMENTS = 8192
+SPREAD = 1_000_003
 
 
 def spelled(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,17 +50,22 @@ def inside(length: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1], dtype=np.int8) > 0
 
 
-def gram_codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every symbol with the `depth` before it, packed into one number, and how often it occurs."""
+def positions(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every symbol with the `depth` before it, packed into one number, text by text; and the symbols of each text."""
     symbols, begin, end = spelled(texts, depth)
     code = np.zeros(len(symbols) - depth, np.int64)
     for k in range(depth + 1):
         code = (code << 8) | symbols[k : len(symbols) - depth + k]
-    return np.unique(code[inside(len(symbols), begin, end)[depth:]], return_counts=True)
+    return code[inside(len(symbols), begin, end)[depth:]], end - begin
+
+
+def gram_codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of `positions` and how often each occurs."""
+    return np.unique(positions(texts, depth)[0], return_counts=True)
 
 
-def count_grams(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    """code, n: counts over all rows; folded in each task before the shuffle."""
+def count_grams(docs: DataFrame, text: str, depth: int, held_out: Column | None = None) -> DataFrame:
+    """code, n: counts over all rows, those `held_out` adding 0; folded in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -74,9 +78,13 @@ def count_grams(docs: DataFrame, text: str, depth: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
 
         for batch in batches:
-            texts = byte_column(batch.column(0))
+            texts, aside = byte_column(batch.column(0)), batch.column(1).to_pylist()
             for low, high in slices(texts):
-                held.append(gram_codes(texts[low:high], depth))
+                for weight in (1, 0):
+                    part = [t for t, apart in zip(texts[low:high], aside[low:high], strict=True) if weight == (not apart)]
+                    if part:
+                        codes, n = gram_codes(part, depth)
+                        held.append((codes, n * weight))
                 if len(held) > 8:
                     held = [fold()]
                     if len(held[0][0]) > 4_000_000:
@@ -84,7 +92,64 @@ def count_grams(docs: DataFrame, text: str, depth: int) -> DataFrame:
         if held:
             yield out(*fold())
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    columns = F.col(text).alias("text"), (F.lit(False) if held_out is None else held_out).alias("aside")
+    return docs.select(*columns).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def tail(code: str, symbols: int) -> Column:
+    """The last so many symbols of a code."""
+    return F.col(code).bitwiseAND((1 << 8 * symbols) - 1)
+
+
+def context(code: str = "code") -> Column:
+    return F.shiftrightunsigned(code, 8)
+
+
+def quantile(freedom: Column) -> Column:
+    """Of chi-square, `BEYOND` deviations out (Wilson and Hilferty)."""
+    part = F.lit(2 / 9) / freedom
+    return freedom * F.pow(1 - part + BEYOND * F.sqrt(part), F.lit(3.0))
+
+
+def probabilities(grams: DataFrame, depth: int, least_count: float, least_share: float = 0.0, least_gain: float = 0.0) -> DataFrame:
+    """code, log10: of each code in `grams` (code, n), the log10 probability of its last symbol after those before it.
+
+    A code of n = 0 is only asked about. `least_share` and `least_gain` (shares of all positions) ask for more than the count and
+    the significance do, for a smaller tree.
+    """
+    counted = {depth: grams}
+    for k in range(depth, 0, -1):
+        counted[k - 1] = store.written(counted[k].groupBy(tail("code", k).alias("code")).agg(F.sum("n").alias("n")), f"grams{k - 1}")
+    total = counted[0].agg(F.sum("n")).first()[0] or 0
+    kinds = F.count(F.when(F.col("n") > 0, 1))
+    alone = F.lit(True)  # the empty context is always retained; one symbol has no more than 256 rows
+    levels = {0: counted[0].select("code", "n", F.lit(total).alias("total"), alone.alias("diverges"), F.lit(counted[0].agg(kinds).first()[0]).alias("kinds"))}
+    own = Window.partitionBy(context())
+    for k in range(1, depth + 1):
+        wider = levels[k - 1].select(F.col("code").alias("tail"), F.col("n").alias("wider_n"), F.col("total").alias("wider_total"), F.col("kinds").alias("wider_kinds"))
+        rows = counted[k].withColumn("tail", tail("code", k)).join(wider, "tail")
+        rows = rows.withColumn("total", F.sum("n").over(own)).withColumn("kinds", kinds.over(own))
+        gain = F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("n") / F.col("total") / (F.col("wider_n") / F.col("wider_total"))))
+        gain = F.coalesce(F.sum(gain).over(own), F.lit(0.0))
+        # where one symbol alone follows the shorter context, the longer one cannot diverge
+        freedom = F.max("wider_kinds").over(own) - 1
+        significant = (freedom > 0) & (2 * gain >= quantile(F.greatest(freedom, F.lit(1))))
+        diverges = (F.col("total") >= max(least_count, least_share * total)) & significant & (gain >= least_gain * total)
+        levels[k] = store.written(rows.select("code", "n", "total", diverges.alias("diverges"), "kinds"), f"contexts{k}")
+    found = None
+    for k in range(1, depth + 1):
+        suffixes = F.explode(F.array(*[F.struct(F.lit(j).alias("k"), context().bitwiseAND((1 << 8 * j) - 1).alias("context")) for j in range(1, k + 1)]))
+        each = levels[k].filter("diverges").select(suffixes.alias("x")).select("x.k", "x.context")
+        found = each if found is None else found.union(each)
+    retained = store.written(found.distinct(), "retained") if found is not None else None
+    p = levels[0].select("code", ((F.col("n") + WEIGHT / 256) / (total + WEIGHT)).alias("p"))
+    for k in range(1, depth + 1):
+        here = retained.filter(F.col("k") == k).select("context", F.lit(True).alias("kept"))
+        rows = levels[k].select("code", "n", "total", tail("code", k).alias("tail"), context().alias("context"))
+        rows = rows.join(p.select(F.col("code").alias("tail"), F.col("p").alias("wider")), "tail").join(here, "context", "left")
+        smooth = (F.col("n") + WEIGHT * F.col("wider")) / (F.col("total") + WEIGHT)
+        p = rows.select("code", F.when(F.col("kept"), smooth).otherwise(F.col("wider")).alias("p"))
+    return store.written(p.select("code", F.log10("p").cast("float").alias("log10")), "model")
 
 
 @dataclass
@@ -124,7 +189,10 @@ class Tree:
 
 
 def learn(grams: DataFrame, depth: int, least_share: float, least_gain: float) -> Tree:
-    """The tree of all counted positions."""
+    """The tree of all counted positions, held in memory: for small tables, and to hold `probabilities` against.
+
+    Retained are contexts of `least_share` of the positions whose share times divergence is at least `least_gain`.
+    """
     total = grams.agg(F.sum("n")).first()[0] or 0
     tables = []
     if total:
@@ -205,18 +273,33 @@ def word_counts(words: Words, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return distinct, place, np.bincount(place, weights=weight, minlength=len(distinct)).astype(np.int64)
 
 
-def asker(buckets: int):
+def gram_buckets(codes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    return exchange.by_bucket(codes % SPREAD % buckets, buckets)
+
+
+def distinct_codes(texts: list[bytes], depth: int) -> np.ndarray:
+    held = [np.unique(positions(texts[low:high], depth)[0]) for low, high in slices(texts)]
+    return np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+
+
+def asker(buckets: int, depth: int):
     def ask(docs: pa.Table) -> pa.Table:
-        words = Words(byte_column(docs["text"]), fold=FOLD)
+        texts = byte_column(docs["text"])
+        words = Words(texts, fold=FOLD)
         distinct, _, counts = word_counts(words, ~docs["held_out"].to_numpy())
-        entries = exchange.by_bucket((mix(distinct, 5) % U64(buckets)).astype(np.int64), buckets)
+        entries = dict(exchange.by_bucket((mix(distinct, 5) % U64(buckets)).astype(np.int64), buckets))
+        codes = distinct_codes(texts, depth)
+        grams = dict(gram_buckets(codes, buckets))
+        used = sorted({*entries, *grams})
+        none = np.zeros(0, np.int64)
         chunk = docs["chunk"][0].as_py()
         return pa.table(
             {
-                "bucket": pa.array([b for b, _ in entries], pa.int32()),
-                "chunk": pa.array([chunk] * len(entries), pa.int32()),
-                "hashes": pa.array([exchange.to_planes(distinct[at]) for _, at in entries], pa.binary()),
-                "counts": pa.array([counts[at].astype("<u4").tobytes() for _, at in entries], pa.binary()),
+                "bucket": pa.array(used, pa.int32()),
+                "chunk": pa.array([chunk] * len(used), pa.int32()),
+                "hashes": pa.array([exchange.to_planes(distinct[entries.get(b, none)]) for b in used], pa.binary()),
+                "counts": pa.array([counts[entries.get(b, none)].astype("<u4").tobytes() for b in used], pa.binary()),
+                "grams": pa.array([exchange.to_planes(codes[grams.get(b, none)]) for b in used], pa.binary()),
             }
         )
 
@@ -230,12 +313,18 @@ def totals(entries: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64), place, [len(x) for x in held]
 
 
-def answer(entries: pa.Table) -> pa.Table:
-    """To each chunk, the counts over all training texts of the hashes it asked about, in its order."""
+def answer(entries: pa.Table, model: pa.Table) -> pa.Table:
+    """To each chunk, of what it asked about in its order: the counts of hashes over all training texts, and log10 probabilities."""
+    if not entries.num_rows:
+        return pa.table({"chunk": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "counts": pa.array([], pa.binary()), "log10": pa.array([], pa.binary())})
     counts, place, sizes = totals(entries)
     cuts = np.cumsum([0, *sizes])
     found = [counts[place[a:b]].astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"chunk": entries["chunk"], "bucket": entries["bucket"], "counts": pa.array(found, pa.binary())})
+    codes, log10 = model["code"].to_numpy(), model["log10"].to_numpy()
+    order = np.argsort(codes)
+    codes, log10 = codes[order], log10[order]
+    logs = [log10[np.searchsorted(codes, exchange.from_planes(x).astype(np.int64))].astype("<f4").tobytes() for x in entries["grams"].to_pylist()]
+    return pa.table({"chunk": entries["chunk"], "bucket": entries["bucket"], "counts": pa.array(found, pa.binary()), "log10": pa.array(logs, pa.binary())})
 
 
 def summary(entries: pa.Table) -> pa.Table:
@@ -244,7 +333,7 @@ def summary(entries: pa.Table) -> pa.Table:
     return pa.table({"tokens": pa.array([int(counts.sum())], pa.int64()), "distinct": pa.array([int((counts > 0).sum())], pa.int64())})
 
 
-def scorer(tree, buckets: int):
+def scorer(buckets: int, depth: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = byte_column(docs["text"])
         words = Words(texts, fold=FOLD)
@@ -252,12 +341,22 @@ def scorer(tree, buckets: int):
         distinct, place, _ = word_counts(words, np.zeros(n, bool))
         counts = np.zeros(len(distinct), np.int64)
         own = dict(exchange.by_bucket((mix(distinct, 5) % U64(buckets)).astype(np.int64), buckets))
-        for bucket, blob in zip(answers["bucket"].to_pylist(), answers["counts"].to_pylist(), strict=True):
-            counts[own[bucket]] = np.frombuffer(blob, "<i8")
+        codes = distinct_codes(texts, depth)
+        log10 = np.zeros(len(codes), np.float32)
+        grams = dict(gram_buckets(codes, buckets))
+        none = np.zeros(0, np.int64)
+        for bucket, of_words, of_grams in zip(*(answers[c].to_pylist() for c in ("bucket", "counts", "log10")), strict=True):
+            counts[own.get(bucket, none)] = np.frombuffer(of_words, "<i8")
+            log10[grams.get(bucket, none)] = np.frombuffer(of_grams, "<f4")
         owner = np.concatenate((words.owner(), np.arange(n)))
         logs = np.log10(counts + 0.5)
-        model = tree.value
-        scores = [model.score(texts[low:high]) for low, high in slices(texts)]
+        scores = []
+        for low, high in slices(texts):
+            each, size = positions(texts[low:high], depth)
+            there, back = np.unique(each, return_inverse=True)
+            sums = np.cumsum(np.concatenate(([0.0], log10[np.searchsorted(codes, there)].astype(float)[back])))
+            ends = np.cumsum(size)
+            scores.append(sums[ends] - sums[ends - size])
         return pa.table(
             {
                 "doc_id": docs["doc_id"], "held_out": docs["held_out"],
@@ -273,7 +372,7 @@ def scorer(tree, buckets: int):
 
 def score(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None, depth: int = DEPTH,
-    least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN,
+    least_share: float = 0.0, least_gain: float = 0.0, least_count: int = LEAST_COUNT,
 ) -> DataFrame:
     """One row for each row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -281,21 +380,21 @@ def score(
     empty text). Null and empty texts are the end mark alone. Repeated rows are counted and scored each. Without any training
     text every symbol is equally likely. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     if held_out is None:
         held_out = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)) == 1
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
-    grams = store.written(count_grams(base.filter(~F.col("held_out")), "text", depth), "grams")
-    tree = spark.sparkContext.broadcast(learn(grams, depth, least_share, least_gain))
+    grams = store.written(count_grams(base, "text", depth, F.col("held_out")), "grams")
+    model = probabilities(grams, depth, least_count, least_share, least_gain)
     chunks, buckets = exchange.sizes(store.text_bytes(base, "text"))
     dealt = base.withColumn("chunk", exchange.chunk_of(chunks, "doc_id", "text"))
-    entries = dealt.groupBy("chunk").applyInArrow(asker(buckets), "bucket int, chunk int, hashes binary, counts binary")
-    answers = entries.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, counts binary")
+    entries = dealt.groupBy("chunk").applyInArrow(asker(buckets, depth), "bucket int, chunk int, hashes binary, counts binary, grams binary")
+    sought = model.withColumn("bucket", F.pmod(F.pmod("code", F.lit(SPREAD)), F.lit(buckets)).cast("int"))
+    answers = entries.groupBy("bucket").cogroup(sought.groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, counts binary, log10 binary")
     whole = entries.groupBy("bucket").applyInArrow(summary, "tokens long, distinct long").agg(
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")
     )
     scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        scorer(tree, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+        scorer(buckets, depth), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
     )
     base_score = F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("distinct") + 1))
     # `whole` is one row

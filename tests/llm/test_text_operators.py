@@ -127,6 +127,26 @@ def test_suffix_tree_probabilities_and_states(spark):
     assert long > 0.95 * short  # of texts that were not learnt from
 
 
+def test_suffix_tree_tables_equal_the_tree_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BEYOND", -1e3)
+    docs = cases.given_docs(spark)
+    learnt = docs.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1)
+    tree = suffix_tree.learn(suffix_tree.count_grams(learnt, "text", 4), 4, 1e-4, 1e-6)
+    got = suffix_tree.score(docs, depth=4, least_share=1e-4, least_gain=1e-6, least_count=1).select("doc_id", "score").collect()
+    texts = dict(cases.rows_of(docs))
+    assert len(got) == len(texts)
+    assert np.allclose([r.score for r in got], tree.score([texts[r.doc_id].encode() for r in got]), rtol=1e-4)
+
+
+def test_suffix_tree_keeps_what_other_text_dilutes(spark):
+    said, other = "qwyx vrtz kjhg pldf mnbc", "the owls say nothing at all about it " * 30_000
+    df = spark.createDataFrame([(i, said) for i in range(41)] + [(100 + i, other) for i in range(9)], "doc_id long, text string")
+    aside = F.col("doc_id") == 40
+    alone = suffix_tree.score(df.filter("doc_id <= 40"), held_out=aside).filter("held_out").first().score
+    among = suffix_tree.score(df, held_out=aside).filter("held_out").first().score
+    assert among > 1.5 * alone and among > -0.3 * len(said)  # 40 sightings in ten million positions
+
+
 def test_quality_measures(docs):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     got = [(r.doc_id, *(r[c] for c in names)) for r in rules.judge(docs).collect()]
