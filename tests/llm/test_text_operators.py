@@ -1,5 +1,6 @@
 """Each text operator against a brute-force version, on the given documents and on awkward rows."""
 
+import base64
 import hashlib
 import importlib
 import random
@@ -167,6 +168,22 @@ def test_compression_bands():
     assert not rules.compression(noise + b"buy now " * 3000, packer)[2]  # the repetitive part holds most chunks
 
 
+def test_compression_limits_between_encoded_data_and_prose():
+    packer = rules.zstandard.ZstdCompressor(level=rules.LEVEL)
+    rng = random.Random(2)
+    for size in (520, 639, 700, 1023, 1500, 4095, 4096, 16383, 20_000, 80_000):
+        encoded = base64.encodebytes(rng.randbytes(size))[:size]
+        assert not rules.compression(encoded, packer)[2], size
+        if size >= 2 * rules.CHUNK:
+            assert rules.compression(encoded, packer)[1] > size // 2
+    chinese = (
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待。人人有资格享有本宣言所载的一切权利和自由，不分种族、肤色、性别、语言、宗教、政治或其他见解、"
+        "国籍或社会出身、财产、出生或其他身分等任何区别。并且不得因一人所属的国家或领土的政治的、行政的或者国际的地位之不同而有所区别，无论该领土是独立领土、托管领土、"
+        "非自治领土或者处于其他任何主权受限制的情况之下。人人有权享有生命、自由和人身安全。任何人不得使为奴隶或奴役；一切形式的奴隶制度和奴隶买卖，均应予以禁止。"
+    ).encode()
+    assert all(rules.compression(chinese[:size], packer)[2] for size in (256, 320, 400, 512, 600, 640, len(chinese)))
+
+
 def test_language_held_out(spark):
     docs = cases.given_docs(spark).union(cases.given_docs(spark).limit(0))
     sample = docs.filter(~language.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang")
