@@ -1,7 +1,7 @@
 """Licence texts in documents by canonical digests (operator 7), with DataFrame and SQL functions only.
 
 A text is made canonical: A-Z lower-cased, copyright lines left out, everything but letters and digits turned into single
-spaces, and equivalent spellings made one. The SHA-256 of the whole document, and that of each of its lines, is joined with the
+spaces, and equivalent spellings made one. Copyright lines are statements and rights notices, not body lines that go on about copyright. The SHA-256 of the whole document, and that of each of its lines, is joined with the
 digests of known licence texts and notices, which are made canonical by the same expression. Only entire texts match: a licence
 with a changed word has another digest.
 """
@@ -17,7 +17,14 @@ from pyspark.sql import functions as F
 from stratapanel.llm import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The lines left out by the SQL.
 COPYRIGHT = r"(?i)^[^a-z]*(copyright|\(c\)|©|all rights reserved)"
+#: Those left out here: not lines of a body, as wrapping may leave them, that go on about copyright ("copyright notice, this list", "COPYRIGHT
+#: HOLDERS AND") without a year, nor its items "(c) You must".
+STATEMENT = (
+    r"(?i)^[^a-z]*(?:©|all rights reserved|copyright(?!s?[ \t,;]+(?:notices?|holders?|owners?|licen[cs]e[sd]?|laws?|statements?|protection|interests?|treat(?:y|ies)|permission|and|or|on"
+    r"|in|is|to|for|patent|trademark|doctrines?|rights?|disclaimers?|status|resulting|control)\b(?!.*[0-9]{4}))(?!ed|able|[.,;\"](?!.*[0-9]{4}))|\(c\)(?![ \t]*(?:you|the|if|any|an?|to|in|third|for|is|it|under|representations)\b))"
+)
 SEPARATORS = "[^A-Za-z0-9]+"
 #: What a text must contain for the pattern to match ("" for a digit), the pattern over its words, and the spelling used for it.
 SPELLINGS = (
@@ -67,7 +74,7 @@ def bare(text: Column) -> Column:
 
 
 def without_copyright(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(COPYRIGHT)), " ")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(STATEMENT)), " ")
 
 
 def with_digest(units: DataFrame) -> DataFrame:
@@ -114,7 +121,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tup
     base = base.filter(may_match("text"))
     whole = base.select("doc_id", F.lit("text").alias("scope"), bare(without_copyright(F.col("text"))).alias("words"))
     lines = base.select("doc_id", F.lit("line").alias("scope"), F.explode(F.split("text", "\n")).alias("line")).filter(may_match("line"))
-    lines = lines.filter(~F.col("line").rlike(COPYRIGHT)).select("doc_id", "scope", bare(F.col("line")).alias("words"))
+    lines = lines.filter(~F.col("line").rlike(STATEMENT)).select("doc_id", "scope", bare(F.col("line")).alias("words"))
     units = with_digest(whole.union(lines))
     return units.join(known_digests(docs.sparkSession, known), "digest").groupBy("doc_id", "license", "scope").agg(F.count("*").alias("n_matches"))
 

@@ -267,6 +267,16 @@ def test_license_digests(spark):
     assert not {g[0] for g in got} & {2, 4, 5}
 
 
+def test_license_bodies_wrapped_before_copyright(spark):
+    mit = licenses.MIT.replace("The above copyright", "The above\ncopyright").replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT")
+    bsd = next(t for n, t in licenses.KNOWN if n == "BSD-3-Clause")
+    bsd = "Copyright Acme Inc.\nAll rights reserved.\n\n" + bsd.replace("copyright notice", "\ncopyright notice").replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS")
+    heads = ["Copyright (c) 2020 A. Body", "© A. Body", "(c) 2001-2004 Acme", "Copyright The Authors", "COPYRIGHT 2020 ACME", "Copyright, 2020, Acme"]
+    df = spark.createDataFrame([(0, mit), (1, bsd), *((2 + i, f"{h}\n{mit}") for i, h in enumerate(heads))], "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in licenses.scan(df).filter("scope = 'text'").collect()}
+    assert got == {(0, "MIT"), (1, "BSD-3-Clause"), *((2 + i, "MIT") for i in range(len(heads)))}
+
+
 def test_url_rules_and_method(spark):
     urls = [
         "http://a.org/", "https://example.org/es/1", "http://m.EXAMPLE.org/en/17?x", "http://example.org/en/2", "http://example.com/fr/1", "http://b.com/de/9", "http://org",
