@@ -67,6 +67,26 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: Digests of whole texts as published (those of /usr/share/common-licenses on Debian): with and without the appendix where there is one.
+FULL: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6"),
+    ("Apache-2.0", "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "9672a697b80e59f5b1b0201e64d65dee8762b193cdd934dc5bcf2b57350a2ead"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+)
+#: Words of which each text of FULL contains one.
+FULL_MARKS = ("distinguishing", "merchantability")
+
 
 def bare(text: Column) -> Column:
     """ASCII letters and digits, lower-cased, with single spaces between."""
@@ -89,11 +109,15 @@ def with_digest(units: DataFrame) -> DataFrame:
     return units.withColumn("digest", digest).drop("words")
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> DataFrame:
-    """license, digest: one row for each; the table is as small as the given list."""
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...], full: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """license, digest: one row for each; the table is as small as the given lists."""
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known]))
     rows = spark.range(1).select(rows.alias("x")).select("x.license", bare(without_copyright(F.col("x.text"))).alias("words"))
-    return with_digest(rows.filter("words <> ''")).distinct()
+    rows = with_digest(rows.filter("words <> ''"))
+    if full:
+        given = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(digest).alias("digest")) for name, digest in full]))
+        rows = rows.union(spark.range(1).select(given.alias("x")).select("x.license", "x.digest"))
+    return rows.distinct()
 
 
 def marks(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> list[str]:
@@ -104,7 +128,7 @@ def marks(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> list[str]:
     return sorted({max((w for w in text.split() if not touched.search(w)), key=lambda w: (len(w), w), default="") for (text,) in texts if text})
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = KNOWN, full: tuple[tuple[str, str], ...] = FULL) -> DataFrame:
     """A row for each doc_id, licence and scope that match: doc_id, license, scope ("text" or "line"), n_matches.
 
     A text of one line counts as a text and as a line. Null, empty and letterless texts match nothing. Rows that share a doc_id,
@@ -113,7 +137,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tup
     Only texts and lines that hold a word of some known text are made canonical, as no other can match.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = marks(docs.sparkSession, known)
+    words = sorted({*marks(docs.sparkSession, known), *(FULL_MARKS if full else ())})
 
     def may_match(column: str) -> Column:
         return reduce(lambda a, b: a | b, [F.lower(column).contains(w) for w in words], F.lit(False))
@@ -123,7 +147,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tup
     lines = base.select("doc_id", F.lit("line").alias("scope"), F.explode(F.split("text", "\n")).alias("line")).filter(may_match("line"))
     lines = lines.filter(~F.col("line").rlike(STATEMENT)).select("doc_id", "scope", bare(F.col("line")).alias("words"))
     units = with_digest(whole.union(lines))
-    return units.join(known_digests(docs.sparkSession, known), "digest").groupBy("doc_id", "license", "scope").agg(F.count("*").alias("n_matches"))
+    return units.join(known_digests(docs.sparkSession, known, full), "digest").groupBy("doc_id", "license", "scope").agg(F.count("*").alias("n_matches"))
 
 
 def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:

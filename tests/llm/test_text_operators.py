@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import importlib
+import pathlib
 import random
 import zlib
 
@@ -277,6 +278,19 @@ def test_license_bodies_wrapped_before_copyright(spark):
     assert got == {(0, "MIT"), (1, "BSD-3-Clause"), *((2 + i, "MIT") for i in range(len(heads)))}
 
 
+def test_license_full_texts(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {
+        "Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+        "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0",
+    }
+    there = [(i, (folder / f).read_text(errors="replace"), n) for i, (f, n) in enumerate(files.items()) if (folder / f).exists()]
+    if not there:
+        pytest.skip("no licence texts on this machine")
+    df = spark.createDataFrame([(i, t) for i, t, _ in there] + [(100 + i, t.replace(" not ", " ", 1)) for i, t, _ in there], "doc_id long, text string")
+    assert {tuple(r) for r in licenses.scan(df).collect()} == {(i, n, "text", 1) for i, _, n in there}
+
+
 def test_url_rules_and_method(spark):
     urls = [
         "http://a.org/", "https://example.org/es/1", "http://m.EXAMPLE.org/en/17?x", "http://example.org/en/2", "http://example.com/fr/1", "http://b.com/de/9", "http://org",
