@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapanel.llm import centroid_language, compression_rules, decontamination, licenses, near_dups, packing, pii, substring_dedup, suffix_tree, url_filter
+from stratapanel.llm import centroid_language, compression_rules, decontamination, licenses, near_dups, packing, periodic_runs, pii, substring_dedup, suffix_tree, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_digests": licenses.op7_license_digests,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_pii": pii.ORACLE,
     "op2_near_duplicates": near_dups.ORACLE,
     "op7_license_digests": licenses.oracle(),
     "op9_substring_dedup": substring_dedup.ORACLE,
+    "op13_periodic_runs": periodic_runs.ORACLE,
 }
