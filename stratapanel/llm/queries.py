@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapanel.llm import centroid_language, compression_rules, conversation_repair, decontamination, licenses, near_dups, packing, periodic_runs, pii, substring_dedup, suffix_tree, url_filter
+from stratapanel.llm import centroid_language, compression_rules, conversation_repair, decontamination, licenses, near_dups, packing, periodic_runs, pii, simhash, substring_dedup, suffix_tree, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_digests": licenses.op7_license_digests,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op11_simhash": simhash.op11_simhash,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
