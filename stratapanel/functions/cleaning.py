@@ -35,23 +35,33 @@ def strip_filler(c: Column | str, ignore: str = "", mode: str = "faithful") -> C
     return F.when(~text.isin("", "."), text)
 
 
-def text_to_long(column: str, ignore: str = "", mode: str = "faithful") -> Column:
-    """Whole number in the cells of a column, in any notation (``12``, ``12.0``, ``1e2``).
-
-    Empty cells and a lone dot are null once filler is gone; any other text that is no whole number
-    stops the job, so a count is never lost.  Plain digits take the first, cheap way.
-    """
-    text = f"CAST({quote(column)} AS STRING)"
+def without_filler_sql(text: str, ignore: str = "", mode: str = "faithful") -> str:
+    """SQL of a text without the ignored characters, before it is read as a whole number."""
     if ignore and mode == "strict":
-        text = f"regexp_replace({text}, r'^\\s*[{re.escape(ignore)}]+\\s*$', '')"
-    elif ignore:
-        text = f"replace({text}, '{ignore}', '')" if len(ignore) == 1 else f"translate({text}, '{ignore}', '')"
+        return f"regexp_replace({text}, r'^\\s*[{re.escape(ignore)}]+\\s*$', '')"
+    if ignore:
+        return f"replace({text}, '{ignore}', '')" if len(ignore) == 1 else f"translate({text}, '{ignore}', '')"
+    return text
+
+
+def whole_number_sql(text: str) -> str:
+    """SQL of the whole number that a text holds; plain digits take the first, cheap way."""
     number = f"try_cast({text} AS DECIMAL(38, 10))"
     other = (
         f"CASE WHEN nullif(nullif(trim({text}), ''), '.') IS NULL THEN NULL "
         f"WHEN {number} % 1 = 0 THEN CAST({number} AS BIGINT) ELSE CAST(raise_error(concat('no whole number: ', {text})) AS BIGINT) END"
     )
-    return F.expr(f"coalesce(try_cast(nullif({text}, '') AS BIGINT), {other})")
+    return f"coalesce(try_cast({text} AS BIGINT), {other})"
+
+
+def text_to_long(column: str, ignore: str = "", mode: str = "faithful") -> Column:
+    """Whole number in the cells of a column, in any notation (``12``, ``12.0``, ``1e2``).
+
+    Empty cells and a lone dot are null once filler is gone; any other text that is no whole number
+    stops the job, so a count is never lost.
+    """
+    text = f"nullif({without_filler_sql(f'CAST({quote(column)} AS STRING)', ignore, mode)}, '')"
+    return F.expr(whole_number_sql(text))
 
 
 def text_to_double(c: Column | str, ignore: str = "", mode: str = "faithful") -> Column:

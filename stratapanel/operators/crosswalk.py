@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import cleaning as C
 from ..functions import vocabulary as V
 from ..functions.nulls import quote, rowtotal
+from . import cells
 from . import columns as K
 from .guards import guard
 
@@ -25,14 +26,9 @@ def convertible(df: DataFrame, columns: Sequence[str], ignore: str = "", mode: s
     """
     if not columns:
         return {}
-    cleaned = df.select([C.strip_filler(F.col(quote(c)), ignore, mode).alias(c) for c in columns])
-
-    def worst(c: str) -> str:
-        grade = f"WHEN {c} RLIKE r'{C.INTEGER_TEXT}' THEN 0 WHEN {c} RLIKE r'{C.NUMBER_TEXT}' THEN 1 ELSE 2"
-        return f"max(CASE WHEN {c} IS NULL THEN 0 {grade} END) AS {c}"
-
-    row = cleaned.agg(*[F.expr(worst(quote(c))) for c in columns]).first()
-    return {c: ("bigint", "double", "string")[row[c] or 0] for c in columns}
+    graded = cells.gather(df, columns).select(cells.grades(ignore=ignore, mode=mode).alias(cells.CELLS))
+    worst = graded.agg(*[F.max(c).alias(f"_{i}") for i, c in enumerate(cells.unpacked(columns).values())]).first()
+    return {c: ("bigint", "double", "string")[worst[i] or 0] for i, c in enumerate(columns)}
 
 
 def destring(
@@ -42,6 +38,7 @@ def destring(
     mode: str = "faithful",
     keys: Iterable[str] = V.ID_COLUMNS,
     declared: bool = False,
+    scrubbed: bool = False,
 ) -> DataFrame:
     """Text columns to numbers, all or nothing per column.
 
@@ -49,14 +46,27 @@ def destring(
     that out takes one pass over the data.  With ``declared=True`` the columns are known to be
     counts, so the pass is skipped, and a cell that is no whole number in any notation stops the
     job.  Ids in ``keys`` never turn into numbers, or they would lose their leading zeros.
+    ``scrubbed`` makes the reserve codes among whole numbers null on the way.
+
+    All columns of one type are gathered and read as one array, so a table takes the same few
+    expressions whatever its width.
     """
     protected = set(keys)
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     wanted = text if columns is None else [c for c in columns if c in text]
     wanted = [c for c in wanted if c not in protected]
     types = dict.fromkeys(wanted, "bigint") if declared else convertible(df, wanted, ignore, mode)
-    readers = {"bigint": C.text_to_long, "double": C.text_to_double}
-    return K.replace_by(df, **{c: readers[kind](c, ignore, mode) for c, kind in types.items() if kind != "string"})
+    read, names = df, {}
+    for kind in ("bigint", "double"):
+        own = [c for c in wanted if types[c] == kind]
+        if not own:
+            continue
+        into = f"_{kind}s"
+        longs = kind == "bigint"
+        value = cells.to_longs(into, ignore, mode, scrubbed) if longs else cells.to_doubles(into, ignore, mode)
+        read = cells.gather(read, own, into).withColumn(into, value)
+        names |= cells.unpacked(own, into)
+    return read.select(*[names[c].alias(c) if c in names else F.col(quote(c)) for c in df.columns])
 
 
 def scrub(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:

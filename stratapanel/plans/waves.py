@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cleaning as C
 from ..functions import vocabulary as V
@@ -22,6 +23,11 @@ def _ids(df: DataFrame) -> list[str]:
     return [c for c in V.ID_COLUMNS if c in df.columns]
 
 
+def _longs(df: DataFrame, names: dict[str, str]) -> list[str]:
+    """Measure columns that are whole numbers, which ``destring`` has scrubbed."""
+    return [c for c in names.values() if isinstance(df.schema[c].dataType, T.LongType)]
+
+
 def table_2009(
     raw: DataFrame, measure: str, disabled: bool, level: str = "school",
     mode: str = "faithful", declared: bool = False, scrubbed: bool = True,
@@ -56,13 +62,13 @@ def table_2011(
     """2011 table: filler ``‡``, seven categories everywhere, a remark column for incomplete schools."""
     df = raw.withColumnRenamed("Incomplete", "INCOMPLETE") if "Incomplete" in raw.columns else raw
     names = V.table_crosswalk(measure, disabled)
-    df = destring(df, list(names), ignore="‡", mode=mode, declared=declared)
+    df = destring(df, list(names), ignore="‡", mode=mode, declared=declared, scrubbed=True)
     df = K.rename(K.constants(df, YEAR=2011, RACES_REPORTED=7), names)
     df = df.select(
         *_ids(df), "YEAR", "RACES_REPORTED", *names.values(),
         *([C.incomplete_flag("INCOMPLETE").alias("INCOMPLETE")] if "INCOMPLETE" in df.columns else []),
     )
-    return scrub(df)
+    return scrub(df, exclude=_longs(df, names))
 
 
 def table_modern(
@@ -73,13 +79,13 @@ def table_modern(
     names = V.modern_crosswalk(topic, year, as_published)
     flagged = topic == "CP" and INDICATOR in df.columns
     df = df.select(*_ids(df), *([INDICATOR] if flagged else []), *_required(df, names))
-    df = destring(df, list(names), declared=declared)
+    df = destring(df, list(names), declared=declared, scrubbed=True)
     df = K.rename(K.constants(df, YEAR=year, RACES_REPORTED=7), names)
     if year == 2015:
         df = K.replace_by(df, SCHID=C.zero_pad("SCHID"), COMBOKEY=C.school_key(F.col("LEAID"), F.col("SCHID")))
     if flagged:
         df = df.withColumn("CORPIND", C.flag_code(INDICATOR)).drop(INDICATOR)
-    return scrub(df)
+    return scrub(df, exclude=_longs(df, names))
 
 
 def _required(df: DataFrame, names: dict[str, str]) -> list[str]:
