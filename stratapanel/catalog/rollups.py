@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import round_to
 from ..functions.nulls import rowtotal, rowtotal_missing
-from ..operators import quality, rollup
+from ..operators import rollup, watch
 from ..sources import io
 from . import base as B
 
@@ -112,9 +112,8 @@ def state_lookup(spark, sf):
 
 
 def quality_report(spark, sf):
-    """All checks over the district-year sums, which are written once, and the tables they are matched with."""
-    leas = io.materialize(spark, io.shared_dir(spark, "leas"), lambda: B.lea_years(spark, sf))
-    customers = B.table(spark, sf, "customer")
+    """All checks over the district-year sums, counted while they are written; each table is read once."""
+    leas = B.lea_years(spark, sf)
     panel = leas.select(
         F.col("o_custkey").alias("LEAID"), "YEAR",
         F.when(F.col("YEAR") <= 1998, F.col("ENR_AI")).otherwise(0).alias("t5"),
@@ -122,14 +121,13 @@ def quality_report(spark, sf):
         F.col("ENR_sumrace").alias("summed"),
         F.when(F.col("YEAR") > 1996, F.col("ENR_sumrace")).otherwise(F.col("ENR_WH")).alias("reported"),
     )
-    districts = customers.select(F.col("c_custkey").alias("LEAID"))
-    return quality.report(
-        quality.exclusive(panel, F.col("t5") != 0, F.col("t7") != 0),
-        quality.unique_key(panel, ["LEAID", "YEAR"]),
-        quality.unmatched(panel.select("LEAID"), districts, ["LEAID"]),
-        quality.covered(panel, "YEAR"),
-        quality.totals_differ(panel, "reported", "summed"),
+    districts = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("LEAID"))
+    checks = watch.Watch(
+        watch.exclusive(F.col("t5") != 0, F.col("t7") != 0), watch.unique_key(["LEAID", "YEAR"]), watch.matched(districts, ["LEAID"]),
+        watch.covered("YEAR"), watch.totals_differ("reported", "summed"),
     )
+    io.write_table(panel, io.shared_dir(spark, "panel"), watch=checks)
+    return checks.report(spark)
 
 
 QUALITY_SQL = f"""WITH {B.FACT},

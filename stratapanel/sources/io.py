@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.watch import Watch
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -53,11 +55,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), watch: Watch | None = None) -> None:
     """Overwrite a table.  Panels are partitioned by year; rows are clustered on it before the write
-    so that each task writes few files, and AQE splits a year that is too large for one task."""
+    so that each task writes few files, and AQE splits a year that is too large for one task.
+
+    The checks of ``watch`` are counted on the rows as they are written, after the last shuffle.
+    """
+    df = watch.prepare(df) if watch else df
     if partition_by:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    df = watch.count(df) if watch else df
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
