@@ -10,6 +10,7 @@ thousandth at any size.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -20,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,86 +32,53 @@ from stratapanel.llm.words import byte_column
 SIZE = 2048
 END_ID = 0
 GROUP = 40_000
-CACHED, LONGEST = 500_000, 48
-#: How the byte-level tokenizer splits text before it merges letters, with its letter and number classes spelled out for
-#: texts within Latin-1; white space outside ASCII is kept away from both patterns by OTHER_SPACE.
-S, L, N = " \\t\\n\\r\\x0b\\x0c", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
-LATIN_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+")
-#: Other texts: a word with the space before it, or white space up to the next word's own space.
-UNIT = re.compile(f" ?[^{S}]+|[{S}]+(?![^{S}])|[{S}]+")
-RARE_SPACE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
-OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-#: A first byte above 0xC3 begins a character beyond Latin-1.
-BEYOND_LATIN = re.compile(rb"[\xc4-\xf4]")
-
-
-def byte_letters() -> dict[int, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: White space so long that the faster library's pattern would need a deep stack, and letters (from U+20000 on) of which the two
+#: libraries may know different ones.
+LONG_SPACE = re.compile(r"\s{500}")
+FAR_LETTERS = re.compile("[\U00020000-\U0010ffff]")
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: itself if it prints, else one of those from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
-    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def ranks(model: dict) -> dict[bytes, int] | None:
+    """Ids by bytes, if a lower id is also an earlier merge, so that merging by id gives the same ids; else None."""
+    letters = byte_letters()
+    merges = [m if isinstance(m, str) else "".join(m) for m in model["merges"]]
+    order = [model["vocab"][m.replace(" ", "")] for m in merges]
+    if any(a >= b for a, b in zip(order, order[1:], strict=False)) or any(c not in letters for word in model["vocab"] for c in word):
+        return None
+    return {bytes(letters[c] for c in word): i for word, i in model["vocab"].items()}
 
 
 class Encoder:
-    """Token ids as packed little-endian 32-bit numbers.
+    """Token ids as packed little-endian 32-bit numbers, those of the tokenizers library and its file.
 
-    The byte-level tokenizer never merges across the start of a piece, so a text's ids are those of its pieces. Each distinct
-    piece is tokenised once and remembered, and so is each distinct word with the space or line end before it; texts with
-    white space outside ASCII are tokenised as a whole.
+    A byte-level vocabulary whose ids follow its merges is read by tiktoken too, in half the time and with the same ids (compared for every
+    character below U+20000). Texts that the two might read differently go through the tokenizers library: names of added tokens, long
+    white space, characters further up, and all texts if the file is of another kind.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name inside a text is text
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def merged(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def pieces(self, text: str, latin: bool) -> bytes:
-        known, out = self.known, []
-        for piece in (LATIN_PIECE if latin else UNIT).findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.merged(piece) if latin else self.whole(piece)
-                if len(piece) <= LONGEST:
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        added = "|".join(re.escape(t["content"]) for t in held["added_tokens"])
+        self.added = re.compile(added) if added else None
+        plain = held["normalizer"] is None and held["pre_tokenizer"] == BYTE_LEVEL and held["model"]["type"] == "BPE"
+        known = ranks(held["model"]) if plain else None
+        self.fast = known and tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def __call__(self, body: bytes) -> bytes:
         text = body.decode()
-        if not text.isascii() and OTHER_SPACE.search(text):
-            return self.whole(text)
-        if len(self.known) > CACHED:
-            self.known.clear()
-        latin = text.isascii() or not BEYOND_LATIN.search(body)
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in RARE_SPACE):
-            return self.pieces(text, latin)
-        # only single spaces and single line ends between words: each word takes the one before it
-        keys = text.replace("\n", " \n").split(" ")
-        if len(self.words) > CACHED:
-            self.words.clear()
-        words = self.words
-        found = list(map(words.get, keys))
-        found[0] = self.pieces(keys[0], latin)
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    key = keys[i]
-                    found[i] = ids = words.get(key) or self.pieces(key if key[0] == "\n" else " " + key, latin)
-                    if len(key) <= LONGEST:
-                        words[key] = ids
-        return b"".join(found)
+        rare = not self.fast or (self.added and self.added.search(text)) or LONG_SPACE.search(text) or not text.isascii() and FAR_LETTERS.search(text)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids if rare else self.fast.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -226,7 +195,7 @@ def pack(
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     pieces = store.written(tokenised(docs, doc_id, text, path, size, end_id, with_ids), "pieces")
     groups = store.parts(pieces.count(), GROUP, least=1)
-    dealt = pieces.withColumn("group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(placer(size), f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long")
 
 

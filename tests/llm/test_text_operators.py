@@ -204,7 +204,6 @@ def test_language_held_out(spark):
 def test_packing_round_trip(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = tokenizers.Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = order([[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for _, t in cases.rows_of(docs)])
     pieces = packing.pack(docs, with_ids=True).collect()
     by_document, by_sequence = {}, {}
@@ -247,12 +246,29 @@ def test_packing_cuts_and_fit():
 def test_encoder_matches_the_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = tokenizers.Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     encode = packing.Encoder(path)
+    assert encode.fast
     rng = random.Random(3)
-    parts = ["a", "The", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "don't", "12", "²", "é", "ß", "日本", "\u00a0", "\u2003", "\x1c", "x.", ",", "😀", "<|endoftext|>"]
-    for text in ["", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(600))]:
+    parts = ["a", "The", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "don't", "12", "²", "é", "ß", "日本", "\u00a0", "\u2003", "\x1c", "x.", ",", "😀", "<|endoftext|>", "<|", "𠀀", "\u0301"]
+    texts = ["", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(600)), " " * 3000 + "x", "\n " * 2000, "x" * 20_000, "a <|endoftext|> b"]
+    texts += [f"a{c}b {c} 1{c}{c}2 .{c}" for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000, 7)])]
+    for text in texts:
         assert np.frombuffer(encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert 50256 in np.frombuffer(encode(b"a <|endoftext|> b"), "<u4")
+
+
+def test_encoder_of_another_file_uses_its_own_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = tokenizers.Tokenizer.from_file(path)
+    encode = packing.Encoder(path)
+    assert not encode.fast
+    assert np.frombuffer(encode("The É  don't".encode()), "<u4").tolist() == tokenizer.encode("The É  don't", add_special_tokens=False).ids
+
+
+def test_pieces_are_dealt_evenly(spark):
+    """Partition numbers sit in the high bits of Spark's row numbers, which groups must not follow."""
+    found = spark.range(0, 40_000, numPartitions=64).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1024)).alias("g")).groupBy("g").count()
+    assert found.count() > 1000 and found.agg(F.max("count")).first()[0] < 80
 
 
 def test_license_digests(spark):
