@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, merges, rollups, series, shapes, surveys
+from . import cleaning, merges, rollups, series, shapes, stata, surveys
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (series, rollups, cleaning, merges, shapes, surveys)
+_MODULES = (series, rollups, cleaning, merges, shapes, stata, surveys)
 
 
 def queries() -> dict[str, Query]:

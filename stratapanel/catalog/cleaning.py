@@ -9,6 +9,7 @@ from ..functions.nulls import not_in
 from ..operators import columns as K
 from ..operators.crosswalk import destring, scrub
 from ..plans.state_tables import sample
+from ..sources import io
 from . import base as B
 
 
@@ -114,10 +115,30 @@ def rename_pairs(spark, sf):
     return K.rename_pairs(rows, ["c_name", "c_mktsegment"], ["name", "type"])
 
 
+def labelled_customers(spark, sf):
+    """Districts with a label for each column, and the state's number labelled with its name, from the states themselves."""
+    states = {r[0]: r[1] for r in B.table(spark, sf, "nation").select("n_nationkey", "n_name").collect()}
+    rows = B.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    labelled = K.label(rows, {"c_custkey": "District id", "c_nationkey": "State", "c_mktsegment": "District type"})
+    return K.label_values(labelled, "c_nationkey", states)
+
+
 def column_labels(spark, sf):
-    rows = B.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    labelled = K.label(rows, {"c_custkey": "District id", "c_mktsegment": "District type"})
-    return labelled.groupBy("c_mktsegment").agg(F.count("c_custkey").alias("n"))
+    """The labels of a table after it was written and read, each with the number of rows that carry the value."""
+    path = io.shared_dir(spark, "labelled")
+    io.write_table(labelled_customers(spark, sf), path)
+    back = io.read_table(spark, path)
+    counts = back.groupBy(F.col("c_nationkey").cast("bigint").alias("code")).agg(F.count("*").alias("n"))
+    labels = K.label_list(back)
+    return labels.join(counts, "code", "left").select("column", "label", "code", "text", "n")
+
+
+def encode_labelled(spark, sf):
+    """Text categories to codes that carry their texts, through a file and back to texts."""
+    coded = K.encode(B.table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "segment", labelled=True)
+    path = io.shared_dir(spark, "encoded")
+    io.write_table(coded, path)
+    return K.decode(io.read_table(spark, path), "segment", "text").select("c_custkey", "segment", "c_mktsegment", "text")
 
 
 QUERIES = {
@@ -194,6 +215,12 @@ QUERIES = {
     ),
     "rename_pairs": (rename_pairs, "SELECT c_custkey, c_name AS name, c_mktsegment AS type FROM customer"),
     "column_labels": (
-        column_labels, "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1",
+        column_labels,
+        """SELECT 'c_custkey' AS "column", 'District id' AS label, CAST(NULL AS BIGINT) AS code, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS BIGINT) AS n
+        UNION ALL SELECT 'c_mktsegment', 'District type', NULL, NULL, NULL
+        UNION ALL SELECT 'c_nationkey', 'State', n_nationkey, n_name, (SELECT nullif(count(*), 0) FROM customer WHERE c_nationkey = n_nationkey) FROM nation""",
+    ),
+    "encode_labelled": (
+        encode_labelled, "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) AS INTEGER) AS segment, c_mktsegment, c_mktsegment AS text FROM customer",
     ),
 }

@@ -14,6 +14,9 @@ from .ranges import running
 
 Spec = str | tuple[str, str]
 
+# As many value labels as one column of a Stata table may have.
+MOST_LABELS = 65_536
+
 
 def expand(df: DataFrame, *specs: Spec) -> list[str]:
     """Column names for a list of specs, in the order asked for and without repeats.
@@ -123,13 +126,62 @@ def clear_labels(df: DataFrame) -> DataFrame:
     return _with_metadata(df, {c: {k: v for k, v in meta.items() if k != "comment"} for c, meta in held.items()})
 
 
-def encode(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Text categories to the codes 1..k in alphabetical order; blank and null stay null."""
+def label_values(df: DataFrame, column: str, labels: dict[int, str]) -> DataFrame:
+    """Attach the texts that a column's codes stand for; a table written as Parquet or Stata file keeps them."""
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"{len(labels)} labels for {column}, more than {MOST_LABELS}")
+    held = df.schema[_known(df.columns, column)].metadata
+    return _with_metadata(df, {column: {**held, "labels": {str(code): text for code, text in labels.items()}}})
+
+
+def value_labels(df: DataFrame, column: str) -> dict[int, str]:
+    """Texts by code, as attached to the column."""
+    return {int(code): text for code, text in df.schema[_known(df.columns, column)].metadata.get("labels", {}).items()}
+
+
+def label_list(df: DataFrame) -> DataFrame:
+    """Every label of the table: rows (column, label, code, text), a column without value labels once."""
+    rows = []
+    for f in df.schema.fields:
+        texts = value_labels(df, f.name) or {None: None}
+        if f.metadata.get("comment") or f.metadata.get("labels"):
+            rows += [(f.name, f.metadata.get("comment"), code, text) for code, text in texts.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, label string, code bigint, text string")
+
+
+def decode(df: DataFrame, column: str, into: str) -> DataFrame:
+    """The texts of a labelled column's codes; a code without a label becomes its number, as a table would show it, and null stays null."""
+    labels = list(value_labels(df, column).items())
+    # at most MOST_LABELS rows
+    texts = F.broadcast(df.sparkSession.createDataFrame(labels, "_code bigint, _text string"))
+    joined = df.join(texts, F.col(quote(column)) == F.col("_code"), "left")
+    kept = [F.col(quote(c)) for c in df.columns if c != into]
+    return joined.select(*kept, F.coalesce("_text", F.col(quote(column)).cast("string")).alias(into))
+
+
+def merge_labels(df: DataFrame, column: str, *tables: DataFrame) -> DataFrame:
+    """Give a column the labels it has in any of the tables, as when waves are put under one another; one code with two texts is an error."""
+    merged: dict[int, str] = {}
+    for table in (df, *tables):
+        for code, text in value_labels(table, column).items():
+            if merged.setdefault(code, text) != text:
+                raise ValueError(f"code {code} of {column} is both {merged[code]!r} and {text!r}")
+    return label_values(df, column, merged)
+
+
+def encode(df: DataFrame, column: str, into: str, labelled: bool = False) -> DataFrame:
+    """Text categories to the codes 1..k in alphabetical order; blank and null stay null.
+
+    ``labelled`` attaches the categories to the codes, which brings them to the driver; more than ``MOST_LABELS`` are an error.
+    """
     text = F.nullif(F.trim(F.col(column)), F.lit(""))
     labels = df.select(text.alias("_label")).dropna().distinct().withColumn("_one", F.lit(1))
     codes = running(labels, "_label", "_one", into, "_all").select("_label", F.col(into).cast("int").alias(into))
     joined = df.withColumn("_label", text).join(codes, "_label", "left")
-    return joined.select(*[df_col for df_col in df.columns if df_col != into], into)
+    coded = joined.select(*[df_col for df_col in df.columns if df_col != into], into)
+    if not labelled:
+        return coded
+    return label_values(coded, into, {code: text for text, code in codes.limit(MOST_LABELS + 1).collect()})
 
 
 def recode(df: DataFrame, column: str, rules: dict, otherwise: str = "keep") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.watch import Watch
+from .dta import DtaSource
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -69,6 +70,18 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), watc
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def read_dta(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A Stata table, one file or a folder of parts, with its labels; see ``sources.dta``."""
+    spark.dataSource.register(DtaSource)
+    return spark.read.format("dta").options(**options).load(path)
+
+
+def write_dta(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
+    """A folder of Stata files with the labels of columns and values; published when all of it is written."""
+    df.sparkSession.dataSource.register(DtaSource)
+    df.write.format("dta").mode(mode).options(**options).save(path)
+
+
 def _finished(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
