@@ -114,6 +114,22 @@ def wave_ingest_to_lea(spark, sf):
     return waves.to_lea(school)
 
 
+def workbook_wave_to_lea(spark, sf):
+    """The extract as the sheets of workbooks, read by name with every cell as text."""
+    path = io.shared_dir(spark, "workbooks")
+    io.write_sheet(raw_2011(school_cells(spark, sf), False), path, sheet="Suppressed Data", partRows=20_000)
+    school = waves.table_2011(io.read_sheet(spark, path, "Suppressed Data"), "CORP", False, declared=True)
+    return waves.to_lea(school)
+
+
+def workbook_export(spark, sf):
+    """The state table as a workbook and back: counts as numbers again, a missing count an empty cell."""
+    table = B.state_long(spark, sf).withColumn("CORP_", F.nullif("CORP_", F.lit(0)))
+    path = io.shared_dir(spark, "workbook")
+    io.write_sheet(table, path, sheet="by state")
+    return X.destring(io.read_sheet(spark, path), ["YEAR", "CORP_", "ENR_"], declared=True)
+
+
 def wave_ingest_data_decided(spark, sf):
     """As above, but the extract itself decides which columns are numbers."""
     school = waves.table_2011(raw_2011(school_cells(spark, sf), True), "CORP", True)
@@ -527,6 +543,11 @@ def _availability_sql() -> str:
 
 QUERIES = {
     "wave_ingest_to_lea": (wave_ingest_to_lea, _lea_2011_sql(False)),
+    "workbook_wave_to_lea": (workbook_wave_to_lea, _lea_2011_sql(False)),
+    "workbook_export": (
+        workbook_export,
+        f"""{B.STATE} SELECT CAST("YEAR" AS BIGINT) AS "YEAR", STATE_CODE, race, nullif(CORP_, 0) AS CORP_, ENR_ FROM state_long""",
+    ),
     "wave_ingest_data_decided": (wave_ingest_data_decided, _lea_2011_sql(True)),
     "standard_detect_select": (standard_detect_select, _standard_sql()),
     "modern_wave_to_lea": (modern_wave_to_lea, _modern_sql()),

@@ -16,17 +16,16 @@ from __future__ import annotations
 import re
 import struct
 import sys
-import uuid
 from collections.abc import Iterator, Sequence
 from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark import TaskContext, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .published import PartWriter, files_of, located
 
 SPLIT_BYTES, BLOCK_BYTES, PART_BYTES = 64 << 20, 8 << 20, 64 << 20
 
@@ -86,25 +85,6 @@ class Layout(NamedTuple):
         return np.dtype([(f"f{i}", k) for i, k in enumerate(kinds)])
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return fs.LocalFileSystem(), path
-
-
-def files_of(files: fs.FileSystem, path: str) -> list[str]:
-    found = files.get_file_info(path)
-    if found.type == fs.FileType.File:
-        return [path]
-    if found.type == fs.FileType.NotFound:
-        raise FileNotFoundError(path)
-    inside = files.get_file_info(fs.FileSelector(path))
-    names = [f.path for f in inside if f.type == fs.FileType.File and f.base_name.endswith(".dta") and f.base_name[0] not in "._"]
-    if not names:
-        raise FileNotFoundError(f"no .dta file in {path}")
-    return sorted(names)
-
-
 def text_of(raw: bytes, encoding: str) -> str:
     return raw.split(b"\0", 1)[0].decode(encoding)
 
@@ -224,7 +204,7 @@ class Reader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         files, path = located(self.path)
         out = []
-        for name in files_of(files, path):
+        for name in files_of(files, path, ".dta"):
             with files.open_input_file(name) as file:
                 layout = layout_of(file, name)
             if schema_of(layout, self.codes).simpleString() != self.schema.simpleString():
@@ -342,67 +322,11 @@ def file_of(table: pa.Table, schema: T.StructType) -> bytes:
     return b"".join([head, b"<map>", struct.pack("<14q", *places), b"</map>", *out, b"</stata_dta>"])
 
 
-class Written(WriterCommitMessage):
-    def __init__(self, names: list[str]):
-        self.names = names
-
-
-class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, schema: T.StructType, overwrite: bool, part: int):
-        self.path, self.schema, self.overwrite, self.part = path.rstrip("/"), schema, overwrite, part
-        self.beside = f"{self.path}._{uuid.uuid4().hex}"
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        files, beside = located(self.beside)
-        files.create_dir(beside, recursive=True)
-        context = TaskContext.get()
-        names: list[str] = []
-        held: list[pa.RecordBatch] = []
-
-        def publish() -> None:
-            name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(names):04d}.dta"
-            body = file_of(pa.Table.from_batches(held), self.schema)
-            with files.open_output_stream(f"{beside}/{name}") as out:
-                out.write(body)
-            names.append(name)
-            held.clear()
-
-        for batch in iterator:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.nbytes for b in held) >= self.part:
-                publish()
-        if held or not context.partitionId():
-            held = held or [pa.RecordBatch.from_pylist([], schema=to_arrow_schema(self.schema))]
-            publish()
-        return Written(names)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        files, path = located(self.path)
-        _, beside = located(self.beside)
-        wanted = {name for m in messages if m is not None for name in m.names}
-        for f in files.get_file_info(fs.FileSelector(beside, allow_not_found=True)):
-            if f.base_name not in wanted:
-                files.delete_file(f.path)
-        there = files.get_file_info(path).type != fs.FileType.NotFound
-        if there and not self.overwrite:
-            for name in sorted(wanted):
-                files.move(f"{beside}/{name}", f"{path}/{name}")
-            files.delete_dir(beside)
-            return
-        with files.open_output_stream(f"{beside}/_SUCCESS"):
-            pass
-        old = f"{beside}-old"
-        if there:
-            files.move(path, old)
-        files.move(beside, path)
-        if there:
-            files.delete_dir(old) if files.get_file_info(old).type == fs.FileType.Directory else files.delete_file(old)
+class Writer(PartWriter):
+    suffix = ".dta"
 
-    def abort(self, messages: list[Written | None]) -> None:
-        files, beside = located(self.beside)
-        if files.get_file_info(beside).type != fs.FileType.NotFound:
-            files.delete_dir(beside)
+    def file_of(self, table: pa.Table) -> bytes:
+        return file_of(table, self.schema)
 
 
 class DtaSource(DataSource):
@@ -417,7 +341,7 @@ class DtaSource(DataSource):
 
     def schema(self) -> T.StructType:
         files, path = located(self.options["path"])
-        first = files_of(files, path)[0]
+        first = files_of(files, path, ".dta")[0]
         with files.open_input_file(first) as file:
             return schema_of(layout_of(file, first), self._codes())
 

@@ -1,7 +1,4 @@
-"""Extract readers, the read-through table cache and result export.
-
-Workbooks are staged as CSV or Parquet before they come here: one file per sheet, header first.
-"""
+"""Extract readers, the read-through table cache and result export."""
 
 from __future__ import annotations
 
@@ -14,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..operators.watch import Watch
 from .dta import DtaSource
+from .xlsx import XlsxSource
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -82,6 +80,22 @@ def write_dta(df: DataFrame, path: str, mode: str = "overwrite", **options) -> N
     df.write.format("dta").mode(mode).options(**options).save(path)
 
 
+def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A sheet of a workbook, or of each workbook of a folder, every cell as text and the first row as names; see ``sources.xlsx``.
+
+    Without a name it is the first sheet; ``*`` reads all sheets, which must have the same columns.
+    """
+    spark.dataSource.register(XlsxSource)
+    reader = spark.read.format("xlsx")
+    return (reader if sheet is None else reader.option("sheet", sheet)).load(path)
+
+
+def write_sheet(df: DataFrame, path: str, sheet: str = "Sheet1", mode: str = "overwrite", **options) -> None:
+    """Result table as a folder of workbooks, names in the first row; one workbook where the table is small."""
+    df.sparkSession.dataSource.register(XlsxSource)
+    df.hint("rebalance").write.format("xlsx").mode(mode).options(sheet=sheet, **options).save(path)
+
+
 def _finished(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")

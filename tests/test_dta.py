@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratapanel.operators import columns as K
-from stratapanel.sources import dta, io
+from stratapanel.sources import dta, io, published
 
 NUMBERS = [-100, -1, 0, 7, 100]
 
@@ -80,7 +80,7 @@ def test_what_lost_attempts_left_is_not_published(tmp_path, spark):
     os.makedirs(writer.beside)
     for name in ("part-00000-1-0000.dta", "part-00000-2-0000.dta"):
         open(f"{writer.beside}/{name}", "w").close()
-    writer.commit([dta.Written(["part-00000-2-0000.dta"]), None])
+    writer.commit([published.Written(["part-00000-2-0000.dta"]), None])
     assert sorted(os.listdir(tmp_path / "t")) == ["_SUCCESS", "part-00000-2-0000.dta"]
 
 
