@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators import columns as K
 from ..operators import crosswalk as X
+from ..operators.merge import merge_buckets
 from ..plans import panels, waves
 from ..sources import io
 from . import base as B
@@ -263,6 +266,30 @@ def school_panel(spark, sf):
     return panels.school_panel({2011: [nodis, dis], 2013: [modern]}).drop("SCHID")
 
 
+def school_panel_by_wave(spark, sf):
+    """The same panel built a wave at a time: a wave that came too early is replaced, the other year's files stay."""
+    cells = io.materialize(spark, io.shared_dir(spark, "cells"), lambda: school_cells(spark, sf))
+    older, newer = cells.filter("SURVEY_YEAR <= 1999"), cells.filter("SURVEY_YEAR >= 2000")
+    nodis = waves.table_2011(raw_2011(older, False), "CORP", False, declared=True)
+    dis = waves.table_2011(raw_2011(older, True), "CORP", True, declared=True)
+    modern = waves.table_modern(raw_modern(newer), "CP", 2013, declared=True)
+    path = io.shared_dir(spark, "panel")
+    panels.add_wave(spark, path, 2013, [modern.filter("CORPIND = 1")], V.SCHOOL_KEY)
+    panels.add_wave(spark, path, 2011, [nodis, dis], V.SCHOOL_KEY)
+    return panels.add_wave(spark, path, 2013, [modern], V.SCHOOL_KEY).drop("SCHID")
+
+
+def bucketed_merge(spark, sf):
+    """District-year sums of two measures kept in buckets by their key and merged without moving a row."""
+    path = io.shared_dir(spark, "buckets")
+    leas = io.materialize(spark, f"{path}/leas", lambda: B.lea_years(spark, sf).withColumn("LEAID", B.district_id()))
+    name = f"panel_{uuid.uuid4().hex}"
+    enr = leas.filter("ENR_sumrace % 7 > 0").select(*V.DISTRICT_KEY, "ENR_BL", "ENR_WH")
+    corp = leas.filter("CORP_sumrace > 0").select(*V.DISTRICT_KEY, "CORP_BL", "CORP_WH", F.lit(-1).cast("bigint").alias("ENR_WH"))
+    kept = [io.write_bucketed(t, f"{name}_{i}", V.DISTRICT_KEY, 16, f"{path}/{i}") for i, t in enumerate((enr, corp))]
+    return merge_buckets(*kept, V.DISTRICT_KEY, "_merge")
+
+
 def long_fact_rollup(spark, sf):
     """District sums as a long fact by parsed attributes; unpivoted after the roll-up, not before."""
     school = waves.table_2011(raw_2011(school_cells(spark, sf), False), "CORP", False, declared=True)
@@ -556,6 +583,15 @@ QUERIES = {
     "lea_panel_totals": (lea_panel_totals, _totals_sql("CORP", ("NODIS", "IDEA"), 1)),
     "oss_panel_totals": (oss_panel_totals, _totals_sql("OSS", ("NODIS", "IDEA"), 2)),
     "school_panel": (school_panel, _school_sql()),
+    "school_panel_by_wave": (school_panel_by_wave, _school_sql()),
+    "bucketed_merge": (
+        bucketed_merge,
+        f"""WITH {B.FACT}, leas AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS "LEAID", "YEAR", {B.WIDE_SUMS} FROM fact GROUP BY o_custkey, "YEAR")
+        SELECT "LEAID", "YEAR", CASE WHEN ENR_sumrace % 7 > 0 THEN ENR_BL END AS "ENR_BL", CASE WHEN ENR_sumrace % 7 > 0 THEN ENR_WH ELSE -1 END AS "ENR_WH",
+        CASE WHEN CORP_sumrace > 0 THEN CORP_BL END AS "CORP_BL", CASE WHEN CORP_sumrace > 0 THEN CORP_WH END AS "CORP_WH",
+        CASE WHEN ENR_sumrace % 7 > 0 AND CORP_sumrace > 0 THEN 3 WHEN ENR_sumrace % 7 > 0 THEN 1 ELSE 2 END AS _merge
+        FROM leas WHERE ENR_sumrace % 7 > 0 OR CORP_sumrace > 0""",
+    ),
     "long_fact_rollup": (long_fact_rollup, _fact_sql()),
     "crosswalk_rename": (crosswalk_rename, _rename_sql()),
     "wave_dictionary": (wave_dictionary, _dictionary_sql()),

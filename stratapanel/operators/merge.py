@@ -9,6 +9,8 @@ null keys meet null keys, as the merge statement wants.
 key, so join and aggregate share one shuffle.  A hot key sits on the left only, where Spark's
 adaptive skew join splits it; right-only rows are added by an anti join, because a full outer join
 cannot be split that way.
+
+``merge_buckets`` (1:1, two tables) is for panels that are kept in buckets by their key: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import quote
@@ -82,6 +84,39 @@ def merge_one(
     return merged.selectExpr(*out)
 
 
+def once(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` itself, or an error if a key is repeated or null.  Rows are numbered where they are: those dealt by the key, or by part of
+    it, do not move, and nothing but the number is added to them."""
+    number = F.row_number().over(Window.partitionBy(*on).orderBy(*on))
+    whole = reduce(lambda a, b: a & b, [F.col(quote(k)).isNotNull() for k in on])
+    checked = guard(df, whole, F.concat(F.lit(f"a key is null in {', '.join(on)}: "), _key_text(on)))
+    numbered = guard(checked.withColumn("_number", number), F.col("_number") == 1, F.concat(F.lit(f"not unique on {', '.join(on)}: "), _key_text(on)))
+    return numbered.drop("_number")
+
+
+def merge_buckets(left: DataFrame, right: DataFrame, on: Sequence[str], indicator: str | None = None) -> DataFrame:
+    """1:1 merge of two tables that lie in equally many buckets by ``on`` (``sources.io.write_bucketed``), without a shuffle.
+
+    The rules are those of ``merge_one``, but keys are never null.  The result is no longer in buckets for Spark: write it as such again
+    where a third table is to meet it, or give three tables to ``merge_one``.
+    """
+    on = list(on)
+    renamed = {c: f"_r|{c}" for c in right.columns}
+    ours = once(left, on).withColumn("_l", F.lit(True))
+    theirs = once(right, on).withColumnsRenamed(renamed).withColumn("_r", F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(quote(k)) == F.col(quote(renamed[k])) for k in on])
+    joined = ours.join(theirs, same, "full")
+    out = [F.coalesce(F.col(quote(k)), F.col(quote(renamed[k]))).alias(k) for k in on]
+    for c in [c for c in left.columns if c not in on]:
+        own = F.col(quote(c))
+        out.append((F.when(F.col("_l"), own).otherwise(F.col(quote(renamed[c]))) if c in renamed else own).alias(c))
+    out += [F.col(quote(renamed[c])).alias(c) for c in right.columns if c not in left.columns]
+    if indicator:
+        both, mine = F.col("_l") & F.col("_r"), F.col("_l")
+        out.append(F.when(both, BOTH).when(mine, LEFT_ONLY).otherwise(RIGHT_ONLY).alias(indicator))
+    return joined.select(*out)
+
+
 def unique_rows(df: DataFrame, on: Sequence[str]) -> DataFrame:
     """``df`` with one row per key, or an error; leaves the rows partitioned on the key."""
     on = list(on)

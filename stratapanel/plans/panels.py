@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
@@ -13,6 +13,7 @@ from ..operators import columns as K
 from ..operators.guards import guard
 from ..operators.merge import stack_panel
 from ..operators.reshape import append
+from ..sources import io
 from .waves import race_partials, reported_partials
 
 
@@ -44,6 +45,17 @@ def school_panel(by_year: dict[int, Sequence[DataFrame]]) -> DataFrame:
     return stack_panel(by_year, V.SCHOOL_KEY)
 
 
+def add_wave(spark: SparkSession, path: str, year: int, tables: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
+    """Put one wave into the panel at ``path``, in place of what it holds of that year; other years are neither read nor written.
+
+    The wave's tables are merged 1:1 with their keys checked, and a row of another year stops the job.  The panel may be new.
+    """
+    wave = stack_panel({year: tables}, on)
+    wave = guard(wave, F.col("YEAR").eqNullSafe(F.lit(year)), F.concat(F.lit(f"a row of another year than {year}: "), F.coalesce(F.col("YEAR").cast("string"), F.lit("null"))))
+    io.replace_partitions(wave, path)
+    return io.read_panel(spark, path)
+
+
 def lea_totals(
     topic: str,
     schools: Sequence[DataFrame] = (),

@@ -96,21 +96,75 @@ def write_sheet(df: DataFrame, path: str, sheet: str = "Sheet1", mode: str = "ov
     df.hint("rebalance").write.format("xlsx").mode(mode).options(sheet=sheet, **options).save(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop path and file system of a path."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _finished(spark: SparkSession, path: str) -> bool:
+    marker, files = _files(spark, f"{path}/_SUCCESS")
+    return files.exists(marker)
+
+
+def publish(spark: SparkSession, beside: str, path: str) -> bool:
+    """Give a finished folder its name.  False if a finished table has the name already: that one stays and this one goes."""
+    there, files = _files(spark, path)
+    own, _ = _files(spark, beside)
+    if files.exists(there) and not _finished(spark, path):
+        files.delete(there, True)
     jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    plain = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        # unlike a file system's own rename this one does not move into a folder that is there
+        context.rename(files.makeQualified(own), files.makeQualified(there), plain)
+    except Exception:
+        if not _finished(spark, path):
+            raise
+        files.delete(own, True)
+        return False
+    return True
 
 
 def materialize(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
 ) -> DataFrame:
-    """The table at ``path`` if a finished copy is there, otherwise build it, write it and read it back."""
+    """The table at ``path`` if a finished copy is there, otherwise build it, write it and read it back.
+
+    The table is built beside its place and gets its name when it is complete, so nobody reads half of it.  Of two builders of one
+    path the first one's copy stays, and both read that.
+    """
     if not _finished(spark, path):
-        write_table(build(), path, partition_by)
+        beside = f"{path.rstrip('/')}._{uuid.uuid4().hex}"
+        write_table(build(), beside, partition_by)
+        publish(spark, beside, path)
     return read_table(spark, path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = ("YEAR",)) -> None:
+    """Write the rows of some partitions, such as one year of a panel, and leave the files of all others as they are."""
+    df = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def read_panel(spark: SparkSession, path: str) -> DataFrame:
+    """A panel by year whose years may have different columns; a column that a year lacks is null there."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, by: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """A table dealt into buckets by ``by`` and sorted in them; merges and roll-ups on a key that holds ``by`` need no shuffle.
+
+    Tables that are to meet take one number of buckets.  Rows are dealt before the write, so each bucket is one file.
+    """
+    by = list(by)
+    dealt = df.repartition(buckets, *[F.col(c) for c in by])
+    writer = dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, *by).sortBy(*by)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def export_table(df: DataFrame, path: str) -> None:
     """Result table as CSV with a header.
 
@@ -133,8 +187,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    there, files = _files(spark, path)
     files.mkdirs(there)
     files.deleteOnExit(there)
     return path
