@@ -128,6 +128,18 @@ def unique_rows(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return guard(grouped, F.col("_n") == 1, message).select(*df.columns)
 
 
+def checked(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` as it is, or an error if a key is repeated.
+
+    Only the keys are counted, folded before they move; the rows meet one value, the number of repeated keys, and stay where they are.
+    """
+    on = list(on)
+    repeated = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    found = repeated.agg(F.count(F.lit(1)).alias("_repeated"), F.min(_key_text(on)).alias("_example"))
+    message = F.concat(F.lit(f"not unique on {', '.join(on)}: "), F.col("_example"))
+    return guard(df.crossJoin(F.broadcast(found)), F.col("_repeated") == 0, message).select(*[F.col(quote(c)) for c in df.columns])
+
+
 def merge_many(
     left: DataFrame,
     right: DataFrame,
@@ -197,7 +209,7 @@ def stack_panel(
         if len(tables) > 1 and merged:
             years.append(merge_one(tables, on))
         elif merged:
-            years += [unique_rows(t, on) for t in tables]
+            years += [checked(t, on) for t in tables]
         else:
             years += tables
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), years)
