@@ -67,3 +67,55 @@ def recent(year: int) -> list[Name]:
         ("SCH_PSCORPINSTANCES_ALL", "CORPINST_PS", "M_IDEA"), ("SCH_PSCORPINSTANCES_IDEA", "CORPINST_IDEA_PS", "M_IDEA"),
     ]
     return names + [Name(target, None, source, cell) for source, target, cell in young]
+
+
+def recent_suspensions(year: int, as_published: bool = True) -> list[Name]:
+    """The suspension columns of 2013 and later: three measures, preschool, and from 2015 on instances and days missed."""
+    out = []
+
+    def add(source: str, target: str, cell: str) -> None:
+        out.append(Name(target, None, source, cell))
+
+    for measure, code in (("ISS", "ISS"), ("SINGOSS", "SINGOOS"), ("MULTOSS", "MULTOOS")):
+        for sex in "MF":
+            for _, group, race in GROUP_CODES:
+                add(f"SCH_DISCWODIS_{code}_{group}_{sex}", f"{measure}_{sex}_{race}_NODIS", f"{sex}_{race}_NODIS")
+                add(f"SCH_DISCWDIS_{code}_IDEA_{group}_{sex}", f"{measure}_{sex}_{race}_IDEA", f"{sex}_{race}_IDEA")
+            add(f"TOT_DISCWODIS_{code}_{sex}", f"{measure}_{sex}_NODIS", f"{sex}_NODIS")
+            add(f"TOT_DISCWDIS_{code}_IDEA_{sex}", f"{measure}_{sex}_IDEA", f"{sex}_IDEA")
+            add(f"SCH_DISCWODIS_{code}_LEP_{sex}", f"{measure}_{sex}_NODIS_LEP", f"{sex}_LEP")
+            add(f"SCH_DISCWDIS_{code}_LEP_{sex}", f"{measure}_{sex}_DIS_LEP", f"{sex}_LEP")
+            add(f"SCH_DISCWDIS_{code}_504_{sex}", f"{measure}_{sex}_504", f"{sex}_LEP")
+    young = (("OSS", "OOMOOS"),) if year == 2020 else (("SINGOSS", "SINGOOS"), ("MULTOSS", "MULTOOS"))
+    odd = year == 2020 and as_published
+    for measure, code in young:
+        for sex, other in ("MF", "FM"):
+            for _, group, race in GROUP_CODES:
+                add(f"SCH_PSDISC_{code}_{group}_{sex}", f"{measure}_{sex}_{'TR' if odd and race == 'MR' else race}_PS", f"{sex}_{race}_IDEA")
+            add(f"TOT_PSDISC_{code}_{sex}", f"{measure}_{sex}_PS", f"{sex}_IDEA")
+            add(f"SCH_PSDISC_{code}_LEP_{sex}", f"{measure}_{sex}_LEP_PS", f"{sex}_LEP")
+            add(f"SCH_PSDISC_{code}_IDEA_{sex}", f"{measure}_{other if odd else sex}_IDEA_PS", f"{sex}_IDEA")
+    if year >= 2015:
+        for sex in "MF":
+            for _, group, race in GROUP_CODES:
+                add(f"SCH_DAYSMISSED_{group}_{sex}", f"SUS_DAYSMISSED_{sex}_{race}", f"{sex}_{race}_IDEA")
+            add(f"TOT_DAYSMISSED_{sex}", f"SUS_DAYSMISSED_{sex}", f"{sex}_IDEA")
+            for group in ("LEP", "504"):
+                add(f"SCH_DAYSMISSED_{group}_{sex}", f"SUS_DAYSMISSED_{sex}_{group}", f"{sex}_LEP")
+            add(f"SCH_DAYSMISSED_IDEA_{sex}", f"SUS_DAYSMISSED_{sex}_IDEA", f"{sex}_IDEA")
+        for source, status, cell in (
+            ("SCH_PSOOSINSTANCES_ALL", "PS", "M_IDEA"), ("SCH_PSOOSINSTANCES_IDEA", "IDEA_PS", "M_IDEA"), ("SCH_OOSINSTANCES_WODIS", "NODIS", "M_NODIS"),
+            ("SCH_OOSINSTANCES_IDEA", "IDEA", "M_IDEA"), ("SCH_OOSINSTANCES_504", "504", "M_LEP"),
+        ):
+            add(source, f"OSSINSTANCES_{status}", cell)
+    return out
+
+
+def attributes(target: str) -> tuple[str, str | None, str | None, str | None]:
+    """Measure, sex, group and status of a target name, by splitting it."""
+    parts = target.removeprefix("SUS_").split("_")
+    measure = ("SUS_" if target.startswith("SUS_") else "") + parts.pop(0)
+    sex = parts.pop(0) if parts and parts[0] in ("M", "F") else None
+    races = [race for _, _, race in GROUP_CODES] + ["TR"]
+    race = parts.pop(0) if parts and parts[0] in races else None
+    return measure, sex, race, "_".join(parts) or None

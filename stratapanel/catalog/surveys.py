@@ -16,6 +16,9 @@ from ..sources import io
 from . import base as B
 from . import expected as E
 
+SUSPENSIONS = ["SINGOSS", "MULTOSS", "ISS"]
+# Which survey year stands for which wave in the panels of all waves.
+LAYOUTS = [(1996, 2009), (1997, 2011), (1998, 2013), (1999, 2015), (2000, 2017), (2001, 2020)]
 CELLS = [f"{g}_{r}_{s}" for s in ("NODIS", "IDEA") for g in V.GENDERS for r in V.RACES]
 TOTALS = [f"{g}_{s}" for s in ("NODIS", "IDEA", "LEP") for g in V.GENDERS]
 
@@ -57,16 +60,8 @@ def _ids() -> list[Column]:
     ]
 
 
-def _source_cell(target: str) -> str:
-    """Which order-level cell stands in for a suspension column of the recent waves."""
-    parts = X.parse_name(target)
-    gender, group = parts["gender"] or "M", "NODIS" if parts["status"] in ("NODIS", "NODIS_LEP") else "IDEA"
-    if parts["race"]:
-        # one wave as published keeps its own code for the multi-racial group
-        race = "MR" if parts["race"] == "TR" else parts["race"]
-        return f"{gender}_{race}_{group}"
-    special = "LEP" in (parts["status"] or "") or parts["status"] == "504"
-    return f"{gender}_{'LEP' if special else group}"
+def recent(topic: str, year: int, as_published: bool = True) -> list[E.Name]:
+    return E.recent(year) if topic == "CP" else E.recent_suspensions(year, as_published)
 
 
 def raw_2011(cells: DataFrame, disabled: bool, measure: str = "CORP") -> DataFrame:
@@ -75,11 +70,11 @@ def raw_2011(cells: DataFrame, disabled: bool, measure: str = "CORP") -> DataFra
     return cells.select(*_ids(), *columns, remark)
 
 
-def raw_2009(cells: DataFrame) -> DataFrame:
+def raw_2009(cells: DataFrame, measure: str = "CORP", disabled: bool = False) -> DataFrame:
     """Schools with order status F report five categories, the others seven."""
     five = F.col("o_orderstatus") == "F"
     columns = []
-    for c in E.older("CORP", False):
+    for c in E.older(measure, disabled):
         text = cell_text(c.cell, "-")
         if c.five:
             columns.append(F.when(five, text).otherwise("-").alias(c.five))
@@ -87,13 +82,14 @@ def raw_2009(cells: DataFrame) -> DataFrame:
     return cells.select(*_ids(), *columns)
 
 
+def raw_2009_districts(cells: DataFrame, measure: str, disabled: bool) -> DataFrame:
+    """The restricted layout: one row per order stands for a district, which brings its year."""
+    return raw_2009(cells, measure, disabled).withColumn("LEAID", F.col("SCHID")).withColumn("YEAR", F.lit("2009"))
+
+
 def raw_modern(cells: DataFrame, year: int = 2013, topic: str = "CP") -> DataFrame:
     """One wide extract, lower-case names, with the instances flag."""
-    if topic == "CP":
-        columns = [cell_text(c.cell, "").alias(c.source.lower()) for c in E.recent(year)]
-    else:
-        cells_of = [(source, _source_cell(target)) for source, target in V.modern_crosswalk(topic, year).items()]
-        columns = [cell_text(cell, "").alias(source.lower()) for source, cell in cells_of]
+    columns = [cell_text(c.cell, "").alias(c.source.lower()) for c in recent(topic, year)]
     said = F.col("o_orderstatus")
     flag = F.when(said == "F", "Yes").when(said == "O", "No").otherwise("-5").alias(waves.INDICATOR.lower())
     return cells.select(*_ids(), *columns, flag)
@@ -166,12 +162,12 @@ def recent_wave_to_lea(topic: str, year: int, as_published: bool = True):
     return run
 
 
-def lea_2009(scrubbed: bool):
-    """The restricted district layout: one row per order stands for a district, which brings its year."""
+def lea_2009(scrubbed: bool, measure: str = "CORP", disabled: bool = False):
+    """A table of the restricted district layout of 2009."""
 
     def run(spark, sf):
-        raw = raw_2009(school_cells(spark, sf)).withColumn("LEAID", F.col("SCHID")).withColumn("YEAR", F.lit("2009"))
-        return waves.table_2009(raw, "CORP", False, level="lea", declared=True, scrubbed=scrubbed)
+        raw = raw_2009_districts(school_cells(spark, sf), measure, disabled)
+        return waves.table_2009(raw, measure, disabled, level="lea", declared=True, scrubbed=scrubbed)
 
     return run
 
@@ -256,6 +252,38 @@ def oss_panel_totals(spark, sf):
     return panels.lea_totals("OSS", schools=[*tables, modern], historic=[historic])
 
 
+def panel_all_waves(topic: str):
+    """Race totals over every layout of the panel, a survey year each: districts until 1995, then 2009, 2011, 2013, 2015, 2017 and 2020.
+
+    Suspensions of 2009 come from six restricted district tables, those of 2011 from six school tables.
+    """
+
+    def run(spark, sf):
+        historic = waves.historic_lea(raw_historic(spark, sf, F.col("YEAR") <= 1995, topic), topic)
+        cells = io.materialize(spark, io.shared_dir(spark, "cells"), lambda: school_cells(spark, sf, F.col("SURVEY_YEAR") >= 1996))
+        pairs = [(m, d) for m in (["CORP"] if topic == "CP" else SUSPENSIONS) for d in (False, True)]
+        first, second = cells.filter("SURVEY_YEAR = 1996"), cells.filter("SURVEY_YEAR = 1997")
+        schools = [waves.table_2011(raw_2011(second, d, m), m, d, declared=True) for m, d in pairs]
+        for survey, year in LAYOUTS[2:]:
+            schools.append(waves.table_modern(raw_modern(cells.filter(F.col("SURVEY_YEAR") == survey), year, topic), topic, year, declared=True))
+        if topic == "CP":
+            schools += [waves.table_2009(raw_2009(first, m, d), m, d, declared=True) for m, d in pairs]
+            return panels.lea_totals(topic, schools=schools, historic=[historic])
+        districts = [waves.table_2009(raw_2009_districts(first, m, d), m, d, level="lea", declared=True, scrubbed=False) for m, d in pairs]
+        return panels.lea_totals(topic, schools=schools, districts=districts, historic=[historic])
+
+    return run
+
+
+def oss_school_panel(spark, sf):
+    """Suspensions of schools: the six tables of 2011 merged 1:1, the wide table of 2013 below."""
+    cells = io.materialize(spark, io.shared_dir(spark, "cells"), lambda: school_cells(spark, sf))
+    older, newer = cells.filter("SURVEY_YEAR <= 1999"), cells.filter("SURVEY_YEAR >= 2000")
+    tables = [waves.table_2011(raw_2011(older, d, m), m, d, declared=True).drop("SCHID") for m in SUSPENSIONS for d in (False, True)]
+    modern = waves.table_modern(raw_modern(newer, 2013, "OSS"), "OSS", 2013, declared=True).drop("SCHID")
+    return panels.school_panel({2011: tables, 2013: [modern]})
+
+
 def school_panel(spark, sf):
     """Schools of two layouts: one year's two tables merged 1:1, the other year's table below."""
     cells = io.materialize(spark, io.shared_dir(spark, "cells"), lambda: school_cells(spark, sf))
@@ -373,18 +401,19 @@ def _lea_2011_sql(disabled: bool) -> str:
     return f"""WITH {_cells_sql()} SELECT leaid AS "LEAID", {sums}, 2011 AS "YEAR", 7 AS "RACES_REPORTED" FROM cells GROUP BY leaid"""
 
 
-def _standard_sql() -> str:
+def _standard_sql(measure: str = "CORP", disabled: bool = False, scrubbed: bool = True, key: str = 'combokey AS "COMBOKEY"', where: str = "TRUE") -> str:
+    choices = E.older(measure, disabled)
+
     def picked(choice: E.Name) -> str:
-        value = _clean_sql(choice.cell, "-", "-")
+        value = _clean_sql(choice.cell, "-", "-") if scrubbed else _number_sql(_text_sql(choice.cell, "-"), "-")
         if choice.five:
             return f'CASE WHEN five AND standard = 5 OR NOT five AND standard = 7 THEN {value} END AS "{choice.target}"'
         return f'CASE WHEN NOT five THEN {value} END AS "{choice.target}"'
 
-    choices = E.older("CORP", False)
     sums = " + ".join(
         f"(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE coalesce({_number_sql(_text_sql(c.cell, '-'), '-')}, 0) END)" for c in choices
     )
-    return f"""WITH {_cells_sql()} SELECT combokey AS "COMBOKEY", 2009 AS "YEAR", standard AS "RACES_REPORTED", {", ".join(picked(c) for c in choices)}
+    return f"""WITH {_cells_sql(where)} SELECT {key}, 2009 AS "YEAR", standard AS "RACES_REPORTED", {", ".join(picked(c) for c in choices)}
     FROM (SELECT *, o_orderstatus = 'F' AS five, CASE WHEN {sums} <> 0 THEN 7 ELSE 5 END AS standard FROM cells)"""
 
 
@@ -400,44 +429,19 @@ def _preschool_sql() -> str:
     2015 AS "YEAR", 7 AS "RACES_REPORTED", {columns} FROM cells"""
 
 
-RACES_SQL = ("AI", "AS", "BL", "HI", "WH", "HP", "MR")
-SEXES_SQL = ("M", "F")
-
-
-def _recent_names(topic: str, year: int) -> list[tuple[str, str]]:
+def _recent_names(topic: str, year: int, as_published: bool = True) -> list[tuple[str, str]]:
     """(target name, cell) of every measure column of a wave."""
-    if topic == "CP":
-        return _modern(year)
-    out = []
-    for target in V.modern_crosswalk(topic, year).values():
-        parts = target.split("_")
-        disabled = not target.endswith("NODIS") and not target.endswith("NODIS_LEP")
-        sex = next((p for p in parts if p in SEXES_SQL), "M")
-        race = "MR" if "TR" in parts else next((p for p in parts if p in RACES_SQL), None)
-        group = "IDEA" if disabled else "NODIS"
-        special = "LEP" in parts or "504" in parts
-        out.append((target, f"{sex}_{race}_{group}" if race else f"{sex}_{'LEP' if special else group}"))
-    return out
+    return [(c.target, c.cell) for c in recent(topic, year, as_published)]
 
 
 def _recent_sql(topic: str, year: int, as_published: bool = True) -> str:
-    cells = _recent_names(topic, year)
-    if not as_published:
-        # the extract's columns keep their cells, and the corrected names go to them
-        corrected = V.modern_crosswalk(topic, year, as_published=False)
-        cells = [(corrected[source], cell) for source, (_, cell) in zip(V.modern_crosswalk(topic, year), cells, strict=True)]
-    sums = ", ".join(f'{_sum0(_clean_sql(cell, "", ""))} AS "{target}"' for target, cell in cells)
+    sums = ", ".join(f'{_sum0(_clean_sql(cell, "", ""))} AS "{target}"' for target, cell in _recent_names(topic, year, as_published))
     flag = ', max(CASE o_orderstatus WHEN \'F\' THEN 1 WHEN \'O\' THEN 0 END) AS "CORPIND"' if topic == "CP" else ""
     return f"""WITH {_cells_sql()} SELECT leaid AS "LEAID", {sums}, {year} AS "YEAR", 7 AS "RACES_REPORTED"{flag} FROM cells GROUP BY leaid"""
 
 
-def _lea_2009_sql(scrubbed: bool) -> str:
-    inner = _standard_sql().replace('combokey AS "COMBOKEY"', 'CAST(o_orderkey AS VARCHAR) AS "LEAID"')
-    if scrubbed:
-        return inner
-    for c in E.older("CORP", False):
-        inner = inner.replace(_clean_sql(c.cell, "-", "-"), _number_sql(_text_sql(c.cell, "-"), "-"))
-    return inner
+def _lea_2009_sql(scrubbed: bool, measure: str = "CORP", disabled: bool = False) -> str:
+    return _standard_sql(measure, disabled, scrubbed, 'CAST(o_orderkey AS VARCHAR) AS "LEAID"')
 
 
 def _wide_panel_sql() -> str:
@@ -505,10 +509,53 @@ def _totals_sql(prefix: str, middle: tuple[str, ...], times: int) -> str:
     SELECT *, CASE WHEN coalesce({any_}) IS NOT NULL THEN {both} END AS "{prefix}_sumrace" FROM totals"""
 
 
-def _school_sql() -> str:
-    # the older layout's names, written out: races by sex, the totals, and what only one of its two tables has
-    older = {t: c for disabled in (False, True) for t, c in _choices(disabled)}
-    newer = dict(_recent_names("CP", 2013))
+def _all_waves_sql(topic: str) -> str:
+    prefix = "CORP" if topic == "CP" else "OSS"
+    races = ("AI", "AS", "HI", "BL", "WH", "HP", "MR")
+    measures = ["CORP"] if topic == "CP" else ["SINGOSS", "MULTOSS"]
+    historic = ("AI", "AS", "HI", "BL", "WH")
+    early = ", ".join(f'{f"nullif({B.group_sum('corp', r)}, 0)" if r in historic else "CAST(NULL AS BIGINT)"} AS "{prefix}_{r}"' for r in races)
+    parts = [f"""SELECT "YEAR", lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS "LEAID", {early} FROM fact WHERE "YEAR" <= 1995 GROUP BY o_custkey, "YEAR\""""]
+
+    def sums(value) -> str:
+        return ", ".join(_sum0(" + ".join(f"coalesce({value(s, r, g)}, 0)" for s in "MF" for g in ("NODIS", "IDEA"))) for r in races)
+
+    for survey, year in LAYOUTS[1:]:
+        filler = "‡" if year == 2011 else ""
+        times = len(measures)
+        each = sums(lambda s, r, g, filler=filler: f"{times} * {_clean_sql(f'{s}_{r}_{g}', filler, filler)}")
+        parts.append(f"SELECT {year}, leaid, {each} FROM cells WHERE survey_year = {survey} GROUP BY leaid")
+
+    # 2009: each table has a standard of its own, five categories unless a cell of seven was counted
+    tables = {}
+    for disabled, group in ((False, "NODIS"), (True, "IDEA")):
+        total = " + ".join(f"coalesce({_number_sql(_text_sql(c.cell, '-'), '-')}, 0)" for c in E.older("CORP", disabled))
+        tables[group] = f"(o_orderstatus = 'F' OR {total} <> 0)"
+
+    def cell(s: str, r: str, g: str) -> str:
+        value = _clean_sql(f"{s}_{r}_{g}", "-", "-") if topic == "CP" else _number_sql(_text_sql(f"{s}_{r}_{g}", "-"), "-")
+        shown = "o_orderstatus <> 'F'" if r in ("HP", "MR") else tables[g]
+        return f"(CASE WHEN {shown} THEN {len(measures)} * {value} END)"
+
+    if topic == "CP":
+        parts.append(f"SELECT 2009, leaid, {sums(cell)} FROM cells WHERE survey_year = 1996 GROUP BY leaid")
+    else:
+        some = []
+        for r in races:
+            own = [cell(s, r, g) for s in "MF" for g in ("NODIS", "IDEA")]
+            some.append(f"CASE WHEN coalesce({', '.join(own)}) IS NOT NULL THEN {' + '.join(f'coalesce({c}, 0)' for c in own)} END")
+        parts.append(f"SELECT 2009, CAST(o_orderkey AS VARCHAR), {', '.join(some)} FROM cells WHERE survey_year = 1996")
+    names = [f'"{prefix}_{r}"' for r in races]
+    union = " UNION ALL ".join(parts)
+    return f"""WITH {B.FACT}, {_cells_sql()}, totals AS ({union})
+    SELECT *, CASE WHEN coalesce({", ".join(names)}) IS NOT NULL THEN {" + ".join(f"coalesce({n}, 0)" for n in names)} END AS "{prefix}_sumrace" FROM totals"""
+
+
+def _school_sql(topic: str = "CP") -> str:
+    # the older layout's names, written out: races by sex, the totals, and what only one of its tables has
+    measures = ["CORP"] if topic == "CP" else SUSPENSIONS
+    older = {c.target: c.cell for m in measures for disabled in (False, True) for c in E.older(m, disabled)}
+    newer = dict(_recent_names(topic, 2013))
     names = list({**older, **newer})
 
     def part(cells: dict[str, str], filler: str) -> str:
@@ -516,8 +563,8 @@ def _school_sql() -> str:
 
     return f"""WITH {_cells_sql()}
     SELECT combokey AS "COMBOKEY", 2011 AS "YEAR", 7 AS "RACES_REPORTED", leaid AS "LEAID", CASE o_orderstatus WHEN 'P' THEN 1 ELSE 0 END AS "INCOMPLETE",
-      CAST(NULL AS INTEGER) AS "CORPIND", {part(older, "‡")} FROM cells WHERE survey_year <= 1999
-    UNION ALL SELECT combokey, 2013, 7, leaid, NULL, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END,
+      {'CAST(NULL AS INTEGER) AS "CORPIND",' if topic == "CP" else ""} {part(older, "‡")} FROM cells WHERE survey_year <= 1999
+    UNION ALL SELECT combokey, 2013, 7, leaid, NULL, {"CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END," if topic == "CP" else ""}
       {part(newer, "")} FROM cells WHERE survey_year >= 2000"""
 
 
@@ -528,10 +575,10 @@ def _literal(value) -> str:
 def _fact_sql() -> str:
     rows = []
     for target, cell in _choices(False):
-        p = X.parse_name(target)
+        measure, sex, race, status = E.attributes(target)
         rows.append(
-            f"""SELECT leaid AS "LEAID", 2011 AS "YEAR", 'CORP' AS measure, {_literal(p['gender'])} AS gender, {_literal(p['race'])} AS race,
-            {_literal(p['status'])} AS status, {_sum0(_clean_sql(cell, "‡", "‡"))} AS value FROM cells GROUP BY leaid"""
+            f"""SELECT leaid AS "LEAID", 2011 AS "YEAR", '{measure}' AS measure, {_literal(sex)} AS gender, {_literal(race)} AS race,
+            {_literal(status)} AS status, {_sum0(_clean_sql(cell, "‡", "‡"))} AS value FROM cells GROUP BY leaid"""
         )
     return f"WITH {_cells_sql()}\n" + "\nUNION ALL ".join(rows)
 
@@ -545,12 +592,12 @@ def _rename_sql() -> str:
 def _dictionary_sql() -> str:
     rows = []
     for c in E.older("CORP", True):
-        p = X.parse_name(c.target)
-        dis = int(p["status"] in ("DIS", "IDEA", "504", "DIS_LEP"))
-        lep = int("LEP" in p["status"])
+        measure, sex, race, status = E.attributes(c.target)
+        dis = int(status in ("DIS", "IDEA", "504", "DIS_LEP"))
+        lep = int("LEP" in status)
         rows.append(
-            f"""SELECT '{c.source}' AS name, '{c.target}' AS name_merge, {_literal(p['gender'])} AS gender, {_literal(p['race'])} AS race,
-            'CORP' AS measure, {_literal(p['status'])} AS status, {dis} AS "DIS", {lep} AS "LEP", 0 AS "PS", 0 AS instances, 0 AS suspension,
+            f"""SELECT '{c.source}' AS name, '{c.target}' AS name_merge, {_literal(sex)} AS gender, {_literal(race)} AS race,
+            '{measure}' AS measure, {_literal(status)} AS status, {dis} AS "DIS", {lep} AS "LEP", 0 AS "PS", 0 AS instances, 0 AS suspension,
             7 AS races_reported, count({_clean_sql(c.cell, "‡", "‡")}) AS schools FROM cells"""
         )
     return f"WITH {_cells_sql()}\n" + "\nUNION ALL ".join(rows)
@@ -605,6 +652,13 @@ QUERIES = {
     "oss_2020_corrected": (recent_wave_to_lea("OSS", 2020, as_published=False), _recent_sql("OSS", 2020, as_published=False)),
     "lea_2009_scrubbed": (lea_2009(True), _lea_2009_sql(True)),
     "lea_2009_unscrubbed": (lea_2009(False), _lea_2009_sql(False)),
+    **{
+        f"lea_2009_{m.lower()}_{'dis' if d else 'nodis'}": (lea_2009(m == "CORP", m, d), _lea_2009_sql(m == "CORP", m, d))
+        for m in ["CORP", *SUSPENSIONS] for d in (False, True) if (m, d) != ("CORP", False)
+    },
+    "cp_panel_all_waves": (panel_all_waves("CP"), _all_waves_sql("CP")),
+    "oss_panel_all_waves": (panel_all_waves("OSS"), _all_waves_sql("OSS")),
+    "oss_school_panel": (oss_school_panel, _school_sql("OSS")),
     "lea_panel_wide": (lea_panel_wide, _wide_panel_sql()),
     "race_totals": (race_totals, RACE_TOTALS_SQL),
     "destring_decimal_text": (destring_decimal_text, DECIMAL_SQL),
