@@ -10,8 +10,11 @@ from ..plans import series as S
 from . import base as B
 
 UNIVERSE = [1996, 1998, 2000]
+# The four comparisons that the charts show.
+CHARTED = ("bl_wh_rr", "hi_wh_rr", "ai_wh_rr", "as_wh_rr")
 LIMITS = (0.9, 1.1)
 YEARS = (1996, 2000)
+FIRST = 1995
 
 
 def _case(column: str, labels: dict[str, str], default: str) -> str:
@@ -124,6 +127,50 @@ def _suspensions(spark, sf):
     return S.suspension_input(raw).withColumn("YEAR", S.rewrite_year("YEAR", B.LAST_YEAR, B.LAST_YEAR - 1))
 
 
+def _published(spark, sf):
+    """Suspensions as most charts show them: without the last year, as it reads once it is moved."""
+    return S.without_year(_suspensions(spark, sf), B.LAST_YEAR - 1)
+
+
+def oss_published(series, cohort):
+    """Rate or risk series of suspensions without the last year."""
+
+    def run(spark, sf):
+        rows = S.in_cohort(_published(spark, sf), cohort, B.allowed_states(spark, sf), B.EXCLUDED_STATES)
+        if series is S.rate_series:
+            return series(rows, S.OSS, first_year=None, drop_null_state=True).drop("size")
+        return series(rows, S.OSS, first_year=None)
+
+    return run
+
+
+def rate_with_last_year(spark, sf):
+    """The rates of all states with the last year kept."""
+    return S.rate_series(B.state_long(spark, sf))
+
+
+def oss_since(series):
+    """Suspensions with the last year and from a first year on."""
+
+    def run(spark, sf):
+        if series is S.rate_series:
+            return series(_suspensions(spark, sf), S.OSS, first_year=FIRST, drop_null_state=True).drop("size")
+        rows = S.in_cohort(_suspensions(spark, sf), "sometime", B.allowed_states(spark, sf), B.EXCLUDED_STATES)
+        return series(rows, S.OSS, first_year=FIRST)
+
+    return run
+
+
+def chart(series, value, limits, types=CHARTED):
+    """The points of a series that fall within a chart's axes."""
+
+    def run(spark, sf):
+        points = S.chart_ready(series(spark, sf), value, limits, YEARS, types)
+        return points.select("legend_text", "YEAR", *(["type"] if types else []), value)
+
+    return run
+
+
 def oss_rate_series(spark, sf):
     return S.rate_series(_suspensions(spark, sf), S.OSS, first_year=None, drop_null_state=True).drop("size")
 
@@ -186,6 +233,24 @@ def _oss_rate_sql(where: str) -> str:
     return OSS_RATE_SQL.replace("WHERE STATE_CODE <> 'NATION_7'", f"WHERE STATE_CODE <> 'NATION_7' AND {where}")
 
 
+PUBLISHED = f'"YEAR" <> {B.LAST_YEAR - 1}'
+WITH_LAST_SQL = f"""{B.STATE} {_rate_sql('TRUE').replace(f'"YEAR" <> {B.LAST_YEAR} AND ', '')}"""
+
+
+def _oss_published_rate_sql(where: str) -> str:
+    return f"SELECT * FROM ({_oss_rate_sql(where)}) WHERE {PUBLISHED}"
+
+
+def _oss_published_risk_sql(where: str) -> str:
+    return _risk_sql(f"{PUBLISHED} AND {where}", state=OSS_STATE)
+
+
+def _chart_sql(sql: str, value: str, limits: tuple, typed: bool = True) -> str:
+    columns = f'legend_text, "YEAR", type, {value}' if typed else f'legend_text, "YEAR", {value}'
+    shown = f"type IN ({B.quoted(CHARTED)}) AND " if typed else ""
+    return _cut(sql, columns, f'{shown}"YEAR" BETWEEN 1996 AND 2000 AND {value} BETWEEN {limits[0]} AND {limits[1]}')
+
+
 IN_UNIVERSE = '"YEAR" IN (1996, 1998, 2000)'
 
 
@@ -282,12 +347,12 @@ QUERIES = {
         clip_series,
         _cut(
             _risk_sql(NOT_LAST), 'legend_text, "YEAR", type, value',
-            f'type IN ({B.quoted(M.CHART_TYPES)}) AND "YEAR" BETWEEN 1996 AND 2000 AND value BETWEEN 0.9 AND 1.1',
+            f'type IN ({B.quoted(CHARTED)}) AND "YEAR" BETWEEN 1996 AND 2000 AND value BETWEEN 0.9 AND 1.1',
         ),
     ),
     "series_groups": (
         series_groups,
-        _cut(_risk_sql(NOT_LAST), '"YEAR", type, value, legend_text', f"type IN ({B.quoted(M.CHART_TYPES)})"),
+        _cut(_risk_sql(NOT_LAST), '"YEAR", type, value, legend_text', f"type IN ({B.quoted(CHARTED)})"),
     ),
     "label_map": (label_map, LABEL_SQL),
     "series_flag": (
@@ -318,6 +383,26 @@ QUERIES = {
     "risk_universe_sometime": (universe_of(risk_series_cohort, "sometime"), _cut(_risk_sql(f"{NOT_LAST} AND {SOMETIME}"), "*", IN_UNIVERSE)),
     "rate_universe_always": (universe_of(rate_series, "always"), _cut(f"{B.STATE} {_rate_sql(ALWAYS)}", "*", IN_UNIVERSE)),
     "rate_universe_sometime": (universe_of(rate_series, "sometime"), _cut(f"{B.STATE} {_rate_sql(SOMETIME)}", "*", IN_UNIVERSE)),
+    "oss_rate_published_all": (oss_published(S.rate_series, "all"), _oss_published_rate_sql("TRUE")),
+    "oss_rate_published_always": (oss_published(S.rate_series, "always"), _oss_published_rate_sql(ALWAYS)),
+    "oss_rate_published_sometime": (oss_published(S.rate_series, "sometime"), _oss_published_rate_sql(SOMETIME)),
+    "oss_risk_published_all": (oss_published(S.risk_series, "all"), _oss_published_risk_sql("TRUE")),
+    "oss_risk_published_always": (oss_published(S.risk_series, "always"), _oss_published_risk_sql(ALWAYS)),
+    "oss_risk_published_sometime": (oss_published(S.risk_series, "sometime"), _oss_published_risk_sql(f"(STATE_CODE IS NULL OR {SOMETIME})")),
+    "oss_rate_universe_all": (universe_of(oss_published, S.rate_series, "all"), _cut(_oss_published_rate_sql("TRUE"), "*", IN_UNIVERSE)),
+    "oss_risk_universe_all": (universe_of(oss_published, S.risk_series, "all"), _cut(_oss_published_risk_sql("TRUE"), "*", IN_UNIVERSE)),
+    "rate_with_last_year": (rate_with_last_year, WITH_LAST_SQL),
+    "oss_rate_with_last_year": (oss_since(S.rate_series), _cut(OSS_RATE_SQL, "*", f'"YEAR" >= {FIRST}')),
+    "oss_risk_with_last_year": (oss_since(S.risk_series), _cut(_risk_sql(f"(STATE_CODE IS NULL OR {SOMETIME})", state=OSS_STATE), "*", f'"YEAR" >= {FIRST}')),
+    "chart_cp_rate": (chart(rate_series("all"), "cp_rate", (0.2, 0.26), None), _chart_sql(f"{B.STATE} {_rate_sql('TRUE')}", "cp_rate", (0.2, 0.26), False)),
+    "chart_oss_rate": (
+        chart(oss_published(S.rate_series, "all"), "oss_rate", (0.0, 0.25), None), _chart_sql(_oss_published_rate_sql("TRUE"), "oss_rate", (0.0, 0.25), False),
+    ),
+    "chart_oss_risk": (chart(oss_published(S.risk_series, "all"), "value", (-0.05, 1.0)), _chart_sql(_oss_published_risk_sql("TRUE"), "value", (-0.05, 1.0))),
+    "chart_oss_risk_with_last_year": (
+        chart(oss_since(S.risk_series), "value", (0.95, 4.25)),
+        _chart_sql(_risk_sql(f"(STATE_CODE IS NULL OR {SOMETIME})", state=OSS_STATE), "value", (0.95, 4.25)),
+    ),
     "risk_keep_last_year_all": (with_last_year("all"), _risk_sql("TRUE")),
     "risk_keep_last_year_always": (with_last_year("always"), _risk_sql(ALWAYS)),
 }
