@@ -340,6 +340,26 @@ def wave_dictionary(spark, sf):
     return dictionary.join(reported, "name_merge", "left")
 
 
+def dictionary_2009(spark, sf):
+    """What the columns of a 2009 table say, both standards, with the number of schools that fill each; the remark column stays unread."""
+    raw = raw_2009(school_cells(spark, sf), "CORP", True).withColumn("JJ", F.lit("x"))
+    dictionary = X.column_dictionary(raw)
+    cells = [c for c in raw.columns if c not in V.ID_COLUMNS]
+    filled = raw.agg(*[F.count_if(F.col(c) != "-").alias(c) for c in cells]).unpivot([], cells, "name", "schools")
+    return dictionary.join(filled, "name", "left")
+
+
+def availability_all_waves(spark, sf):
+    """Which column carries each variable of corporal punishment in each wave, read from the extracts' own names; 2009 has both standards."""
+    cells = school_cells(spark, sf)
+    extracts = {"wave_2009": raw_2009(cells, "CORP", True), "wave_2011": raw_2011(cells, True)}
+    extracts |= {f"wave_{y}": K.upper_names(raw_modern(cells, y)) for y in V.MODERN_YEARS}
+    told = {w: X.column_dictionary(df).dropna(subset=["name_merge"]) for w, df in extracts.items()}
+    table = X.availability(told, ("name_merge", "DSO", "instances", "races_reported"))
+    districts = cells.agg(F.count_if(F.col("M_IDEA").isNotNull()).alias("reporting"))
+    return table.crossJoin(F.broadcast(districts))
+
+
 def variable_availability(spark, sf):
     """Which variable each wave carries, counted over the schools of both."""
     wave = {
@@ -597,7 +617,7 @@ def _dictionary_sql() -> str:
         lep = int("LEP" in status)
         rows.append(
             f"""SELECT '{c.source}' AS name, '{c.target}' AS name_merge, {_literal(sex)} AS gender, {_literal(race)} AS race,
-            '{measure}' AS measure, {_literal(status)} AS status, {dis} AS "DIS", {lep} AS "LEP", 0 AS "PS", 0 AS instances, 0 AS suspension,
+            '{measure}' AS measure, {_literal(status)} AS status, {dis} AS "DIS", {lep} AS "LEP", 0 AS "PS", {int(status == "504")} AS "DSO", 0 AS instances, 0 AS suspension,
             7 AS races_reported, count({_clean_sql(c.cell, "‡", "‡")}) AS schools FROM cells"""
         )
     return f"WITH {_cells_sql()}\n" + "\nUNION ALL ".join(rows)
@@ -615,6 +635,39 @@ def _availability_sql() -> str:
     return f"WITH {_cells_sql()}\n" + "\nUNION ALL ".join(rows)
 
 
+def _dictionary_2009_sql() -> str:
+    rows = ["""SELECT 'JJ' AS name, NULL AS name_merge, NULL AS measure, NULL AS gender, NULL AS race, NULL AS status, CAST(NULL AS INTEGER) AS "DIS", CAST(NULL AS INTEGER) AS "LEP",
+        CAST(NULL AS INTEGER) AS "PS", CAST(NULL AS INTEGER) AS "DSO", CAST(NULL AS INTEGER) AS instances, CAST(NULL AS INTEGER) AS suspension, CAST(NULL AS INTEGER) AS races_reported,
+        count(*) AS schools FROM cells"""]
+    for c in E.older("CORP", True):
+        measure, sex, race, status = E.attributes(c.target)
+        for name, standard, test in ((c.five, 5, "o_orderstatus = 'F'"), (c.source, 7, "o_orderstatus <> 'F'")):
+            if name:
+                rows.append(
+                    f"""SELECT '{name}', '{c.target}', '{measure}', {_literal(sex)}, {_literal(race)}, {_literal(status)}, {int(status in ("IDEA", "504", "DIS_LEP"))},
+                    {int("LEP" in status)}, 0, {int(status == "504")}, 0, 0, {standard}, count(*) FILTER ({test} AND "{c.cell}" IS NOT NULL) FROM cells"""
+                )
+    return f"WITH {_cells_sql()}\n" + "\nUNION ALL ".join(rows)
+
+
+def _availability_all_sql() -> str:
+    found: dict[tuple[str, int], dict[str, str]] = {}
+    for c in E.older("CORP", True):
+        if c.five:
+            found.setdefault((c.target, 5), {})["wave_2009"] = c.five
+        found.setdefault((c.target, 7), {}).update(wave_2009=c.source, wave_2011=c.source)
+    for year in (2013, 2015, 2017, 2020):
+        for c in E.recent(year):
+            found.setdefault((c.target, 7), {})[f"wave_{year}"] = c.source
+    waves_of = [f"wave_{y}" for y in (2009, 2011, 2013, 2015, 2017, 2020)]
+    rows = [
+        f"""SELECT '{target}' AS name_merge, {int(target.endswith("_504"))} AS "DSO", {int(target.startswith("CORPINST"))} AS instances, {standard} AS races_reported,
+        {", ".join(f"{_literal(names.get(w))} AS {w}" for w in waves_of)}, count("M_IDEA") AS reporting FROM cells"""
+        for (target, standard), names in found.items()
+    ]
+    return f"WITH {_cells_sql()}\n" + "\nUNION ALL ".join(rows)
+
+
 QUERIES = {
     "wave_ingest_to_lea": (wave_ingest_to_lea, _lea_2011_sql(False)),
     "workbook_wave_to_lea": (workbook_wave_to_lea, _lea_2011_sql(False)),
@@ -642,6 +695,8 @@ QUERIES = {
     "long_fact_rollup": (long_fact_rollup, _fact_sql()),
     "crosswalk_rename": (crosswalk_rename, _rename_sql()),
     "wave_dictionary": (wave_dictionary, _dictionary_sql()),
+    "dictionary_2009": (dictionary_2009, _dictionary_2009_sql()),
+    "availability_all_waves": (availability_all_waves, _availability_all_sql()),
     "variable_availability": (variable_availability, _availability_sql()),
     "modern_2015_to_lea": (recent_wave_to_lea("CP", 2015), _recent_sql("CP", 2015)),
     "modern_2017_to_lea": (recent_wave_to_lea("CP", 2017), _recent_sql("CP", 2017)),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cleaning as C
+from ..functions import source_names as SN
 from ..functions import vocabulary as V
 from ..functions.nulls import quote, rowtotal
 from . import cells
@@ -137,12 +138,13 @@ def name_attributes(name) -> dict:
         "DIS": flag("DIS", "IDEA", "504", "DIS_LEP", "IDEA_PS"),
         "LEP": flag("LEP", "NODIS_LEP", "DIS_LEP", "LEP_PS"),
         "PS": flag("PS", "LEP_PS", "IDEA_PS"),
+        "DSO": flag("504"),
         "instances": F.coalesce(part(1).isin("CORPINST", "OSSINSTANCES"), F.lit(False)).cast("int"),
         "suspension": F.coalesce(part(1).isin("SINGOSS", "MULTOSS", "ISS", "OSS"), F.lit(False)).cast("int"),
     }
 
 
-ATTRIBUTES = ["measure", "gender", "race", "status", "DIS", "LEP", "PS", "instances", "suspension"]
+ATTRIBUTES = ["measure", "gender", "race", "status", "DIS", "LEP", "PS", "DSO", "instances", "suspension"]
 
 
 def wave_dictionary(spark: SparkSession, crosswalk: dict[str, str], races_reported: int | None = 7) -> DataFrame:
@@ -154,6 +156,20 @@ def wave_dictionary(spark: SparkSession, crosswalk: dict[str, str], races_report
     )
 
 
+def column_dictionary(df: DataFrame, ignore: Iterable[str] = V.ID_COLUMNS) -> DataFrame:
+    """One row per column of a source table but those to ignore: its name and what the name says, null where no era has such a name."""
+    known = {c.upper() for c in ignore}
+    rows = [(c, *(SN.read(c) or (None,) * len(SN.Meaning._fields))) for c in df.columns if c.upper() not in known]
+    kinds = {f: "string" if i < 5 else "int" for i, f in enumerate(SN.Meaning._fields)}
+    return df.sparkSession.createDataFrame(rows, "name string, " + ", ".join(f"{f} {kind}" for f, kind in kinds.items()))
+
+
+def unread(df: DataFrame, ignore: Iterable[str] = V.ID_COLUMNS) -> list[str]:
+    """Columns whose names no era has."""
+    known = {c.upper() for c in ignore}
+    return [c for c in df.columns if c.upper() not in known and SN.read(c) is None]
+
+
 def availability(dictionaries: dict[str, DataFrame], on: Sequence[str] = ("name_merge", *ATTRIBUTES)) -> DataFrame:
     """Which source column carries each variable in each wave: one row per variable, one column per wave.
 
