@@ -38,7 +38,7 @@ def emitter(window: int, buckets: int):
     def emit(docs: pa.Table) -> pa.Table:
         one, two = window_hashes(byte_column(docs["text"]), window)
         one, first = np.unique(one, return_index=True)
-        entries = exchange.by_bucket((two[first] % U64(buckets)).astype(np.int64), buckets)
+        entries = exchange.by_bucket((two[first] % U64(buckets)).astype(np.int64))
         chunk = docs["chunk"][0].as_py()
         return pa.table(
             {
@@ -112,12 +112,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A word goes if it lies in a window of `window` words whose words also start anywhere else in the table, in the same text
     included; windows are judged on the table as given, so every copy of a passage goes. Null and empty texts, and texts
-    shorter than a window, have no window and keep what they have. Repeated rows count as often as they occur. Other columns are
+    shorter than a window, have no window and keep what they have. Repeated rows count as often as they occur and are dealt by their place
+    in their file, so that any number of them spreads. Texts of any length are taken whole. Other columns are
     ignored, whatever their names. An empty table gives an empty result.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    keyed, key = exchange.numbered(docs)
+    base = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(key).alias("row_key"))
     chunks, buckets = exchange.sizes(store.text_bytes(base, "text"))
-    dealt = base.withColumn("chunk", exchange.chunk_of(chunks, "doc_id", "text"))
+    dealt = base.withColumn("chunk", exchange.chunk_of(chunks, "row_key")).drop("row_key")
     answers = (
         dealt.groupBy("chunk").applyInArrow(emitter(window, buckets), "bucket int, chunk int, hashes binary")
         .groupBy("bucket").applyInArrow(repeated, "chunk int, hashes binary")

@@ -2,36 +2,38 @@
 
 A text is its words, A-Z lower-cased, each spelled in bytes and followed by a space, then an end mark. The tree predicts the
 next symbol from the longest retained context before it. A context of up to `DEPTH` symbols is retained if it occurs at least
-`LEAST_COUNT` times in training texts and its next-symbol distribution diverges from that of the context one symbol shorter: count
-times Kullback-Leibler divergence (nats), half a chi-square under no divergence, beyond its quantile `BEYOND`. The suffixes of a
-retained context are retained too. Distributions are smoothed towards the shorter context's, the empty context's towards the even one.
-
-All training texts are counted, and more evidence admits more contexts: counts, retained contexts and smoothed probabilities are
-Spark tables by length. A symbol after its context is asked for by an exchange between chunks and buckets, as a word's count over
-the whole table for the unigram base score is. No model comes to the driver or goes to the tasks as a whole.
+`LEAST_COUNT` times in training texts and its next-symbol distribution diverges from that of the context one symbol shorter: count times
+Kullback-Leibler divergence (nats), half a chi-square under no divergence, beyond its quantile `BEYOND`. The suffixes of a retained
+context that are longer than `SHORT` are retained too. Distributions are smoothed towards that of the next shorter retained context, the
+empty context's towards the even one.
+
+All training texts are counted, and more evidence admits more contexts. A chunk of rows sends each distinct context and symbol once,
+with its count, to the bucket of the last `SHORT` + 1 symbols of the context. All longer contexts that end in these and all that follows
+them meet there, so the bucket counts, tests and smooths its part of the tree and answers each chunk with probabilities. Counts after
+`SHORT` symbols, no more than 256 ** 3 numbers at any size of table and some hundred thousand on text, are added up before and go to
+all buckets. A word's count over the whole table, for the unigram base score, takes the same way. No model is ever in one place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapanel.llm import exchange, store
 from stratapanel.llm.words import FOLD, U64, Words, byte_column, mix, slices
 
-DEPTH = 6
+DEPTH, SHORT = 6, 2
 LEAST_COUNT = 8
 BEYOND = 3.09  # of the normal distribution: one in a thousand
 WEIGHT = 10.0
-END = 10
 END_WORD = U64(0xE0D)
-SEGMENTS = 8192
-SPREAD = 1_000_003
+FOLD_ROWS = 4_000_000
+Counts = tuple[np.ndarray, np.ndarray]
 
 
 def spelled(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,218 +53,145 @@ def inside(length: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def positions(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every symbol with the `depth` before it, packed into one number, text by text; and the symbols of each text."""
+    """Every symbol with the `depth` before it (7 at most), packed into one number, text by text; and the symbols of each text."""
     symbols, begin, end = spelled(texts, depth)
-    code = np.zeros(len(symbols) - depth, np.int64)
-    for k in range(depth + 1):
-        code = (code << 8) | symbols[k : len(symbols) - depth + k]
+    n = len(symbols) - depth
+    data = symbols.tobytes() + bytes(15)
+    code = np.empty(n + 7, np.int64)
+    for k in range(8):  # each eighth window of 8 bytes
+        own = code[k::8]
+        own[:] = np.frombuffer(data, ">i8", len(own), k)
+    code = (code[:n].view(U64) >> U64(8 * (7 - depth))).view(np.int64)
     return code[inside(len(symbols), begin, end)[depth:]], end - begin
 
 
-def gram_codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes of `positions` and how often each occurs."""
-    return np.unique(positions(texts, depth)[0], return_counts=True)
+def folded(held: list[Counts]) -> Counts:
+    """Counts of the same codes added up, codes in order."""
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, place = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+    return codes, np.bincount(place, weights=np.concatenate([n for _, n in held]), minlength=len(codes)).astype(np.int64)
 
 
-def count_grams(docs: DataFrame, text: str, depth: int, held_out: Column | None = None) -> DataFrame:
-    """code, n: counts over all rows, those `held_out` adding 0; folded in each task before the shuffle."""
+def gram_counts(texts: list[bytes], train: np.ndarray, depth: int) -> Counts:
+    """The distinct codes of some texts, and how often each occurs in the training ones."""
+    held = []
+    for low, high in slices(texts):
+        for weight in (1, 0):
+            part = [t for t, learnt in zip(texts[low:high], train[low:high].tolist(), strict=True) if learnt == bool(weight)]
+            if part:
+                codes, n = np.unique(positions(part, depth)[0], return_counts=True)
+                held.append((codes, n * weight))
+    return folded(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            codes, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(back, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+def numbered(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes of some texts, which of them each position has, and the positions of each text."""
+    codes, size = positions(texts, depth)
+    place, distinct = pd.factorize(codes)
+    return distinct, place.astype(np.int32), size
 
-        def out(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
 
+def short_counts(docs: DataFrame) -> Counts:
+    """How often each symbol follows each `SHORT` symbols in training texts (columns text, held_out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Counts] = []
         for batch in batches:
-            texts, aside = byte_column(batch.column(0)), batch.column(1).to_pylist()
+            texts = byte_column(batch.column(0))
             for low, high in slices(texts):
-                for weight in (1, 0):
-                    part = [t for t, apart in zip(texts[low:high], aside[low:high], strict=True) if weight == (not apart)]
-                    if part:
-                        codes, n = gram_codes(part, depth)
-                        held.append((codes, n * weight))
-                if len(held) > 8:
-                    held = [fold()]
-                    if len(held[0][0]) > 4_000_000:
-                        yield out(*held.pop())
-        if held:
-            yield out(*fold())
-
-    columns = F.col(text).alias("text"), (F.lit(False) if held_out is None else held_out).alias("aside")
-    return docs.select(*columns).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def tail(code: str, symbols: int) -> Column:
-    """The last so many symbols of a code."""
-    return F.col(code).bitwiseAND((1 << 8 * symbols) - 1)
-
+                held.append(np.unique(positions(texts[low:high], SHORT)[0], return_counts=True))
+                held = held if len(held) < 16 else [folded(held)]
+        codes, n = folded(held)
+        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
-def context(code: str = "code") -> Column:
-    return F.shiftrightunsigned(code, 8)
+    found = docs.filter("not held_out").select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    return found["code"].to_numpy(), found["n"].to_numpy()
 
 
-def quantile(freedom: Column) -> Column:
+def quantile(freedom: np.ndarray) -> np.ndarray:
     """Of chi-square, `BEYOND` deviations out (Wilson and Hilferty)."""
-    part = F.lit(2 / 9) / freedom
-    return freedom * F.pow(1 - part + BEYOND * F.sqrt(part), F.lit(3.0))
-
-
-def probabilities(grams: DataFrame, depth: int, least_count: float, least_share: float = 0.0, least_gain: float = 0.0) -> DataFrame:
-    """code, log10: of each code in `grams` (code, n), the log10 probability of its last symbol after those before it.
-
-    A code of n = 0 is only asked about. `least_share` and `least_gain` (shares of all positions) ask for more than the count and
-    the significance do, for a smaller tree.
-    """
-    counted = {depth: grams}
-    for k in range(depth, 0, -1):
-        counted[k - 1] = store.written(counted[k].groupBy(tail("code", k).alias("code")).agg(F.sum("n").alias("n")), f"grams{k - 1}")
-    total = counted[0].agg(F.sum("n")).first()[0] or 0
-    kinds = F.count(F.when(F.col("n") > 0, 1))
-    alone = F.lit(True)  # the empty context is always retained; one symbol has no more than 256 rows
-    levels = {0: counted[0].select("code", "n", F.lit(total).alias("total"), alone.alias("diverges"), F.lit(counted[0].agg(kinds).first()[0]).alias("kinds"))}
-    own = Window.partitionBy(context())
-    for k in range(1, depth + 1):
-        wider = levels[k - 1].select(F.col("code").alias("tail"), F.col("n").alias("wider_n"), F.col("total").alias("wider_total"), F.col("kinds").alias("wider_kinds"))
-        rows = counted[k].withColumn("tail", tail("code", k)).join(wider, "tail")
-        rows = rows.withColumn("total", F.sum("n").over(own)).withColumn("kinds", kinds.over(own))
-        gain = F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("n") / F.col("total") / (F.col("wider_n") / F.col("wider_total"))))
-        gain = F.coalesce(F.sum(gain).over(own), F.lit(0.0))
-        # where one symbol alone follows the shorter context, the longer one cannot diverge
-        freedom = F.max("wider_kinds").over(own) - 1
-        significant = (freedom > 0) & (2 * gain >= quantile(F.greatest(freedom, F.lit(1))))
-        diverges = (F.col("total") >= max(least_count, least_share * total)) & significant & (gain >= least_gain * total)
-        levels[k] = store.written(rows.select("code", "n", "total", diverges.alias("diverges"), "kinds"), f"contexts{k}")
-    found = None
-    for k in range(1, depth + 1):
-        suffixes = F.explode(F.array(*[F.struct(F.lit(j).alias("k"), context().bitwiseAND((1 << 8 * j) - 1).alias("context")) for j in range(1, k + 1)]))
-        each = levels[k].filter("diverges").select(suffixes.alias("x")).select("x.k", "x.context")
-        found = each if found is None else found.union(each)
-    retained = store.written(found.distinct(), "retained") if found is not None else None
-    p = levels[0].select("code", ((F.col("n") + WEIGHT / 256) / (total + WEIGHT)).alias("p"))
-    for k in range(1, depth + 1):
-        here = retained.filter(F.col("k") == k).select("context", F.lit(True).alias("kept"))
-        rows = levels[k].select("code", "n", "total", tail("code", k).alias("tail"), context().alias("context"))
-        rows = rows.join(p.select(F.col("code").alias("tail"), F.col("p").alias("wider")), "tail").join(here, "context", "left")
-        smooth = (F.col("n") + WEIGHT * F.col("wider")) / (F.col("total") + WEIGHT)
-        p = rows.select("code", F.when(F.col("kept"), smooth).otherwise(F.col("wider")).alias("p"))
-    return store.written(p.select("code", F.log10("p").cast("float").alias("log10")), "model")
-
-
-@dataclass
-class Tree:
-    """An automaton over contexts: `step` leads from state and symbol to state, `log10` has the symbol's probability there."""
-
-    symbol: np.ndarray  # class of each byte
-    step: np.ndarray
-    log10: np.ndarray
-    contexts: int
-    depth: int
-
-    def positions(self, symbols: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol; the first `depth` are context only."""
-        depth = self.depth
-        n, kinds = len(symbols) - depth, self.step.shape[1]
-        rows = min(SEGMENTS, max(1, n // 64))
-        length = -(-n // rows)
-        classes = np.zeros(rows * length + depth, np.int64)
-        classes[: len(symbols)] = self.symbol[symbols]
-        view = np.lib.stride_tricks.as_strided(classes, (length + depth, rows), (8, 8 * length))
-        step, log10 = self.step.ravel(), self.log10.ravel()
-        state = np.zeros(rows, np.int64)
-        found = np.zeros((length, rows), np.float32)
-        for t in range(length + depth):
-            at = state * kinds + view[t]
-            if t >= depth:
-                found[t - depth] = log10[at]
-            state = step[at]
-        return found.T.ravel()[:n].astype(float)
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
-        symbols, begin, end = spelled(texts, self.depth)
-        sums = np.concatenate(([0.0], np.cumsum(self.positions(symbols))))
-        return sums[end - self.depth] - sums[begin - self.depth]
-
-
-def learn(grams: DataFrame, depth: int, least_share: float, least_gain: float) -> Tree:
-    """The tree of all counted positions, held in memory: for small tables, and to hold `probabilities` against.
-
-    Retained are contexts of `least_share` of the positions whose share times divergence is at least `least_gain`.
+    part = 2 / 9 / freedom
+    return freedom * (1 - part + BEYOND * np.sqrt(part)) ** 3
+
+
+def divergent(n: np.ndarray, total: np.ndarray, first: np.ndarray, wider: tuple[np.ndarray, np.ndarray, np.ndarray], least_count: int) -> np.ndarray:
+    """Which contexts are retained by their own test. Rows: a symbol's count after its context, the context's total, and the same after the
+    context one symbol shorter with the number of symbols that follow that; `first` has each context's first row."""
+    wider_n, wider_total, wider_kinds = wider
+    seen, gain = n > 0, np.zeros(len(n))
+    gain[seen] = n[seen] * np.log(n[seen] / total[seen] / (wider_n[seen] / wider_total[seen]))
+    freedom = wider_kinds[first] - 1
+    # where one symbol alone follows the shorter context, the longer one cannot diverge
+    significant = (freedom > 0) & (2 * np.add.reduceat(gain, first) >= quantile(np.maximum(freedom, 1)))
+    return (total[first] >= least_count) & significant
+
+
+class ShortTree:
+    """The tree's contexts of up to `SHORT` symbols."""
+
+    def __init__(self, counts: Counts, least_count: int):
+        held = [counts]
+        for k in range(SHORT, 0, -1):
+            held.insert(0, folded([(held[0][0] & ((1 << 8 * k) - 1), held[0][1])]))
+        self.levels: list[dict[str, np.ndarray]] = []
+        for k, (codes, n) in enumerate(held):
+            context, first, place = np.unique(codes >> 8, return_index=True, return_inverse=True)
+            totals = np.add.reduceat(n, first) if len(n) else n
+            kept = np.ones(len(context), bool)  # the empty context is always retained
+            if k and len(codes):
+                kept = divergent(n, totals[place], first, self.at(k - 1, codes & ((1 << 8 * k) - 1))[:3], least_count)
+            self.levels.append({"codes": codes, "n": n, "context": context, "total": totals, "kinds": np.diff(np.append(first, len(codes))), "kept": kept})
+
+    def at(self, k: int, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of codes with k symbols of context: their count, that of their context, how many symbols follow that, and whether it is retained."""
+        level = self.levels[k]
+        if not len(level["codes"]):
+            none = np.zeros(len(codes), np.int64)
+            return none, none, none, none > 0
+        own = np.minimum(np.searchsorted(level["codes"], codes), len(level["codes"]) - 1)
+        its = np.minimum(np.searchsorted(level["context"], codes >> 8), len(level["context"]) - 1)
+        there = level["context"][its] == codes >> 8
+        n = np.where(level["codes"][own] == codes, level["n"][own], 0)
+        return n, *(np.where(there, level[name][its], 0) for name in ("total", "kinds")), there & level["kept"][its]
+
+    def probability(self, codes: np.ndarray) -> np.ndarray:
+        """Of the last symbol of codes with `SHORT` symbols of context."""
+        p = np.full(len(codes), 1 / 256)
+        for k in range(SHORT + 1):
+            n, total, _, kept = self.at(k, codes & ((1 << 8 * (k + 1)) - 1))
+            p = np.where(kept, (n + WEIGHT * p) / (total + WEIGHT), p)
+        return p
+
+
+def smoothed(codes: np.ndarray, n: np.ndarray, tree: ShortTree, depth: int, least_count: int) -> np.ndarray:
+    """log10 probability of the last symbol of each code, for codes that hold all that follows any context of theirs beyond `SHORT`.
+
+    Codes are distinct, with `depth` symbols of context; a code of n = 0 is only asked about.
     """
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    tables = []
-    if total:
-        each = grams.select(
-            F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k"), F.shiftright("code", 8).alias("before"), F.col("code").bitwiseAND(255).alias("next"), "n"
-        )
-        low = (F.expr("shiftleft(1L, 8 * k)") - 1).alias("mask")
-        each = each.select("k", F.col("before").bitwiseAND(low).alias("context"), "next", "n").groupBy("k", "context", "next").agg(F.sum("n").alias("n"))
-        often = each.groupBy("k", "context").agg(F.sum("n").alias("total")).filter(F.col("total") >= least_share * total)
-        tables = each.join(often, ["k", "context"]).select("k", "context", "next", "n").toArrow()
-        tables = list(zip(*(tables[c].to_numpy() for c in ("k", "context", "next", "n")), strict=True))
-    # a class for each byte that was seen, class 0 for all others
-    used = sorted({int(following) for k, _, following, _ in tables if k == 0})
-    symbol = np.zeros(256, np.int64)
-    symbol[used] = np.arange(1, len(used) + 1)
-    kinds = len(used) + 1
-    counts: dict[bytes, np.ndarray] = {b"": np.zeros(kinds)}
-    for k, context, following, n in tables:
-        key = int(context).to_bytes(int(k), "big")
-        if key not in counts:
-            counts[key] = np.zeros(kinds)
-        counts[key][symbol[following]] += n
-    share = {c: v.sum() / max(total, 1) for c, v in counts.items()}
-
-    def diverges(context: bytes) -> bool:
-        own, shorter = counts[context], counts[context[1:]]
-        p, q = own / own.sum(), shorter / shorter.sum()
-        there = p > 0
-        return share[context] * float((p[there] * np.log(p[there] / q[there])).sum()) >= least_gain
-
-    kept = {b""}
-    for context in sorted(counts, key=len):
-        if context and diverges(context):
-            kept.update(context[k:] for k in range(len(context)))
-
-    even = np.full(kinds, 1 / 256)
-    smooth: dict[bytes, np.ndarray] = {}
-    for context in sorted(kept, key=len):
-        own = counts[context]
-        wider = smooth[context[1:]] if context else even
-        smooth[context] = (own + WEIGHT * wider) / (own.sum() + WEIGHT)
-
-    # states are the beginnings of the contexts; a state leads to the longest of them that ends the text read
-    states = sorted({c[:k] for c in kept for k in range(len(c) + 1)}, key=lambda c: (len(c), c))
-    number = {c: i for i, c in enumerate(states)}
-    step = np.zeros((len(states), kinds), np.int32)
-    log10 = np.zeros((len(states), kinds), np.float32)
-    fail = {b"": b""}
-    for context in states:
-        i = number[context]
-        if context:
-            shorter = context[1:]
-            while shorter not in number:
-                shorter = shorter[1:]
-            fail[context] = shorter
-            step[i] = step[number[shorter]]
-        longest = context
-        while longest not in kept:
-            longest = longest[1:]
-        log10[i] = np.log10(smooth[longest])
-    children: dict[bytes, list[int]] = {}
-    for context in states[1:]:
-        children.setdefault(context[:-1], []).append(context[-1])
-    for context in states:  # shorter ones first, so the rows copied from are complete
-        i = number[context]
-        if context:
-            step[i] = step[number[fail[context]]]
-        for letter in children.get(context, ()):
-            step[i, symbol[letter]] = number[context + bytes([letter])]
-    return Tree(symbol, step, log10, len(kept), depth)
+    level = {depth: (codes, n)}
+    for k in range(depth - 1, SHORT, -1):
+        level[k] = folded([(level[k + 1][0] & ((1 << 8 * (k + 1)) - 1), level[k + 1][1])])
+    context, kept, place, total = {}, {}, {}, {}
+    wider = tree.at(SHORT, level[SHORT + 1][0] & ((1 << 8 * (SHORT + 1)) - 1))[:3]
+    for k in range(SHORT + 1, depth + 1):
+        own, count = level[k]
+        context[k], first, place[k] = np.unique(own >> 8, return_index=True, return_inverse=True)
+        total[k] = np.add.reduceat(count, first)[place[k]]
+        kept[k] = divergent(count, total[k], first, wider, least_count)
+        if k < depth:
+            kinds = np.add.reduceat((count > 0).astype(np.int64), first)[place[k]]
+            back = np.searchsorted(own, level[k + 1][0] & ((1 << 8 * (k + 1)) - 1))
+            wider = count[back], total[k][back], kinds[back]
+    for k in range(depth - 1, SHORT, -1):
+        kept[k][np.searchsorted(context[k], context[k + 1][kept[k + 1]] & ((1 << 8 * k) - 1))] = True
+    p = tree.probability(level[SHORT + 1][0] & ((1 << 8 * (SHORT + 1)) - 1))
+    for k in range(SHORT + 1, depth + 1):
+        own, count = level[k]
+        p = np.where(kept[k][place[k]], (count + WEIGHT * p) / (total[k] + WEIGHT), p)
+        if k < depth:
+            p = p[np.searchsorted(own, level[k + 1][0] & ((1 << 8 * (k + 1)) - 1))]
+    return np.log10(p)
 
 
 def word_counts(words: Words, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,63 +202,67 @@ def word_counts(words: Words, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return distinct, place, np.bincount(place, weights=weight, minlength=len(distinct)).astype(np.int64)
 
 
-def gram_buckets(codes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    return exchange.by_bucket(codes % SPREAD % buckets, buckets)
+def word_buckets(distinct: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    return dict(exchange.by_bucket((mix(distinct, 5) % U64(buckets)).astype(np.int64)))
 
 
-def distinct_codes(texts: list[bytes], depth: int) -> np.ndarray:
-    held = [np.unique(positions(texts[low:high], depth)[0]) for low, high in slices(texts)]
-    return np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+def gram_buckets(codes: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """By the last `SHORT` + 1 symbols of the context."""
+    ends = ((codes >> 8) & ((1 << 8 * (SHORT + 1)) - 1)).astype(U64)
+    return dict(exchange.by_bucket((mix(ends, 9) % U64(buckets)).astype(np.int64)))
 
 
 def asker(buckets: int, depth: int):
     def ask(docs: pa.Table) -> pa.Table:
-        texts = byte_column(docs["text"])
-        words = Words(texts, fold=FOLD)
-        distinct, _, counts = word_counts(words, ~docs["held_out"].to_numpy())
-        entries = dict(exchange.by_bucket((mix(distinct, 5) % U64(buckets)).astype(np.int64), buckets))
-        codes = distinct_codes(texts, depth)
-        grams = dict(gram_buckets(codes, buckets))
-        used = sorted({*entries, *grams})
+        texts, train = byte_column(docs["text"]), ~docs["held_out"].to_numpy()
+        distinct, _, counts = word_counts(Words(texts, fold=FOLD), train)
+        of_words = word_buckets(distinct, buckets)
+        codes, n = gram_counts(texts, train, depth)
+        of_grams = gram_buckets(codes, buckets)
+        used = sorted({*of_words, *of_grams})
         none = np.zeros(0, np.int64)
         chunk = docs["chunk"][0].as_py()
         return pa.table(
             {
                 "bucket": pa.array(used, pa.int32()),
                 "chunk": pa.array([chunk] * len(used), pa.int32()),
-                "hashes": pa.array([exchange.to_planes(distinct[entries.get(b, none)]) for b in used], pa.binary()),
-                "counts": pa.array([counts[entries.get(b, none)].astype("<u4").tobytes() for b in used], pa.binary()),
-                "grams": pa.array([exchange.to_planes(codes[grams.get(b, none)]) for b in used], pa.binary()),
+                "hashes": pa.array([exchange.to_planes(distinct[of_words.get(b, none)]) for b in used], pa.binary()),
+                "counts": pa.array([counts[of_words.get(b, none)].astype("<u4").tobytes() for b in used], pa.binary()),
+                "grams": pa.array([exchange.to_planes(codes[of_grams.get(b, none)]) for b in used], pa.binary()),
+                "gram_counts": pa.array([n[of_grams.get(b, none)].astype("<u4").tobytes() for b in used], pa.binary()),
             }
         )
 
     return ask
 
 
-def totals(entries: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    held = [exchange.from_planes(x) for x in entries["hashes"].to_pylist()]
-    distinct, place = np.unique(np.concatenate(held), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in entries["counts"].to_pylist()])
-    return np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64), place, [len(x) for x in held]
+def totals(entries: pa.Table, keys: str, counts: str) -> Counts:
+    """Of one bucket: keys in order and their counts over all chunks, folded on the way."""
+    held, waiting = [], 0
+    for x, n in zip(entries[keys], entries[counts], strict=True):
+        held.append((exchange.from_planes(x.as_py()).astype(np.int64), np.frombuffer(n.as_py(), "<u4").astype(np.int64)))
+        waiting += len(held[-1][0])
+        if waiting > FOLD_ROWS:
+            held, waiting = [folded(held)], 0
+    return folded(held)
+
 
+def answerer(tree: ShortTree, depth: int, least_count: int):
+    def answer(entries: pa.Table) -> pa.Table:
+        """To each chunk, of what it asked about in its order: the counts of hashes over all training texts, and log10 probabilities."""
+        words, counts = totals(entries, "hashes", "counts")
+        codes, n = totals(entries, "grams", "gram_counts")
+        log10 = smoothed(codes, n, tree, depth, least_count).astype("<f4") if len(codes) else np.zeros(0, "<f4")
+        found = [counts[np.searchsorted(words, exchange.from_planes(x.as_py()).astype(np.int64))].astype("<i8").tobytes() for x in entries["hashes"]]
+        logs = [log10[np.searchsorted(codes, exchange.from_planes(x.as_py()).astype(np.int64))].tobytes() for x in entries["grams"]]
+        return pa.table({"chunk": entries["chunk"], "bucket": entries["bucket"], "counts": pa.array(found, pa.binary()), "log10": pa.array(logs, pa.binary())})
 
-def answer(entries: pa.Table, model: pa.Table) -> pa.Table:
-    """To each chunk, of what it asked about in its order: the counts of hashes over all training texts, and log10 probabilities."""
-    if not entries.num_rows:
-        return pa.table({"chunk": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "counts": pa.array([], pa.binary()), "log10": pa.array([], pa.binary())})
-    counts, place, sizes = totals(entries)
-    cuts = np.cumsum([0, *sizes])
-    found = [counts[place[a:b]].astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    codes, log10 = model["code"].to_numpy(), model["log10"].to_numpy()
-    order = np.argsort(codes)
-    codes, log10 = codes[order], log10[order]
-    logs = [log10[np.searchsorted(codes, exchange.from_planes(x).astype(np.int64))].astype("<f4").tobytes() for x in entries["grams"].to_pylist()]
-    return pa.table({"chunk": entries["chunk"], "bucket": entries["bucket"], "counts": pa.array(found, pa.binary()), "log10": pa.array(logs, pa.binary())})
+    return answer
 
 
 def summary(entries: pa.Table) -> pa.Table:
     """Of one bucket: training tokens, and distinct ones."""
-    counts, _, _ = totals(entries)
+    _, counts = totals(entries, "hashes", "counts")
     return pa.table({"tokens": pa.array([int(counts.sum())], pa.int64()), "distinct": pa.array([int((counts > 0).sum())], pa.int64())})
 
 
@@ -340,10 +273,11 @@ def scorer(buckets: int, depth: int):
         n = len(texts)
         distinct, place, _ = word_counts(words, np.zeros(n, bool))
         counts = np.zeros(len(distinct), np.int64)
-        own = dict(exchange.by_bucket((mix(distinct, 5) % U64(buckets)).astype(np.int64), buckets))
-        codes = distinct_codes(texts, depth)
+        own = word_buckets(distinct, buckets)
+        parts = [numbered(texts[low:high], depth) for low, high in slices(texts)]
+        codes = np.unique(np.concatenate([part[0] for part in parts]))
         log10 = np.zeros(len(codes), np.float32)
-        grams = dict(gram_buckets(codes, buckets))
+        grams = gram_buckets(codes, buckets)
         none = np.zeros(0, np.int64)
         for bucket, of_words, of_grams in zip(*(answers[c].to_pylist() for c in ("bucket", "counts", "log10")), strict=True):
             counts[own.get(bucket, none)] = np.frombuffer(of_words, "<i8")
@@ -351,10 +285,8 @@ def scorer(buckets: int, depth: int):
         owner = np.concatenate((words.owner(), np.arange(n)))
         logs = np.log10(counts + 0.5)
         scores = []
-        for low, high in slices(texts):
-            each, size = positions(texts[low:high], depth)
-            there, back = np.unique(each, return_inverse=True)
-            sums = np.cumsum(np.concatenate(([0.0], log10[np.searchsorted(codes, there)].astype(float)[back])))
+        for there, which, size in parts:
+            sums = np.cumsum(np.concatenate(([0.0], log10[np.searchsorted(codes, there)].astype(float)[which])))
             ends = np.cumsum(size)
             scores.append(sums[ends] - sums[ends - size])
         return pa.table(
@@ -370,26 +302,26 @@ def scorer(buckets: int, depth: int):
     return score
 
 
-def score(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None, depth: int = DEPTH,
-    least_share: float = 0.0, least_gain: float = 0.0, least_count: int = LEAST_COUNT,
-) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None, depth: int = DEPTH, least_count: int = LEAST_COUNT) -> DataFrame:
     """One row for each row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     `held_out` marks the rows not to learn from (default: crc32 of the doc_id as text, modulo 5, is 1; a null doc_id counts as an
-    empty text). Null and empty texts are the end mark alone. Repeated rows are counted and scored each. Without any training
-    text every symbol is equally likely. Other columns are ignored; an empty table gives an empty result.
+    empty text). `depth` is at least `SHORT` + 1 and at most 6. Null and empty texts are the end mark alone; texts of any length are taken
+    whole. Repeated rows are counted and scored each, and are dealt by their place in their file. Without any training text every symbol is
+    equally likely. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    if not SHORT < depth <= 6:
+        raise ValueError(f"depth must be from {SHORT + 1} to 6, not {depth}")
     if held_out is None:
         held_out = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)) == 1
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
-    grams = store.written(count_grams(base, "text", depth, F.col("held_out")), "grams")
-    model = probabilities(grams, depth, least_count, least_share, least_gain)
-    chunks, buckets = exchange.sizes(store.text_bytes(base, "text"))
-    dealt = base.withColumn("chunk", exchange.chunk_of(chunks, "doc_id", "text"))
-    entries = dealt.groupBy("chunk").applyInArrow(asker(buckets, depth), "bucket int, chunk int, hashes binary, counts binary, grams binary")
-    sought = model.withColumn("bucket", F.pmod(F.pmod("code", F.lit(SPREAD)), F.lit(buckets)).cast("int"))
-    answers = entries.groupBy("bucket").cogroup(sought.groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, counts binary, log10 binary")
+    keyed, key = exchange.numbered(docs)
+    base = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"), F.col(key).alias("row_key"))
+    tree = ShortTree(short_counts(base), least_count)
+    size = store.text_bytes(base, "text")
+    chunks, buckets = exchange.sizes(size)
+    dealt = base.withColumn("chunk", exchange.chunk_of(chunks, "row_key")).drop("row_key")
+    entries = dealt.groupBy("chunk").applyInArrow(asker(buckets, depth), "bucket int, chunk int, hashes binary, counts binary, grams binary, gram_counts binary")
+    answers = entries.groupBy("bucket").applyInArrow(answerer(tree, depth, least_count), "chunk int, bucket int, counts binary, log10 binary")
     whole = entries.groupBy("bucket").applyInArrow(summary, "tokens long, distinct long").agg(
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")
     )
