@@ -1,9 +1,10 @@
 """Licence texts in documents by canonical digests (operator 7), with DataFrame and SQL functions only.
 
 A text is made canonical: A-Z lower-cased, copyright lines left out, everything but letters and digits turned into single
-spaces, and equivalent spellings made one. Copyright lines are statements and rights notices, not body lines that go on about copyright. The SHA-256 of the whole document, and that of each of its lines, is joined with the
-digests of known licence texts and notices, which are made canonical by the same expression. Only entire texts match: a licence
-with a changed word has another digest.
+spaces, and equivalent spellings made one. Copyright lines are statements and rights notices, not body lines that go on about copyright. The
+SHA-256 of the whole document, and that of each of its lines, is joined with the digests of known licence texts and notices, which are made
+canonical by the same expression. Only entire texts match: a licence with a changed word has another digest. Documents of any length are
+taken whole.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ from pyspark.sql import functions as F
 from stratapanel.llm import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The lines left out by the SQL.
-COPYRIGHT = r"(?i)^[^a-z]*(copyright|\(c\)|©|all rights reserved)"
-#: Those left out here: not lines of a body, as wrapping may leave them, that go on about copyright ("copyright notice, this list", "COPYRIGHT
-#: HOLDERS AND") without a year, nor its items "(c) You must".
+#: Lines left out as copyright statements: not lines of a body, as wrapping may leave them, that go on about copyright ("copyright notice, this
+#: list", "COPYRIGHT HOLDERS AND") without a year, nor its items "(c) You must".
+ABOUT = (
+    r"s?[ \t,;]+(?:notices?|holders?|owners?|licen[cs]e[sd]?|laws?|statements?|protection|interests?|treat(?:y|ies)|permission|and|or|on"
+    r"|in|is|to|for|patent|trademark|doctrines?|rights?|disclaimers?|status|resulting|control)\b"
+)
+ITEM = r"\(c\)[ \t]*(?:you|the|if|any|an?|to|in|third|for|is|it|under|representations)\b"
 STATEMENT = (
-    r"(?i)^[^a-z]*(?:©|all rights reserved|copyright(?!s?[ \t,;]+(?:notices?|holders?|owners?|licen[cs]e[sd]?|laws?|statements?|protection|interests?|treat(?:y|ies)|permission|and|or|on"
-    r"|in|is|to|for|patent|trademark|doctrines?|rights?|disclaimers?|status|resulting|control)\b(?!.*[0-9]{4}))(?!ed|able|[.,;\"](?!.*[0-9]{4}))|\(c\)(?![ \t]*(?:you|the|if|any|an?|to|in|third|for|is|it|under|representations)\b))"
+    rf"(?i)^[^a-z]*(?:©|all rights reserved|copyright(?!{ABOUT}(?!.*[0-9]{{4}}))(?!ed|able|[.,;\"](?!.*[0-9]{{4}}))|(?!{ITEM})\(c\))"
 )
+#: The statement that is a notice of its own where it stands alone on a line.
+RIGHTS = "all rights reserved"
 SEPARATORS = "[^A-Za-z0-9]+"
 #: What a text must contain for the pattern to match ("" for a digit), the pattern over its words, and the spelling used for it.
 SPELLINGS = (
@@ -86,6 +91,7 @@ FULL: tuple[tuple[str, str], ...] = (
 )
 #: Words of which each text of FULL contains one.
 FULL_MARKS = ("distinguishing", "merchantability")
+RIGHTS_NAME, RIGHTS_MARK = "All-Rights-Reserved", "reserved"
 
 
 def bare(text: Column) -> Column:
@@ -114,6 +120,8 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...], full:
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known]))
     rows = spark.range(1).select(rows.alias("x")).select("x.license", bare(without_copyright(F.col("x.text"))).alias("words"))
     rows = with_digest(rows.filter("words <> ''"))
+    rights = F.lit(RIGHTS_NAME).alias("license"), F.sha2(F.lit(RIGHTS), 256).alias("digest")
+    rows = rows.union(spark.range(1).select(*rights))
     if full:
         given = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(digest).alias("digest")) for name, digest in full]))
         rows = rows.union(spark.range(1).select(given.alias("x")).select("x.license", "x.digest"))
@@ -131,13 +139,14 @@ def marks(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> list[str]:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = KNOWN, full: tuple[tuple[str, str], ...] = FULL) -> DataFrame:
     """A row for each doc_id, licence and scope that match: doc_id, license, scope ("text" or "line"), n_matches.
 
-    A text of one line counts as a text and as a line. Null, empty and letterless texts match nothing. Rows that share a doc_id,
+    A text of one line counts as a text and as a line. "All rights reserved" alone on a line is a notice, though the line is left out of the
+    digest of the whole text as a statement. Null, empty and letterless texts match nothing. Rows that share a doc_id,
     or have none, are counted together. Other columns are ignored; an empty table gives an empty result.
 
     Only texts and lines that hold a word of some known text are made canonical, as no other can match.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = sorted({*marks(docs.sparkSession, known), *(FULL_MARKS if full else ())})
+    words = sorted({*marks(docs.sparkSession, known), RIGHTS_MARK, *(FULL_MARKS if full else ())})
 
     def may_match(column: str) -> Column:
         return reduce(lambda a, b: a | b, [F.lower(column).contains(w) for w in words], F.lit(False))
@@ -145,7 +154,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tup
     base = base.filter(may_match("text"))
     whole = base.select("doc_id", F.lit("text").alias("scope"), bare(without_copyright(F.col("text"))).alias("words"))
     lines = base.select("doc_id", F.lit("line").alias("scope"), F.explode(F.split("text", "\n")).alias("line")).filter(may_match("line"))
-    lines = lines.filter(~F.col("line").rlike(STATEMENT)).select("doc_id", "scope", bare(F.col("line")).alias("words"))
+    lines = lines.select("doc_id", "scope", F.col("line").rlike(STATEMENT).alias("stated"), bare(F.col("line")).alias("words"))
+    lines = lines.filter(~F.col("stated") | (F.col("words") == RIGHTS)).drop("stated")
     units = with_digest(whole.union(lines))
     return units.join(known_digests(docs.sparkSession, known, full), "digest").groupBy("doc_id", "license", "scope").agg(F.count("*").alias("n_matches"))
 
@@ -155,18 +165,34 @@ def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    spelled = "trim(regexp_replace(array_to_string(list_filter(string_split(x, chr(10)), lambda l: not regexp_matches(l, '{0}')), ' '), '{1}', ' ', 'g'))".format(COPYRIGHT.removeprefix("(?i)"), "[^a-z0-9]+")
+    """SQL of the same, its patterns without looking ahead: what must not follow is asked for on its own."""
+    head, year = "regexp_matches(l, '^[^a-z]*", ".*[0-9]{4}"
+    dated = [f"{head}copyright{after}') and not {head}copyright{after}{year}')" for after in (ABOUT, '[.,;"]')]
+    statement = (
+        f"({head}(©|all rights reserved)') or {head}copyright') and not ({dated[0]}) and not ({dated[1]}) and not {head}copyright(ed|able)')"
+        f" or {head}[(]c[)]') and not {head}{ITEM}'))"
+    )
+    bared = "trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))"
+    spelled = bared.format(f"array_to_string(list_filter(string_split(x, chr(10)), lambda l: not {statement}), ' ')")
     for _, pattern, spelling in SPELLINGS:
         spelled = f"regexp_replace({spelled}, '{pattern}', '{spelling.replace('$1', chr(92) + '1')}', 'g')"
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    digests = ", ".join(f"('{n}', '{d}')" for n, d in FULL)
     fold = f"translate({{}}, '{UPPER}', '{LOWER}')"
     return f"""
-with known as (select distinct license, sha256({spelled}) as digest from (select license, {fold.format('t')} as x from (values {values}) k(license, t))),
+with known as (
+    select license, sha256({spelled}) as digest from (select license, {fold.format('t')} as x from (values {values}) k(license, t))
+    union select * from (values {digests}) f(license, digest)
+    union select '{RIGHTS_NAME}', sha256('{RIGHTS}')
+),
 folded as (select doc_id, {fold.format("coalesce(text, '')")} as f from documents),
 units as (
     select doc_id, 'text' as scope, f as x from folded
     union all select doc_id, 'line' as scope, unnest(string_split(f, chr(10))) as x from folded
 ),
-digests as (select doc_id, scope, sha256(c) as digest from (select doc_id, scope, {spelled} as c from units) where c <> '')
+digests as (
+    select doc_id, scope, sha256(c) as digest
+    from (select doc_id, scope, case when scope = 'line' and {bared.format('x')} = '{RIGHTS}' then '{RIGHTS}' else {spelled} end as c from units) where c <> ''
+)
 select doc_id, license, scope, count(*) as n_matches from digests join known using (digest) group by doc_id, license, scope
 """
