@@ -26,7 +26,7 @@ RULES = (
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 )
 
-#: Hosts and paths that are combined into the labelled URLs: what a reviewer would block, and what not.
+#: Names and paths that are combined into the labelled URLs: what a reviewer would block, and what not.
 BLOCKED_NAMES = (
     "casino-royal", "free-casino", "casino-bonus", "win-casino", "online-bets", "bets-online", "free-spins", "poker-bonus", "sportsbets", "free-bets24",
     "win-free-cash", "win-prizes", "jackpot-slots", "lucky-slots", "adult-video", "adult-chat", "sex-cams", "porn-tube", "xxx-movies", "adult-xx",
@@ -48,13 +48,20 @@ SUFFIXES = ("example.com", "example.net", "example.org")
 PATHS = ("/en/123", "/de/45.html", "/fr/678/", "/es/9")
 
 
+#: Hosts that say nothing, and ways in which a name stands in a path.
+PLAIN_HOSTS = ("riverside", "hillview", "oakwood", "maplegate", "silverlake", "brookfield", "stonegate", "fairview", "lakeshore", "greenmill")
+PLACES = ("/{}", "/{}/12", "/en/{}.html", "/pages/{}/index", "/fr/{}/", "/a/{}-3")
+
+
 def labelled_urls() -> list[tuple[str, int]]:
-    """Every name with each prefix; suffixes and paths take turns, so that they say nothing about the label."""
+    """Every name as a host with each prefix, and as a path in several places; what goes with it takes turns, so that it says nothing."""
     out = []
     for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)):
         for i, name in enumerate(names):
             for k, prefix in enumerate(PREFIXES):
                 out.append((f"https://{prefix}{name}.{SUFFIXES[(i + k) % 3]}{PATHS[(i // 3 + k) % 4]}", label))
+                host = f"{PREFIXES[(i + k) % 4]}{PLAIN_HOSTS[(i + 3 * k) % 10]}.{SUFFIXES[(i // 2 + k) % 3]}"
+                out.append((f"https://{host}{PLACES[(i + k) % 6].format(name)}", label))
     return out
 
 
