@@ -133,18 +133,25 @@ def clusterer(weights: np.ndarray, centroids: int):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Classifier:
-    """From rows of key, text and lang; rows without a language or a letter teach nothing.
+    """From rows of key, text and lang; rows without a language or a letter teach nothing, and rows alike count once.
 
-    A language's sample is clustered in one task; what comes to the driver is the centroids and a sum of features for each task.
+    A language's sample is its texts with the smallest hashes. The languages are counted first, so that only texts below a hash that
+    twice the sample is expected to reach move, however many rows a language has. A language's sample is clustered in one task; what comes
+    to the driver is a count and the centroids of each language and a sum of features for each task.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key", "text"), "key"))
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = labelled.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "text")
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("key", "text"))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("hash")).collect()
+    if not sizes:
+        return Classifier([], np.ones(SIZE, np.float32), np.zeros((0, SIZE), np.float32), {})
+    highest = {name: min(2**63 - 1, -(2**63) + 2**64 * 2 * sample // max(n, 1)) for name, n in sizes}
+    limits = F.create_map(*[F.lit(x) for pair in highest.items() for x in pair])
+    near = labelled.filter(F.col("hash") <= limits[F.col("lang")])
+    once = near.groupBy("lang", "key", "hash").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "key"))
+    chosen = once.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "text")
     rows = store.written(vectorised(chosen), "sample")
     parts = rows.select("vector").mapInArrow(document_counts, "n long, seen binary").toArrow()
     n = sum(parts["n"].to_pylist())
-    if not n:
-        return Classifier([], np.ones(SIZE, np.float32), np.zeros((0, SIZE), np.float32), {})
     seen = sum(np.frombuffer(x, np.int64) for x in parts["seen"].to_pylist())
     weights = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
     found = rows.groupBy("lang").applyInArrow(clusterer(weights, centroids), "lang string, k int, centroid binary, least double").toArrow()

@@ -143,3 +143,37 @@ def brute_base_scores(rows):
         base = sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)
         out.append((key, held_out(key, 5), len(tokens), sum(counts[t] > 0 for t in tokens), n, base))
     return out
+
+
+def brute_tree_scores(rows, depth, short, least, beyond, weight):
+    """log10 probability of each row's text under a suffix tree that is kept in a dictionary."""
+    counts: dict[bytes, Counter] = defaultdict(Counter)
+
+    def spelled(text):
+        return b"\n" * depth + b" ".join([*words(text, fold=True), b""]) + b"\n"
+
+    for key, text in rows:
+        if not held_out(key, 5):
+            s = spelled(text)
+            for i in range(depth, len(s)):
+                for k in range(depth + 1):
+                    counts[s[i - k : i]][s[i]] += 1
+    total = {c: sum(f.values()) for c, f in counts.items()}
+    kept = {b""}
+    for c, f in counts.items():
+        if c:
+            wide = counts[c[1:]]
+            gain = sum(n * math.log(n * total[c[1:]] / (total[c] * wide[x])) for x, n in f.items())
+            free = len(wide) - 1
+            # the quantile of chi-square by Wilson and Hilferty
+            if total[c] < least or not free or 2 * gain < free * (1 - 2 / (9 * free) + beyond * math.sqrt(2 / (9 * free))) ** 3:
+                continue
+        kept |= {c} | {c[j:] for j in range(len(c) - short)}
+
+    def p(context, symbol):
+        if context and context not in kept:
+            return p(context[1:], symbol)
+        wider = p(context[1:], symbol) if context else 1 / 256
+        return (counts[context][symbol] + weight * wider) / (total.get(context, 0) + weight) if context in counts else wider
+
+    return [sum(math.log10(p(s[i - depth : i], s[i])) for i in range(depth, len(s))) for s in (spelled(text) for _, text in rows)]
