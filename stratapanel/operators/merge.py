@@ -1,9 +1,10 @@
 """Validated merges.
 
 ``merge_one`` (1:1, two or more tables) is a union of the tables followed by one ``groupBy`` on the
-key, not a chain of full outer joins.  Every table is shuffled once however many there are; a
-repeated key is folded on the map side, so even a hot one is found without moving its rows; and
-null keys meet null keys, as the merge statement wants.
+key, not a chain of full outer joins.  Every table is shuffled once however many there are, each row
+with the columns of its own table in one struct and none of the others'.  As keys do not repeat in a
+table, rows are dealt as they are and sorted once; and null keys meet null keys, as the merge
+statement wants.
 
 ``merge_many`` (m:1) is a left or inner join to a right side made unique by an aggregate on the
 key, so join and aggregate share one shuffle.  A hot key sits on the left only, where Spark's
@@ -33,6 +34,11 @@ def _key_text(on: Sequence[str]) -> Column:
     return F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in on])
 
 
+def _text(name: str) -> str:
+    """Name as text inside a SQL expression."""
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def merge_one(
     tables: Sequence[DataFrame],
     on: Sequence[str],
@@ -52,15 +58,15 @@ def merge_one(
         raise ValueError("provenance is defined for two tables")
     payload = [[c for c in t.columns if c not in on] for t in tables]
     tagged = [
-        t.selectExpr(
-            *map(quote, on), f"{i} AS _side", *[f"{quote(c)} AS {quote(f'_{i}|{c}')}" for c in payload[i]]
-        )
-        for i, t in enumerate(tables)
+        t.selectExpr(*map(quote, on), f"{i} AS _side", f"named_struct({', '.join(f'{_text(c)}, {quote(c)}' for c in names)}) AS _t{i}")
+        if names
+        else t.selectExpr(*map(quote, on), f"{i} AS _side")
+        for i, (t, names) in enumerate(zip(tables, payload, strict=True))
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    merged = stacked.groupBy(*on).agg(
+    merged = stacked.repartition(*[F.col(quote(k)) for k in on]).groupBy(*on).agg(
         *[F.expr(f"count_if(_side = {i}) AS _n{i}") for i in range(len(tables))],
-        *[F.expr(f"max({m}) AS {m}") for i in range(len(tables)) for m in (quote(f"_{i}|{c}") for c in payload[i])],
+        *[F.expr(f"max(_t{i}) AS _t{i}") for i in range(len(tables)) if payload[i]],
     )
     counts = [F.col(f"_n{i}") for i in range(len(tables))]
     unique = reduce(lambda a, b: a & b, [n <= 1 for n in counts])
@@ -75,7 +81,7 @@ def merge_one(
     for i, names in enumerate(payload):
         seen = " OR ".join(f"_n{k} > 0" for k in range(i))
         for c in names:
-            mine = quote(f"_{i}|{c}")
+            mine = f"_t{i}.{quote(c)}"
             values[c] = f"CASE WHEN {seen} THEN {values[c]} ELSE {mine} END" if c in values else mine
     out = [quote(k) for k in on] + [f"{v} AS {quote(c)}" for c, v in values.items()]
     if indicator:
