@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.operators import merge as G
 from stratapanel.operators import quality, reshape, rollup
+from stratapanel.plans import waves
 
 
 def frame(spark, schema, *data):
@@ -146,3 +147,20 @@ def test_quality(spark, rows):
     )
     assert dict(rows(out)) == {
         "both standards": 1, "repeated keys": 1, "left only": 1, "right only": 1, "matched": 1, "values covered": 1, "totals differ": 1}
+
+
+def test_wide_rows_are_dealt_before_they_are_summed(spark, rows):
+    school = spark.createDataFrame([("a", 1, 2), ("a", 1, 3), (None, None, 7), (None, 5, 1), ("b", None, None)], "LEAID string, YEAR int, x bigint")
+    dealt = rollup.collapse(school, ["LEAID"], ["x"], ["YEAR"], dealt=True)
+    assert rows(dealt) == rows(rollup.collapse(school, ["LEAID"], ["x"], ["YEAR"])) == [(None, 8, 5), ("a", 5, 1), ("b", 0, None)]
+    plan = waves.to_lea(school)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_sum") < plan.index("REBALANCE_PARTITIONS_BY_COL")
+
+
+def test_a_merged_row_carries_its_own_columns_only(spark, rows):
+    one, two = (spark.createDataFrame([(1, i), (None, None), (i + 2, 9)], f"k int, `x'{i}.` int") for i in range(2))
+    merged = G.merge_one([one, two, two.select("k")], ["k"])
+    assert merged.columns == ["k", "x'0.", "x'1."]
+    assert rows(merged) == [(None, None, None), (1, 0, 1), (2, 9, None), (3, None, 9)]
+    sent = [line for line in merged._jdf.queryExecution().executedPlan().toString().split("\n") if "Sort " in line]
+    assert len(sent) == 1
