@@ -3,6 +3,7 @@
 import os
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,10 @@ def test_awkward_texts_and_parts(spark, tmp_path):
 def test_letters_of_columns():
     assert [xlsx.letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
     assert all(xlsx.place_of(f"{xlsx.letters(i)}7") == i for i in range(0, 16_384, 97))
+
+
+def test_columns_of_cells_are_numbered_once():
+    known = {}
+    assert [xlsx.column_of(r, known) for r in ("A1", "AB7", "A22", "b3")] == [0, 27, 0, 1] and set(known) == {"A", "AB", "b"}
+    texts = pa.chunked_array([pa.array(["a<", None, "a<", "_x0041_\x01"])])
+    assert xlsx.column_xml(texts, "C") == [xlsx.cell_xml(v, f"C{i}") for i, v in enumerate(texts.to_pylist(), 2)]
