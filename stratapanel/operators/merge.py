@@ -3,8 +3,8 @@
 ``merge_one`` (1:1, two or more tables) is a union of the tables followed by one ``groupBy`` on the
 key, not a chain of full outer joins.  Every table is shuffled once however many there are, each row
 with the columns of its own table in one struct and none of the others'.  As keys do not repeat in a
-table, rows are dealt as they are and sorted once; and null keys meet null keys, as the merge
-statement wants.
+table, rows are dealt as they are, without folding them before; and null keys meet null keys, as the
+merge statement wants.
 
 ``merge_many`` (m:1) is a left or inner join to a right side made unique by an aggregate on the
 key, so join and aggregate share one shuffle.  A hot key sits on the left only, where Spark's
