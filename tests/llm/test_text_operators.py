@@ -1,16 +1,19 @@
 """Each text operator against a brute-force version, on the given documents and on awkward rows."""
 
 import base64
+import collections
 import hashlib
 import importlib
 import pathlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import text_cases as cases
 import tokenizers
@@ -147,6 +150,55 @@ def test_suffix_tree_probabilities_add_up():
     assert np.allclose(np.add.reduceat(p[whole], np.unique(every[whole] >> 8, return_index=True)[1]), 1, atol=1e-9)
 
 
+def test_suffix_tree_counts_equal_plain_counts():
+    rng = random.Random(3)
+    texts = [b"", b"a", "é 日本 \U0001f600".encode(), *(" ".join(rng.choices(("ab", "b", "a", "cab", "Z"), k=rng.randint(0, 60))).encode() for _ in range(40))]
+    train = np.array([i % 3 > 0 for i in range(len(texts))])
+    each = [suffix_tree.positions([t], 6)[0].tolist() for t in texts]
+    plain = collections.Counter(c for part in each for c in part)
+    learnt = collections.Counter(c for part, own in zip(each, train, strict=True) if own for c in part)
+    codes, n = suffix_tree.gram_counts(texts, train, 6)
+    assert codes.tolist() == sorted(plain) and n.tolist() == [learnt[c] for c in sorted(plain)]
+    distinct, order, place, size = suffix_tree.numbered(texts, 6)
+    met = np.empty(len(distinct), np.int64)
+    met[order] = distinct
+    assert distinct.tolist() == sorted(plain) and met[place].tolist() == [c for part in each for c in part] and size.tolist() == [len(part) for part in each]
+    short, counts, order, first = suffix_tree.merged(codes & 0xFFFF, n)
+    assert short[suffix_tree.placed(order, first)].tolist() == (codes & 0xFFFF).tolist()
+    assert counts.tolist() == [int(n[codes & 0xFFFF == c].sum()) for c in short]
+    assert [len(x) for x in suffix_tree.merged(codes[:0], n[:0])] == [0, 0, 0, 0]
+
+
+def test_suffix_tree_words_and_buckets_are_dealt_whole():
+    words = Words([b"b a b", b"", b"A c"], fold=FOLD)
+    distinct, place, counts = suffix_tree.word_counts(words, np.array([True, True, False]))
+    everything = np.concatenate((words.hash, np.full(3, suffix_tree.END_WORD)))
+    assert (np.diff(distinct.astype(object)) > 0).all() and (distinct[place] == everything).all()
+    assert counts[place].tolist() == [2, 1, 2, 1, 0, 2, 2, 2]
+    for buckets in (64, 1 << 16, 1 << 20):
+        dealt = suffix_tree.word_buckets(distinct, buckets)
+        assert sorted(np.concatenate(list(dealt.values())).tolist()) == list(range(len(distinct))) and max(dealt) < buckets
+
+
+def test_suffix_tree_scoring_costs_little_more_than_asking():
+    """In CPU seconds of one chunk; scoring took more than three times as much when it looked up codes out of order."""
+    rng = random.Random(4)
+    prose = cases.PROSE.split()
+    texts = [" ".join(f"{word}{rng.randrange(10_000)}" for word in rng.choices(prose, k=500)) for _ in range(1500)]
+    docs = pa.table({"doc_id": range(1500), "text": texts, "held_out": [i % 5 == 1 for i in range(1500)], "chunk": pa.array([0] * 1500, pa.int32())})
+    ask, tell = suffix_tree.asker(64, 6), suffix_tree.scorer(64, 6)
+    entries = ask(docs)
+    hashes, grams = ([len(x.as_py()) // 8 for x in entries[c]] for c in ("hashes", "grams"))
+    answers = pa.table({"bucket": entries["bucket"], "counts": [np.ones(n, "<i8").tobytes() for n in hashes], "log10": [np.full(n, -1, "<f4").tobytes() for n in grams]})
+    spent = {ask: [], tell: []}
+    for _ in range(4):
+        for step, inputs in ((ask, (docs,)), (tell, (docs, answers))):
+            began = time.process_time()
+            step(*inputs)
+            spent[step].append(time.process_time() - began)
+    assert min(spent[tell]) < 2.6 * min(spent[ask]), spent
+
+
 def test_repeated_rows_are_spread_over_chunks(spark, tmp_path):
     """100,000 rows alike, without an id: the largest of 64 chunks holds little more than its share."""
     path = str(tmp_path / "t")
